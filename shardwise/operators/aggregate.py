@@ -17,36 +17,29 @@ def fedavg(params: DataFrame, previous: DataFrame | None = None, accept_failures
     Failed clients are left out. A round where none survives (or where one failed and failures are
     not accepted) gives the previous model, if one is passed, under the round's number.
     """
-    reported = params.groupBy("round").agg(
-        F.count_if(F.col("status") == "ok").alias("ok"), F.count_if(F.col("status") != "ok").alias("bad")
+    ok, n = F.col("status") == "ok", F.col("n_examples").cast("double")
+    # The intercept rides along as the last position; one aggregation per position, one to regroup.
+    entries = params.select("round", ok.alias("ok"), "n_examples", n.alias("k"), F.posexplode(F.concat("coef", F.array("intercept"))).alias("i", "w"))
+    sums = entries.groupBy("round", "i").agg(
+        (F.sum(F.when(F.col("ok"), F.col("k") * F.col("w"))) / F.sum(F.when(F.col("ok"), F.col("k")))).alias("w"),
+        F.sum(F.when(F.col("ok"), F.col("n_examples"))).alias("n_examples"),
+        F.count_if("ok").alias("good"),
+        F.count_if(~F.col("ok")).alias("bad"),
     )
-    usable = (F.col("ok") > 0) & (F.lit(accept_failures) | (F.col("bad") == 0))
-    good = params.where(F.col("status") == "ok")
-    weight = F.col("n_examples").cast("double")
-    sums = (
-        good.select("round", weight.alias("k"), F.posexplode("coef").alias("i", "w"))
-        .groupBy("round", "i")
-        .agg((F.sum(F.col("k") * F.col("w")) / F.sum("k")).alias("w"))
+    weights = F.transform(F.sort_array(F.collect_list(F.struct("i", "w"))), lambda e: e["w"])
+    rounds = sums.groupBy("round").agg(
+        weights.alias("all"), F.max("n_examples").alias("n_examples"), F.max("good").alias("good"), F.max("bad").alias("bad")
     )
-    coef = F.transform(F.sort_array(F.collect_list(F.struct("i", "w"))), lambda e: e["w"])
-    merged = (
-        sums.groupBy("round").agg(coef.alias("coef"))
-        .join(
-            good.groupBy("round").agg(
-                F.sum("n_examples").alias("n_examples"), (F.sum(weight * F.col("intercept")) / F.sum(weight)).alias("intercept")
-            ),
-            "round",
-        )
-        .join(reported.where(usable), "round")
-        .withColumns({"client_id": F.lit(None).cast("int"), "status": F.lit("ok")})
-        .select(*PARAMS_SCHEMA.names)
+    usable = (F.col("good") > 0) & (F.lit(accept_failures) | (F.col("bad") == 0))
+    merged = rounds.where(usable).select(
+        "round", F.lit(None).cast("int").alias("client_id"), "n_examples", F.lit("ok").alias("status"),
+        F.slice("all", F.lit(1), F.size("all") - 1).alias("coef"), F.element_at("all", -1).alias("intercept"),
     )
     if previous is None:
         return merged
-    kept = previous.where(F.col("client_id").isNull()).drop("round").limit(1)
-    lost = reported.where(~usable).select("round").withColumn("one", F.lit(1))
-    carried = lost.join(kept.withColumn("one", F.lit(1)), "one").select(*PARAMS_SCHEMA.names)
-    return merged.unionByName(carried)
+    kept = previous.where(F.col("client_id").isNull()).drop("round").limit(1).withColumn("one", F.lit(1))
+    lost = rounds.where(~usable).select("round", F.lit(1).alias("one"))
+    return merged.unionByName(lost.join(kept, "one").select(*PARAMS_SCHEMA.names))
 
 
 def _weighted(value: Column, weight: Column) -> Column:

@@ -12,7 +12,7 @@ from shardwise.config import LOG_METRICS, METRICS
 from shardwise.operators.forest import forest_proba
 from shardwise.functions.linear import decision, predicted_class, probability
 from shardwise.functions.metrics import confusion_counts, hinge_row, log_loss_row, metric_columns
-from shardwise.sources.scratch import settle
+from shardwise.sources.scratch import Settled, settle
 
 # Rounds evaluated together.
 MODEL_ROWS = 10_000
@@ -77,23 +77,27 @@ def metrics(scored: DataFrame, by: list[str], loss: str = "log_loss", average: s
     return metrics_from(tally(scored, by, loss, signed), by, average)
 
 
-def score_rounds(test: DataFrame, params: DataFrame, loss: str) -> DataFrame:
+def score_rounds(test: DataFrame, params: DataFrame | Settled, loss: str) -> DataFrame:
     """Score every test row with the global model of every round in `params`.
 
     Each row is repeated per round inside the scan and meets its model in a join on the round, so
     the test rows are read once however many rounds are evaluated. The models are broadcast once
     their number is known to be small.
     """
-    models = settle(params.where(F.col("client_id").isNull()).select("round", "coef", "intercept"), limit=MODEL_ROWS)
-    known = models.df.select("round", F.size("coef").alias("width")).distinct().limit(MODEL_ROWS).collect()
+    if not isinstance(params, Settled):
+        params = settle(params.where(F.col("client_id").isNull()), limit=MODEL_ROWS)
+    known = params.df.select("round", F.size("coef").alias("width")).distinct().collect() if params.rows is None else [
+        {"round": r["round"], "width": len(r["coef"])} for r in params.records()
+    ]
     if not known:
         raise ValueError("no global model to evaluate")
+    models = Settled(params.df.select("round", "coef", "intercept"), params.rows)
     rounds = F.array(*[F.lit(r["round"]) for r in known])
     rows = test.withColumn("round", F.explode(rounds)).join(models.side(), "round")
     return score(rows, loss, known[0]["width"])
 
 
-def client_tallies(test: DataFrame, params: DataFrame, loss: str) -> DataFrame:
+def client_tallies(test: DataFrame, params: DataFrame | Settled, loss: str) -> DataFrame:
     """Tallies per (round, client) of the global models on the clients' test rows."""
     return tally(score_rounds(test, params, loss), ["round", "client_id"], loss)
 

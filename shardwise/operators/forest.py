@@ -296,9 +296,9 @@ def feature_importance(nodes: DataFrame, features: Sequence[str]) -> DataFrame:
     per_tree = splits.groupBy("client_id", "tree_id", "feature").agg(F.sum(F.col("gain") * F.col("n")).alias("g"))
     tree = Window.partitionBy("client_id", "tree_id")
     shares = per_tree.withColumn("g", F.col("g") / F.sum("g").over(tree)).groupBy("feature").agg(F.sum("g").alias("g"))
-    names = F.array(*[F.struct(F.lit(i).alias("feature"), F.lit(n).alias("Feature")) for i, n in enumerate(features)])
-    known = nodes.sparkSession.range(1).select(F.explode(names).alias("f")).select(F.col("f.feature").alias("i"), F.col("f")["Feature"].alias("Feature"))
-    joined = known.join(shares, known["i"] == shares["feature"], "left")
+    names = F.array(*[F.lit(n) for n in features])
+    known = nodes.sparkSession.range(1).select(F.posexplode(names).alias("i", "Feature"))
+    joined = known.join(shares.withColumnRenamed("feature", "i"), "i", "left")
     value = F.coalesce(F.col("g"), F.lit(0.0))
     total = F.sum(value).over(Window.partitionBy(F.lit(0)))
     return joined.select("Feature", F.when(total > 0, value / total).otherwise(F.lit(0.0)).alias("Importance")).orderBy(

@@ -11,12 +11,13 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shardwise.functions.hashing import hash_order, normal
 from shardwise.functions.linear import UNROLL, decision, penalty_parts, residual, stepped_weight
-from shardwise.sources.scratch import Settled, settle
+from shardwise.sources.scratch import Settled, local_table, settle
 from shardwise.sources.state import PARAMS_SCHEMA
 
 # Values (rows x features) of the largest client that one task may hold.
@@ -24,7 +25,8 @@ TASK_VALUES = 10_000_000
 # Weights of all clients together that are sent to every task.
 MODEL_VALUES = 4_000_000
 
-FIT_SCHEMA = "client_id INT, n_examples BIGINT, status STRING, coef ARRAY<DOUBLE>, intercept DOUBLE, done BOOLEAN"
+# Clients whose parameters the driver holds between rounds.
+CLIENT_ROWS = 50_000
 
 
 @dataclass(frozen=True)
@@ -112,18 +114,34 @@ def start_from(stats: DataFrame, params: DataFrame) -> DataFrame:
         return joined.where(F.col("coef").isNotNull()).withColumn("done", F.lit(False))
     mine = F.col("coef").isNotNull()
     g_coef = F.array(*[F.lit(w) for w in shared[0]["coef"]])
-    g_intercept = F.lit(shared[0]["intercept"]).cast("double")
     return joined.select(
         *stats.columns,
         F.when(mine, F.col("coef")).otherwise(g_coef).alias("coef"),
-        F.when(mine, F.col("intercept")).otherwise(g_intercept).alias("intercept"),
+        F.when(mine, F.col("intercept")).otherwise(F.lit(shared[0]["intercept"]).cast("double")).alias("intercept"),
         F.lit(False).alias("done"),
     )
 
 
+def starting_state(stats: Settled, params: DataFrame | Settled) -> Settled:
+    """`start_from` evaluated. With both tables on the driver the rows are simply put together."""
+    if stats.rows is None or not isinstance(params, Settled) or params.rows is None:
+        model = params.df if isinstance(params, Settled) else params
+        return settle(start_from(stats.df, model), limit=CLIENT_ROWS)
+    own = {p["client_id"]: p for p in params.records()}
+    rows = [
+        {**r, "coef": own.get(r["client_id"], own.get(None))["coef"], "intercept": own.get(r["client_id"], own.get(None))["intercept"], "done": False}
+        for r in stats.records()
+        if r["client_id"] in own or None in own
+    ]
+    schema = stats.rows.schema
+    for name, kind in (("coef", pa.list_(pa.float64())), ("intercept", pa.float64()), ("done", pa.bool_())):
+        schema = schema.append(pa.field(name, kind))
+    return local_table(stats.df.sparkSession, pa.Table.from_pylist(rows, schema=schema))
+
+
 def local_fit(
     train: DataFrame,
-    params: DataFrame,
+    params: DataFrame | Settled,
     made: Learner,
     epochs: int | None = None,
     stats: Settled | None = None,
@@ -137,32 +155,31 @@ def local_fit(
     Both give the same weights. `step` overrides the step 1/L.
     """
     epochs = made.epochs if epochs is None else epochs
-    stats = stats or settle(client_stats(train, made))
-    begin = start_from(stats.df, params)
-    if step is not None:
-        begin = begin.withColumn("step", F.lit(float(step)))
-    begin = settle(begin, limit=50_000)
-    width = begin.df.select(F.max(F.size("coef"))).first()[0] or 0
+    begin = starting_state(stats or settle(client_stats(train, made), limit=CLIENT_ROWS), params)
+    width = _width(begin)
     if form == "auto":
-        largest = begin.df.agg(F.max("n")).first()[0] or 0
-        fits = largest * (width + 1) <= TASK_VALUES
-        form = "whole" if fits and _model_values(begin, width) <= MODEL_VALUES else "epochs"
+        form = "whole" if fits_tasks(begin, width) else "epochs"
     if form == "whole":
-        fitted = settle(_fit_whole(train, begin.df, made, epochs), limit=50_000).df
-    else:
-        fitted = _fit_by_epoch(train, begin, made, epochs, width)
-    return fitted.select(
-        F.lit(round_no).cast("int").alias("round"), "client_id", "n_examples", "status", "coef", "intercept"
-    ).select(*PARAMS_SCHEMA.names)
+        return _fit_whole(train, begin, made, epochs, step, round_no)
+    return _fit_by_epoch(train, begin, made, epochs, width, step, round_no)
+
 
+def fits_tasks(stats: Settled, width: int) -> bool:
+    """Whether the largest client fits one task and all weights fit every task."""
+    if stats.rows is None:
+        return False
+    return stats.largest("n") * (width + 1) <= TASK_VALUES and stats.rows.num_rows * (width + 1) <= MODEL_VALUES
 
-def _model_values(begin: Settled, width: int) -> int:
-    return begin.df.count() * (width + 1) if begin.small else MODEL_VALUES + 1
 
+def _width(begin: Settled) -> int:
+    if begin.rows is not None:
+        return len(begin.rows.column("coef")[0]) if begin.rows.num_rows else 0
+    return begin.df.select(F.max(F.size("coef"))).first()[0]
 
-def _fit_whole(train: DataFrame, begin: DataFrame, made: Learner, epochs: int) -> DataFrame:
+
+def _fit_whole(train: DataFrame, begin: Settled, made: Learner, epochs: int, fixed_step: float | None, round_no: int | None) -> DataFrame:
     """All epochs of a client inside the task that holds it."""
-    starts = {r["client_id"]: r.asDict() for r in begin.collect()}
+    starts = {r["client_id"]: r for r in begin.records()}
     loss, fit_intercept, tol = made.loss, made.fit_intercept, made.tol
     l1, l2 = penalty_parts(made.penalty, made.l1_ratio)
     slope = _slope(loss)
@@ -173,7 +190,7 @@ def _fit_whole(train: DataFrame, begin: DataFrame, made: Learner, epochs: int) -
         y = table.column("label").to_numpy().astype(float)
         x = table.column("x").combine_chunks().flatten().to_numpy().reshape(len(y), len(w))
         weight = np.where(y == 1, start["c1"], start["c0"]) / len(y)
-        step, strength = start["step"], start["strength"]
+        step, strength = fixed_step or start["step"], start["strength"]
         done = start["status"] != "ok"
         for _ in range(epochs):
             if done:
@@ -188,16 +205,15 @@ def _fit_whole(train: DataFrame, begin: DataFrame, made: Learner, epochs: int) -
             done = tol is not None and moved <= tol * size
         good = start["status"] == "ok" and np.isfinite(w).all() and np.isfinite(b)
         return pa.table({
+            "round": pa.array([round_no], pa.int32()),
             "client_id": pa.array([key[0].as_py()], pa.int32()),
             "n_examples": pa.array([len(y)], pa.int64()),
             "status": ["ok" if good else "failed"],
             "coef": pa.array([w.tolist()], pa.list_(pa.float64())),
             "intercept": pa.array([b if fit_intercept else None], pa.float64()),
-            "done": [bool(done)],
         })
 
-    known = train.select("client_id", "label", "x")
-    return known.groupBy("client_id").applyInArrow(fit, FIT_SCHEMA)
+    return train.select("client_id", "label", "x").groupBy("client_id").applyInArrow(fit, PARAMS_SCHEMA)
 
 
 def _slope(loss: str):
@@ -217,30 +233,41 @@ def _slope(loss: str):
     return {"hinge": hinge, "modified_huber": huber}.get(loss, logistic)
 
 
-def _fit_by_epoch(train: DataFrame, begin: Settled, made: Learner, epochs: int, width: int) -> DataFrame:
+def _fit_by_epoch(
+    train: DataFrame, begin: Settled, made: Learner, epochs: int, width: int, fixed_step: float | None, round_no: int | None
+) -> DataFrame:
     """One gradient job per epoch; only per-client sums and weights leave the tasks."""
-    state = begin
+    state = begin if fixed_step is None else settle(begin.df.withColumn("step", F.lit(float(fixed_step))), limit=CLIENT_ROWS)
     for _ in range(epochs):
-        active = state.df.where((F.col("status") == "ok") & ~F.col("done"))
-        if active.limit(1).count() == 0:
+        active = _active(state)
+        if active is None:
             break
-        sums = gradient_sums(train, Settled(active, state.small), made.loss, width)
-        state = settle(weight_step(state.df, sums, made, width), limit=50_000)
+        sums = gradient_sums(train, active, made.loss, width)
+        state = settle(weight_step(state.df, sums, made), limit=CLIENT_ROWS)
     finite = F.forall("coef", lambda w: ~F.isnan(w) & (F.abs(w) < float("inf"))) & ~F.isnan(F.coalesce("intercept", F.lit(0.0)))
     good = (F.col("status") == "ok") & finite
     bias = F.col("intercept") if made.fit_intercept else F.lit(None).cast("double")
     return state.df.select(
-        "client_id", F.col("n").alias("n_examples"), F.when(good, "ok").otherwise("failed").alias("status"),
-        "coef", bias.alias("intercept"), "done",
+        F.lit(round_no).cast("int").alias("round"), "client_id", F.col("n").alias("n_examples"),
+        F.when(good, "ok").otherwise("failed").alias("status"), "coef", bias.alias("intercept"),
     )
 
 
+def _active(state: Settled) -> Settled | None:
+    """Clients that still train; None when all are done."""
+    going = state.df.where((F.col("status") == "ok") & ~F.col("done"))
+    if state.rows is not None:
+        rows = state.rows.filter(pc.and_(pc.equal(state.rows["status"], "ok"), pc.invert(state.rows["done"])))
+        return Settled(going, rows) if rows.num_rows else None
+    return Settled(going, None) if going.limit(1).count() else None
+
+
 def gradient_sums(train: DataFrame, active: Settled, loss: str, width: int) -> DataFrame:
     """Class-weighted gradient sums per client: (client_id, g array, gb)."""
     if width <= UNROLL:
         return _native_sums(train, active, loss, width)
-    if active.small and active.df.count() * (width + 1) <= MODEL_VALUES:
-        return _arrow_sums(train, active.df, loss)
+    if active.rows is not None and active.rows.num_rows * (width + 1) <= MODEL_VALUES:
+        return _arrow_sums(train, active, loss)
     return _exploded_sums(train, active, loss)
 
 
@@ -265,11 +292,11 @@ def _exploded_sums(train: DataFrame, active: Settled, loss: str) -> DataFrame:
     return _regroup(rows.select("client_id", F.posexplode(entries).alias("i", "v")))
 
 
-def _arrow_sums(train: DataFrame, active: DataFrame, loss: str) -> DataFrame:
+def _arrow_sums(train: DataFrame, active: Settled, loss: str) -> DataFrame:
     """Wide rows: one partial sum per (task, client), batch by batch."""
     models = {
         r["client_id"]: (np.array(r["coef"]), float(r["intercept"] or 0.0), r["c0"], r["c1"])
-        for r in active.select("client_id", "coef", "intercept", "c0", "c1").collect()
+        for r in active.records()
     }
     slope = _slope(loss)
 
@@ -307,7 +334,7 @@ def _regroup(entries: DataFrame) -> DataFrame:
     )
 
 
-def weight_step(state: DataFrame, sums: DataFrame, made: Learner, width: int) -> DataFrame:
+def weight_step(state: DataFrame, sums: DataFrame, made: Learner) -> DataFrame:
     """Apply one step to every client that has gradient sums; the others stay as they are."""
     joined = state.join(sums, "client_id", "left")
     n, step, strength = F.col("n").cast("double"), F.col("step"), F.col("strength")

@@ -14,11 +14,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shardwise.functions.hashing import hash_order
-from shardwise.sources.scratch import Settled, settle
+from shardwise.sources.scratch import DRIVER_ROWS, Settled, settle
 
 # Hex digits per counting pass. Two passes leave 1/65536 of a group to sort exactly.
 DIGITS = (2, 4)
 RANK_DIGITS = 3
+# Rows with one prefix (key columns only) that one task may sort.
+SORT_ROWS = 2_000_000
 
 
 def position_key(seed: int, purpose: str, key: list[str]) -> Column:
@@ -50,12 +52,15 @@ def cutoffs(
     seed: int,
     purpose: str,
     ranks: Callable[[DataFrame], DataFrame],
+    per_group: int = 1,
     digits: tuple[int, ...] = DIGITS,
+    sort_rows: int = SORT_ROWS,
 ) -> Settled:
     """The ordering value at each wanted rank.
 
-    `ranks` turns the group sizes (`by`..., n) into wanted ranks (`by`..., r); ranks below 1 select
-    nothing and give no row. Result: `by`..., r, cut.
+    `ranks` turns the group sizes (`by`..., n) into at most `per_group` wanted ranks (`by`..., r)
+    each; ranks below 1 select nothing and give no row. Result: `by`..., r, cut. Counting goes one
+    level deeper only while some prefix still holds more than `sort_rows` rows.
     """
     groups = by or ["all_rows"]
     rows = _narrow(df, by, key, seed, purpose)
@@ -64,20 +69,23 @@ def cutoffs(
         hist = _histogram(inside, groups, width)
         if state is None:
             wanted = ranks(hist.df.groupBy(*groups).agg(F.sum("n").alias("n"))).where(F.col("r") >= 1)
-            start = wanted.select(*groups, "r", F.lit("").alias("parent"), F.col("r").alias("rest"))
-        else:
-            start = state.df
-        state = settle(
-            start.join(hist.df, [*groups, "parent"])
+            state = wanted.select(*groups, "r", F.lit("").alias("parent"), F.col("r").alias("rest"))
+        state = (
+            state.join(hist.df, [*groups, "parent"])
             .where((F.col("before") < F.col("rest")) & (F.col("rest") <= F.col("before") + F.col("n")))
             .select(*groups, "r", F.col("prefix").alias("parent"), (F.col("rest") - F.col("before")).alias("rest"))
         )
+        # A local histogram bounds the groups, so the wanted ranks may be broadcast unevaluated.
+        bounded = hist.rows is not None and hist.rows.num_rows * per_group <= DRIVER_ROWS
+        side = F.broadcast(state) if bounded else settle(state).side()
         inside = rows.withColumn("parent", _prefix(width)).join(
-            state.side().select(*groups, "parent"), [*groups, "parent"], "left_semi"
+            side.select(*groups, "parent"), [*groups, "parent"], "left_semi"
         )
+        if hist.largest("n") <= sort_rows:
+            break
     order = Window.partitionBy(*groups, "parent").orderBy("pos")
     ranked = inside.withColumn("rest", F.row_number().over(order))
-    return settle(ranked.join(state.side(), [*groups, "parent", "rest"]).select(*by, "r", F.col("pos").alias("cut")))
+    return settle(ranked.join(side, [*groups, "parent", "rest"]).select(*by, "r", F.col("pos").alias("cut")))
 
 
 def at_or_before(df: DataFrame, by: list[str], key: list[str], seed: int, purpose: str, cut: Settled, flag: str) -> DataFrame:
@@ -96,7 +104,7 @@ def segment(df: DataFrame, key: list[str], seed: int, purpose: str, cut: Settled
     number before it, so each row compares itself with its own few cutoffs only.
     """
     spark = df.sparkSession
-    prefixes = spark.range(256).select(F.lower(F.lpad(F.hex("id"), 2, "0")).alias("prefix"))
+    prefixes = spark.range(0, 256, 1, 1).select(F.lower(F.lpad(F.hex("id"), 2, "0")).alias("prefix"))
     inside = cut.df.groupBy(F.substring(F.col("cut.h"), 1, 2).alias("prefix")).agg(F.collect_list("cut").alias("cuts"))
     order = Window.partitionBy(F.lit(0)).orderBy("prefix").rowsBetween(Window.unboundedPreceding, -1)
     lookup = settle(

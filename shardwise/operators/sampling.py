@@ -29,7 +29,7 @@ def iid_partition(df: DataFrame, key: list[str], clients: int, seed: int) -> Dat
 
     if clients == 1:
         return df.withColumn("client_id", F.lit(0))
-    cut = cutoffs(df, [], key, seed, PARTITION, ends)
+    cut = cutoffs(df, [], key, seed, PARTITION, ends, per_group=clients)
     return segment(df, key, seed, PARTITION, cut, "client_id")
 
 

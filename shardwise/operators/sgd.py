@@ -18,9 +18,9 @@ from pyspark.sql import functions as F
 from shardwise.functions.hashing import hash_order
 from shardwise.functions.linear import penalty_parts
 from shardwise.functions.schedules import ETA_DECAY, ETA_START
-from shardwise.operators.linear import Learner, client_stats, start_from
+from shardwise.operators.linear import CLIENT_ROWS, Learner, client_stats, starting_state
 from shardwise.operators.ranking import distributed_rank
-from shardwise.sources.scratch import scratch_dir, settle
+from shardwise.sources.scratch import Settled, scratch_dir, settle
 from shardwise.sources.state import PARAMS_SCHEMA
 
 CHUNK_VALUES = 10_000_000
@@ -36,11 +36,12 @@ _STATE = (
 
 def local_sgd(
     train: DataFrame,
-    params: DataFrame,
+    params: DataFrame | Settled,
     made: Learner,
     key: list[str],
     seed: int,
     epochs: int | None = None,
+    stats: Settled | None = None,
     schedule: str = "optimal",
     round_no: int | None = None,
     chunk_values: int = CHUNK_VALUES,
@@ -50,20 +51,19 @@ def local_sgd(
     `schedule` is "optimal" (step 1 / (alpha (t0 + t))) or "round" (the per-round step).
     """
     epochs = made.epochs if epochs is None else epochs
-    stats = settle(client_stats(train, made))
-    begin = start_from(stats.df, params).select(
+    begin = starting_state(stats or settle(client_stats(train, made), limit=CLIENT_ROWS), params).df.select(
         "client_id", F.col("n").alias("n_examples"), "status", "coef", "intercept", "c0", "c1",
         F.lit(1.0).alias("t"), F.lit(0.0).alias("u"), F.transform("coef", lambda _: F.lit(0.0)).alias("q"),
         F.lit(0.0).alias("loss_sum"), F.lit(None).cast("double").alias("best"), F.lit(0).alias("stale"), F.lit(False).alias("done"),
     )
-    state = settle(begin, limit=50_000)
-    width = state.df.select(F.max(F.size("coef"))).first()[0] or 0
+    state = settle(begin, limit=CLIENT_ROWS)
+    width = len(state.rows.column("coef")[0]) if state.rows is not None and state.rows.num_rows else 0
     chunk_rows = max(1, chunk_values // (width + 1))
-    largest = state.df.agg(F.max("n_examples")).first()[0] or 0
+    largest = state.largest("n_examples")
     step = _step_rule(made, schedule, round_no)
     if largest <= chunk_rows:
         ordered = train.select("client_id", "label", "x", *_order_columns(key, seed))
-        final = _relay(ordered, state.df, made, step, epochs)
+        final = _relay(ordered, state, made, step, epochs)
     else:
         final = _chunked(train, state, made, step, epochs, key, seed, chunk_rows, largest)
     finite = F.forall("coef", lambda w: ~F.isnan(w) & (F.abs(w) < float("inf")))
@@ -101,10 +101,10 @@ def _chunked(train, state, made, step, epochs, key, seed, chunk_rows, largest) -
         for c in range(last):
             # Only clients that reach this chunk take part; the others keep their state.
             part = chunks.where(F.col("chunk") == c).drop("chunk")
-            stepped = _relay(part, state.df, made, step, 1, finish=False)
+            stepped = _relay(part, state, made, step, 1, finish=False)
             kept = state.df.join(stepped.select("client_id"), "client_id", "left_anti")
-            state = settle(stepped.unionByName(kept), limit=50_000)
-        state = settle(_end_epoch(state.df, made), limit=50_000)
+            state = settle(stepped.unionByName(kept), limit=CLIENT_ROWS)
+        state = settle(_end_epoch(state.df, made), limit=CLIENT_ROWS)
         if state.df.where(~F.col("done") & (F.col("status") == "ok")).limit(1).count() == 0:
             break
     return state.df
@@ -120,10 +120,10 @@ def _end_epoch(state: DataFrame, made: Learner) -> DataFrame:
     return state.withColumns({"stale": stale, "best": best, "done": F.col("done") | (stale >= PATIENCE), "loss_sum": F.lit(0.0)})
 
 
-def _relay(rows: DataFrame, state: DataFrame, made: Learner, step: tuple[float, float], epochs: int, finish: bool = True) -> DataFrame:
+def _relay(rows: DataFrame, state: Settled, made: Learner, step: tuple[float, float], epochs: int, finish: bool = True) -> DataFrame:
     """Run the given rows of each client through its learner, in order, `epochs` times."""
-    starts = {r["client_id"]: r.asDict() for r in state.collect()}
-    names = state.columns
+    starts = {r["client_id"]: r for r in state.records()}
+    names = state.df.columns
     loss, fit_intercept, tol, patience = made.loss, made.fit_intercept, made.tol, PATIENCE
     alpha = made.alpha or 1e-4
     l1, l2 = penalty_parts(made.penalty, made.l1_ratio)

@@ -2,24 +2,24 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 from shardwise.config import METRICS, LinearConfig
-from shardwise.functions.schedules import epochs_for
+from shardwise.functions.schedules import epochs_in_round
 from shardwise.operators.aggregate import aggregate_loss, aggregate_metrics, fedavg
 from shardwise.operators.evaluate import central_names, client_tallies, merge_tallies, metrics_from
-from shardwise.operators.linear import Learner, client_stats, initial_params, learner, local_fit
+from shardwise.operators.linear import CLIENT_ROWS, client_stats, fits_tasks, initial_params, learner, local_fit
 from shardwise.operators.sampling import balance, iid_partition, sample_clients, stratified_split
 from shardwise.operators.scaling import apply_scaler, fit_scaler
 from shardwise.operators.sgd import local_sgd
 from shardwise.sources.observations import assemble, complete_rows, prepared
 from shardwise.sources.rounds import write_round_log
-from shardwise.sources.scratch import scratch_dir, settle
-from shardwise.sources.state import write_params
+from shardwise.sources.scratch import Settled, scratch_dir, settle
+from shardwise.sources.state import PARAMS_SCHEMA, write_params
 
 
 @dataclass(frozen=True)
@@ -75,66 +75,70 @@ def run_linear(
         scaler=cfg.scaler_scope, features=tuple(features), label=label, dtype=dtype,
     )
     stored = prepared(rows, cache_dir, **known) if cache_dir and source else prepared(rows, scratch_dir(spark, "run"), **known)
-    train = stored.where(F.col("split") == "train").persist(StorageLevel.MEMORY_AND_DISK)
+    # Each client's rows are brought together once; every round then trains without a shuffle.
+    spread = min(cfg.clients, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    train = stored.where(F.col("split") == "train").select("client_id", "label", "x", *_keys(stored, key))
     test = stored.where(F.col("split") == "test")
+    stats = settle(client_stats(train, made), limit=CLIENT_ROWS)
+    if fits_tasks(stats, len(features)):
+        train = train.repartition(spread, "client_id")
+    train = train.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        stats = settle(client_stats(train, made), limit=50_000)
         plan = _participants(stats.df, cfg)
-        model = start if start is not None else settle(initial_params(spark, len(features), cfg.seed, cfg.fit_intercept)).df
-        epoch_plan = _epoch_plan(spark, cfg.rounds, made)
+        fitting: dict[int, list[int]] = {}
+        for row in plan.records():
+            if row["purpose"] == "fit":
+                fitting.setdefault(row["round"], []).append(row["client_id"])
+        model = settle(start if start is not None else initial_params(spark, len(features), cfg.seed, cfg.fit_intercept))
         history = []
         for round_no in range(1, cfg.rounds + 1):
             hook = cfg.on_round(round_no) if cfg.on_round else {}
-            chosen = [r["client_id"] for r in plan.where((F.col("purpose") == "fit") & (F.col("round") == round_no)).collect()]
-            if not chosen:
-                history.append(model.withColumn("round", F.lit(round_no)))
-                continue
-            part = train.where(F.col("client_id").isin(chosen))
-            epochs = hook.get("epochs", epoch_plan[round_no])
-            if cfg.learner == "sequential":
-                keys = [c for c in (key, "copy") if c in stored.columns]
-                local = local_sgd(part, model, made, keys, cfg.seed, epochs, hook.get("schedule", cfg.schedule), round_no)
-                local = settle(local, limit=50_000).df
-            else:
-                chosen_stats = replace(stats, df=stats.df.where(F.col("client_id").isin(chosen)))
-                local = local_fit(part, model, made, epochs, chosen_stats, step=hook.get("step", step), round_no=round_no)
-            merged = settle(fedavg(local, model, cfg.accept_failures)).df
-            model = merged if merged.limit(1).count() else model.withColumn("round", F.lit(round_no))
+            chosen = fitting.get(round_no, [])
+            if chosen:
+                part = train.where(F.col("client_id").isin(chosen))
+                mine = stats.only("client_id", chosen)
+                epochs = hook.get("epochs", epochs_in_round(round_no, made.epochs, made.loss))
+                if cfg.learner == "sequential":
+                    schedule = hook.get("schedule", cfg.schedule)
+                    local = local_sgd(part, model, made, _keys(stored, key), cfg.seed, epochs, mine, schedule, round_no)
+                else:
+                    local = local_fit(part, model, made, epochs, mine, step=hook.get("step", step), round_no=round_no)
+                merged = settle(fedavg(settle(local, limit=CLIENT_ROWS).df, accept_failures=cfg.accept_failures))
+                # Without a usable client the previous model goes on.
+                model = merged if merged.records() else model
+            history.extend({**row, "round": round_no} for row in model.records())
             if out_dir:
-                write_params(model, f"{out_dir}/params", round_no)
-            history.append(model)
-        return _evaluated(history, test, plan, cfg, out_dir)
+                write_params(model.df, f"{out_dir}/params", round_no)
+        return _evaluated(history, test, plan.df, cfg, out_dir)
     finally:
         train.unpersist()
 
 
-def _epoch_plan(spark: SparkSession, rounds: int, made: Learner) -> dict[int, int]:
-    """Local epochs of each round."""
-    numbered = spark.range(1, rounds + 1).withColumn("epochs", epochs_for(F.col("id"), made.epochs, made.loss))
-    return {r["id"]: r["epochs"] for r in numbered.collect()}
-
-
-def _participants(stats: DataFrame, cfg: LinearConfig) -> DataFrame:
+def _participants(stats: DataFrame, cfg: LinearConfig) -> Settled:
     """Clients chosen for fitting and evaluation in every round, in one table."""
     rounds = list(range(1, cfg.rounds + 1))
     fit = sample_clients(stats, cfg.fit_fraction, cfg.min_clients, rounds, cfg.seed, cfg.min_available, "fit")
     evaluate = sample_clients(stats, cfg.evaluate_fraction, cfg.min_clients, rounds, cfg.seed, cfg.min_available, "evaluate")
     return settle(
         fit.withColumn("purpose", F.lit("fit")).unionByName(evaluate.withColumn("purpose", F.lit("evaluate"))), limit=1_000_000
-    ).df
+    )
+
+
+def _keys(stored: DataFrame, key: str) -> list[str]:
+    """The columns that name a row: oversampled rows also carry a copy number."""
+    return [c for c in (key, "copy") if c in stored.columns]
 
 
-def _evaluated(history: list[DataFrame], test: DataFrame, plan: DataFrame, cfg: LinearConfig, out_dir: str | None) -> LinearRun:
-    params = history[0]
-    for later in history[1:]:
-        params = params.unionByName(later)
-    params = settle(params).df
+def _evaluated(history: list[dict], test: DataFrame, plan: DataFrame, cfg: LinearConfig, out_dir: str | None) -> LinearRun:
+    # One global model per round: rounds x (features + 1) numbers.
+    models = test.sparkSession.createDataFrame(history, PARAMS_SCHEMA)
+    params = settle(models)
     tallies = settle(client_tallies(test, params, cfg.loss), limit=1_000_000).df
     asked = plan.where(F.col("purpose") == "evaluate").drop("purpose")
     clients = metrics_from(tallies.join(asked, ["round", "client_id"], "left_semi"), ["round", "client_id"])
     rounds = aggregate_loss(clients).join(aggregate_metrics(clients), "round").select("round", "loss", *METRICS)
     central = metrics_from(merge_tallies(tallies.where(F.col("client_id").isin(*cfg.central_clients)), ["round"]), ["round"])
-    run = LinearRun(params, clients, settle(rounds).df, central_names(central))
+    run = LinearRun(params.df, clients, settle(rounds).df, central_names(central))
     if out_dir:
         write_round_log(run.round_metrics, f"{out_dir}/log")
         write_round_log_central(run.central_metrics, out_dir)

@@ -4,15 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, DoubleType, StructType
 
-SCALER_SCHEMA = StructType.fromDDL("feature STRING, mean DOUBLE, scale DOUBLE, n BIGINT")
-PARAMS_SCHEMA = StructType.fromDDL(
-    "round INT, client_id INT, n_examples BIGINT, status STRING, coef ARRAY<DOUBLE>, intercept DOUBLE"
+_ARRAY = ArrayType(DoubleType())
+SCALER_SCHEMA = StructType().add("feature", "string").add("mean", "double").add("scale", "double").add("n", "long")
+PARAMS_SCHEMA = (
+    StructType().add("round", "integer").add("client_id", "integer").add("n_examples", "long")
+    .add("status", "string").add("coef", _ARRAY).add("intercept", "double")
 )
-NODES_SCHEMA = StructType.fromDDL(
-    "round INT, client_id INT, tree_id INT, node_id INT, feature INT, threshold DOUBLE, "
-    "left INT, right INT, counts ARRAY<DOUBLE>, gain DOUBLE, n BIGINT"
+NODES_SCHEMA = (
+    StructType().add("round", "integer").add("client_id", "integer").add("tree_id", "integer").add("node_id", "integer")
+    .add("feature", "integer").add("threshold", "double").add("left", "integer").add("right", "integer")
+    .add("counts", _ARRAY).add("gain", "double").add("n", "long")
 )
 
 
