@@ -93,12 +93,12 @@ def centroid_params(parts: DataFrame, features: list[str]) -> DataFrame:
         F.avg(F.when(F.col("label") == k, F.col(c))).alias(f"{c}_{k}") for c in features for k in (0, 1)
     ]
     stats = rows.agg(F.count("*").alias("n_examples"), F.avg("label").alias("share"), *means)
-    coef = {c: F.round(F.col(f"{c}_1") - F.col(f"{c}_0"), 6) for c in features}
+    coef = {c: F.round(F.col(f"{c}_1") - F.col(f"{c}_0"), 9) for c in features}
     middle = F.lit(0.0)
     for c in features:
         middle = middle + coef[c] * (F.col(f"{c}_1") + F.col(f"{c}_0")) / 2.0
     status = F.when(F.col("share") < 0.2, "failed").otherwise("ok")
-    return params_row(stats.withColumn("status", status), [coef[c] for c in features], F.round(-middle, 6))
+    return params_row(stats.withColumn("status", status), [coef[c] for c in features], F.round(-middle, 9))
 
 
 def client_params(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,7 +140,7 @@ def _gini(zero: Column, one: Column) -> Column:
 
 def threshold_forest(parts: DataFrame) -> DataFrame:
     """Two small trees per client that split at the client's feature means, with its class counts as leaves."""
-    means = settle(parts.groupBy("client_id").agg(*[F.round(F.avg(c), 4).alias(f"t{i}") for i, c in enumerate(FEATURES)]))
+    means = settle(parts.groupBy("client_id").agg(*[F.round(F.avg(c), 6).alias(f"t{i}") for i, c in enumerate(FEATURES)]))
     rows = parts.join(means.side(), "client_id")
 
     def inside(path) -> Column:

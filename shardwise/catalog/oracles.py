@@ -86,7 +86,7 @@ FROM ordered GROUP BY client_id, split"""
 
 def scaler_rows(columns: list[str], source: str, where: str = "") -> str:
     parts = [
-        f"SELECT '{c}' AS feature, {r6(f'avg({c})')} AS mean, {r6(f'CASE WHEN stddev_pop({c}) > 0 THEN stddev_pop({c}) ELSE 1 END')} AS scale, count({c}) AS n FROM {source} {where}"
+        f"SELECT '{c}' AS feature, {r6(f'avg({c})', 8)} AS mean, {r6(f'CASE WHEN stddev_pop({c}) > 0 THEN stddev_pop({c}) ELSE 1 END', 8)} AS scale, count({c}) AS n FROM {source} {where}"
         for c in columns
     ]
     return "\nUNION ALL ".join(parts)
@@ -97,11 +97,11 @@ SQL["scaler_state"] = EVENTS + scaler_rows(FEATURES, "obs")
 CENTROIDS = (
     "centroids",
     """SELECT client_id, n_examples, CASE WHEN share < 0.2::DOUBLE THEN 'failed' ELSE 'ok' END AS status, w0, w1,
-  round(-(w0 * (v1 + v0) / 2 + w1 * (h1 + h0) / 2), 6) AS intercept FROM (
+  round(-(w0 * (v1 + v0) / 2 + w1 * (h1 + h0) / 2), 9) AS intercept FROM (
   SELECT client_id, count(*) AS n_examples, avg(label) AS share,
     avg(value) FILTER (WHERE label = 1) AS v1, avg(value) FILTER (WHERE label = 0) AS v0,
     avg(hour) FILTER (WHERE label = 1) AS h1, avg(hour) FILTER (WHERE label = 0) AS h0,
-    round(v1 - v0, 6) AS w0, round(h1 - h0, 6) AS w1 FROM part GROUP BY client_id)""",
+    round(v1 - v0, 9) AS w0, round(h1 - h0, 9) AS w1 FROM part GROUP BY client_id)""",
 )
 MODELS = with_(OBS, part(), CENTROIDS)
 SQL["latest_model"] = MODELS + "SELECT 3 AS round, client_id, 3 * n_examples AS n_examples, status, w0, w1, intercept FROM centroids"
@@ -123,7 +123,7 @@ def _forest_tables() -> tuple[tuple[str, str], ...]:
             f"{left} AS lft, {right} AS rgt, count(*) FILTER (WHERE ({_path(path)}) AND label = 0) AS c0, "
             f"count(*) FILTER (WHERE ({_path(path)}) AND label = 1) AS c1 FROM cut GROUP BY client_id"
         )
-    means = ", ".join(f"round(avg({c}), 4) AS t{i}" for i, c in enumerate(FEATURES))
+    means = ", ".join(f"round(avg({c}), 6) AS t{i}" for i, c in enumerate(FEATURES))
     return (
         ("means", f"SELECT client_id, {means} FROM part GROUP BY client_id"),
         ("cut", "SELECT part.*, t0, t1, t2 FROM part JOIN means USING (client_id)"),
@@ -323,8 +323,8 @@ def zscores(columns: list[str], source: str, fitted_on: str) -> str:
 SQL["scaler_apply"] = with_(OBS, ("z", zscores(FEATURES, "obs", "obs"))) + f"SELECT event_id, {rounded(FEATURES)} FROM z"
 SQL["scaler_first_partition"] = PARTED + scaler_rows(FEATURES, "part", "WHERE client_id = 0")
 LONG_VECTORS = ("long_v", "SELECT vec_id, CASE WHEN label < 3 THEN 1 ELSE 0 END AS label, unnest(range(64)) AS i, unnest(embedding)::DOUBLE AS v FROM embeddings")
-SQL["scaler_wide"] = with_(LONG_VECTORS) + f"""SELECT 'x' || lpad(i::VARCHAR, 2, '0') AS feature, {r6('avg(v)')} AS mean,
-{r6('CASE WHEN stddev_pop(v) > 0 THEN stddev_pop(v) ELSE 1 END')} AS scale, count(v) AS n FROM long_v GROUP BY i"""
+SQL["scaler_wide"] = with_(LONG_VECTORS) + f"""SELECT 'x' || lpad(i::VARCHAR, 2, '0') AS feature, {r6('avg(v)', 8)} AS mean,
+{r6('CASE WHEN stddev_pop(v) > 0 THEN stddev_pop(v) ELSE 1 END', 8)} AS scale, count(v) AS n FROM long_v GROUP BY i"""
 
 
 # --- local training -------------------------------------------------------------------------
@@ -426,10 +426,10 @@ SQL["fedavg_failures"] = MODELS + f"""SELECT 1 AS round, {FLAT} FROM ({mean_mode
 UNION ALL SELECT 1 AS round, {FLAT} FROM ({mean_model()}) WHERE NOT EXISTS (SELECT 1 FROM centroids {OK})
 UNION ALL SELECT 2 AS round, {FLAT} FROM ({mean_model()})"""
 OWN = ("own", "SELECT part.*, value * w0 + hour * w1 + intercept AS decision FROM part JOIN centroids USING (client_id)")
-SQL["decision_value"] = with_(OBS, part(), CENTROIDS, OWN) + f"SELECT event_id, {r6('decision', 9)} AS decision FROM own"
+SQL["decision_value"] = with_(OBS, part(), CENTROIDS, OWN) + f"SELECT event_id, {r6('decision', 4)} AS decision FROM own"
 SQL["predict_linear"] = with_(OBS, part(), CENTROIDS, OWN) + "SELECT event_id, client_id, CASE WHEN decision > 0 THEN 1 ELSE 0 END AS pred FROM own"
 SQL["predict_proba"] = with_(OBS, part(), CENTROIDS, OWN) + f"""SELECT event_id, {r6('1 / (1 + exp(-decision))')} AS logistic,
-{r6('(least(greatest(decision, -1), 1) + 1) / 2')} AS huber FROM own"""
+{r6('(least(greatest(decision, -1), 1) + 1) / 2', 4)} AS huber FROM own"""
 GLOBALS = ("globals", f"""SELECT 1 AS round, {FLAT} FROM ({mean_model()}) UNION ALL SELECT 2 AS round, {FLAT} FROM ({mean_model(OK)}) WHERE n_examples IS NOT NULL""")
 
 

@@ -1,6 +1,7 @@
 """One callable (spark, sf_dir) -> DataFrame per operator.
 
-Sums of doubles are rounded to six places, so that engines that add in another order agree.
+Sums of doubles are rounded, so that engines that add in another order agree. The places are chosen
+so that no exact decimal of the inputs lies halfway between two rounded values.
 """
 
 from __future__ import annotations
@@ -45,8 +46,8 @@ def query(run: Query) -> Query:
     return run
 
 
-def _rounded(df: DataFrame, *columns: str) -> DataFrame:
-    return df.withColumns({c: F.round(c, 6) for c in columns})
+def _rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
+    return df.withColumns({c: F.round(c, digits) for c in columns})
 
 
 # --- sources, sinks and state ---------------------------------------------------------------
@@ -113,7 +114,7 @@ def prepared_cache(spark, sf_dir):
 def scaler_state(spark, sf_dir):
     path = scratch_dir(spark, "scaler")
     save_scaler(scaling.fit_scaler(events(spark, sf_dir), FEATURES), path)
-    return _rounded(load_scaler(spark, path), "mean", "scale")
+    return _rounded(load_scaler(spark, path), "mean", "scale", digits=8)
 
 
 @query
@@ -265,7 +266,7 @@ def weight_stats(spark, sf_dir):
 
 @query
 def scaler_fit(spark, sf_dir):
-    return _rounded(scaling.fit_scaler(lineitems(spark, sf_dir), ["quantity", "price", "discount", "tax"]), "mean", "scale")
+    return _rounded(scaling.fit_scaler(lineitems(spark, sf_dir), ["quantity", "price", "discount", "tax"]), "mean", "scale", digits=8)
 
 
 @query
@@ -277,7 +278,7 @@ def scaler_apply(spark, sf_dir):
 
 @query
 def scaler_first_partition(spark, sf_dir):
-    return _rounded(scaling.fit_scaler(parted(spark, sf_dir), FEATURES, "first"), "mean", "scale")
+    return _rounded(scaling.fit_scaler(parted(spark, sf_dir), FEATURES, "first"), "mean", "scale", digits=8)
 
 
 @query
@@ -286,7 +287,7 @@ def scaler_wide(spark, sf_dir):
     df = table(spark, sf_dir, "embeddings")
     names = [f"x{i:02d}" for i in range(64)]
     wide = df.select(*[F.col("embedding")[i].cast("double").alias(n) for i, n in enumerate(names)])
-    return _rounded(scaling.fit_scaler(wide, names), "mean", "scale")
+    return _rounded(scaling.fit_scaler(wide, names), "mean", "scale", digits=8)
 
 
 # --- local training -------------------------------------------------------------------------
@@ -426,7 +427,7 @@ def fedavg_failures(spark, sf_dir):
 @query
 def merge_forests(spark, sf_dir):
     merged = trees.merge_forests(forest(spark, sf_dir))
-    return merged.select("round", "tree_id", "node_id", "feature", F.round("threshold", 4).alias("threshold"), "left", "right", "n")
+    return merged.select("round", "tree_id", "node_id", "feature", F.round("threshold", 6).alias("threshold"), "left", "right", "n")
 
 
 @query
@@ -439,14 +440,14 @@ def tree_scores(spark, sf_dir):
 def prune_forest(spark, sf_dir):
     merged = settle(trees.merge_forests(forest(spark, sf_dir))).df
     pruned = trees.prune_forest(merged, trees.tree_scores(merged, observed(spark, sf_dir)), 4)
-    return pruned.select("tree_id", "node_id", "feature", F.round("threshold", 4).alias("threshold"), "n")
+    return pruned.select("tree_id", "node_id", "feature", F.round("threshold", 6).alias("threshold"), "n")
 
 
 @query
 def merge_and_prune(spark, sf_dir):
     """Pruned to the default target: half of the trees but at least ten."""
     pruned = trees.merge_and_prune(forest(spark, sf_dir), observed(spark, sf_dir))
-    return pruned.select("tree_id", "node_id", "feature", F.round("threshold", 4).alias("threshold"), "n")
+    return pruned.select("tree_id", "node_id", "feature", F.round("threshold", 6).alias("threshold"), "n")
 
 
 @query
@@ -481,7 +482,7 @@ def _scored_by_own_model(spark, sf_dir) -> DataFrame:
 
 @query
 def decision_value(spark, sf_dir):
-    return _scored_by_own_model(spark, sf_dir).select(KEY, F.round("decision", 9).alias("decision"))
+    return _scored_by_own_model(spark, sf_dir).select(KEY, F.round("decision", 4).alias("decision"))
 
 
 @query
@@ -493,7 +494,7 @@ def predict_linear(spark, sf_dir):
 def predict_proba(spark, sf_dir):
     df = _scored_by_own_model(spark, sf_dir)
     f = F.col("decision")
-    return df.select(KEY, F.round(probability(f, "log_loss"), 6).alias("logistic"), F.round(probability(f, "modified_huber"), 6).alias("huber"))
+    return df.select(KEY, F.round(probability(f, "log_loss"), 6).alias("logistic"), F.round(probability(f, "modified_huber"), 4).alias("huber"))
 
 
 @query
