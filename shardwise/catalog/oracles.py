@@ -33,7 +33,7 @@ def part(clients: int = CLIENTS, source: str = "obs", name: str = "part") -> tup
   FROM {source}""")
 
 
-def stratified(source: str, name: str = "strat") -> tuple[tuple[str, str], ...]:
+def stratified(source: str, purpose: str = "stratify", name: str = "strat") -> tuple[tuple[str, str], ...]:
     """Split per client with class shares kept."""
     return (
         (f"{name}_n", f"SELECT client_id, label, count(*) AS n FROM {source} GROUP BY ALL"),
@@ -45,7 +45,7 @@ def stratified(source: str, name: str = "strat") -> tuple[tuple[str, str], ...]:
         (f"{name}_k", f"""SELECT client_id, label, able, whole + CASE WHEN row_number() OVER (PARTITION BY client_id ORDER BY remainder DESC, label)
   <= tests - sum(whole) OVER (PARTITION BY client_id) THEN 1 ELSE 0 END AS quota FROM {name}_q"""),
         (name, f"""SELECT s.*, CASE WHEN NOT able THEN NULL WHEN row_number() OVER (PARTITION BY client_id, label
-  ORDER BY {digest('stratify', 'event_id')}, event_id) <= quota THEN 'test' ELSE 'train' END AS split
+  ORDER BY {digest(purpose, 'event_id')}, event_id) <= quota THEN 'test' ELSE 'train' END AS split
   FROM {source} s JOIN {name}_k USING (client_id, label)"""),
     )
 
@@ -394,6 +394,21 @@ SQL["hinge_epoch"] = epochs_sql("hinge", "l2")
 SQL["huber_epoch"] = epochs_sql("modified_huber", "l2")
 SQL["elastic_epoch"] = epochs_sql("log_loss", "elasticnet")
 SQL["whole_client_fit"] = SQL["logistic_epoch"]
+# One step per row: every client reads its next row in hash order, decays its weights, then moves.
+SQL["sequential_fit"] = with_(
+    OBS, part(), TWO_FEATURES, START,
+    ("queue", f"""SELECT client_id, label, x0, x1, count(*) OVER (PARTITION BY client_id) AS n,
+  row_number() OVER (PARTITION BY client_id ORDER BY {digest('sgd', 'event_id')}, event_id) AS place FROM two"""),
+    ("queued", "SELECT * FROM queue UNION ALL SELECT * REPLACE (place + n AS place) FROM queue"),
+    ("sgd", f"""SELECT client_id, 0::BIGINT AS done, w0, w1, b FROM start
+  UNION ALL
+  SELECT client_id, place, keep * w0 + push * x0, keep * w1 + push * x1, b + push FROM (
+    SELECT s.client_id, q.place, s.w0, s.w1, s.b, q.x0, q.x1, 1 - 0.001::DOUBLE * eta AS keep,
+      CASE WHEN (2 * label - 1) * (s.w0 * q.x0 + s.w1 * q.x1 + s.b) <= 1 THEN eta * (2 * label - 1) ELSE 0 END AS push
+    FROM (SELECT *, 1 / (0.001::DOUBLE * (1 / (sqrt(1 / sqrt(0.001::DOUBLE)) * 0.001::DOUBLE) + done)) AS eta FROM sgd) s
+    JOIN queued q ON q.client_id = s.client_id AND q.place = s.done + 1)"""),
+) + f"""SELECT client_id, n AS n_examples, 'ok' AS status, {r6('w0')} AS w0, {r6('w1')} AS w1, {r6('b')} AS intercept
+FROM sgd JOIN (SELECT client_id, count(*) AS n FROM two GROUP BY client_id) USING (client_id) WHERE done = 2 * n"""
 SQL["initial_model"] = with_(LONG_VECTORS) + f"""SELECT vec_id, {r6(f"sum(v * {draw('i')}) + any_value({draw('64')})")} AS decision FROM long_v GROUP BY vec_id"""
 # From zero weights every probability is 1/2, so one epoch has a closed form.
 SQL["wide_epoch"] = with_(
@@ -485,7 +500,7 @@ coalesce(loss - previous_loss > 0.01::DOUBLE, false) AS loss_increase FROM steps
 def prepared_rows(ratio: float) -> tuple[tuple[str, str], ...]:
     single = ("single", "SELECT event_id, label, value::FLOAT::DOUBLE AS x0, hour::FLOAT::DOUBLE AS x1 FROM obs")
     scaled = ("scaled", zscores(["x0", "x1"], "part", "part WHERE client_id = 0"))
-    return (OBS, single, part(source="single"), scaled, undersampled("scaled", ratio), *stratified("balanced"))
+    return (OBS, single, part(source="single"), scaled, undersampled("scaled", ratio), *stratified("balanced", "undersample"))
 
 
 def job(loss: str, ratio: float, fit: int, evaluate: int) -> str:

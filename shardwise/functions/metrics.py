@@ -21,42 +21,34 @@ def confusion_counts(label: Column, pred: Column) -> dict[str, Column]:
     }
 
 
-def ratio(top: Column, bottom: Column) -> Column:
+def _ratio(top: str, bottom: str) -> str:
     """A quotient that is 0 where the denominator is."""
-    return F.when(bottom > 0, top / bottom).otherwise(F.lit(0.0))
-
-
-def is_imbalanced(threshold: float = IMBALANCE) -> Column:
-    negative, positive = F.col("tn") + F.col("fp"), F.col("fn") + F.col("tp")
-    return F.greatest(negative, positive) / (negative + positive) > F.lit(threshold)
+    return f"CASE WHEN {bottom} > 0 THEN ({top}) / ({bottom}) ELSE 0D END"
 
 
 def metric_columns(average: str = "auto") -> dict[str, Column]:
     """Accuracy, precision, recall, F1 and error rates from columns tn, fp, fn, tp.
 
     `average`: "binary" rates class 1, "weighted" averages both classes by support, "auto" weights
-    only where the labels are imbalanced.
+    only where one class holds more than the imbalance share of the labels.
     """
-    tn, fp, fn, tp = (F.col(c) for c in ("tn", "fp", "fn", "tp"))
-    negative, positive = tn + fp, fn + tp
-    total = negative + positive
-
-    def averaged(of_negative: Column, of_positive: Column) -> Column:
-        weighted = ratio(negative * of_negative + positive * of_positive, total)
-        if average == "binary":
-            return of_positive
-        if average == "weighted":
-            return weighted
-        return F.when(is_imbalanced(), weighted).otherwise(of_positive)
-
-    return {
-        "accuracy": ratio(tn + tp, total),
-        "precision": averaged(ratio(tn, tn + fn), ratio(tp, tp + fp)),
-        "recall": averaged(ratio(tn, negative), ratio(tp, positive)),
-        "f1_score": averaged(ratio(2 * tn, 2 * tn + fn + fp), ratio(2 * tp, 2 * tp + fp + fn)),
-        "false_positive_rate": ratio(fp, negative),
-        "false_negative_rate": ratio(fn, positive),
+    total, negative, positive = "tn + fp + fn + tp", "tn + fp", "fn + tp"
+
+    def averaged(of_negative: str, of_positive: str) -> str:
+        weighted = _ratio(f"({negative}) * ({of_negative}) + ({positive}) * ({of_positive})", total)
+        skewed = f"greatest({negative}, {positive}) / ({total}) > {IMBALANCE}D"
+        forms = {"binary": of_positive, "weighted": weighted, "auto": f"CASE WHEN {skewed} THEN {weighted} ELSE {of_positive} END"}
+        return forms[average]
+
+    columns = {
+        "accuracy": _ratio("tn + tp", total),
+        "precision": averaged(_ratio("tn", "tn + fn"), _ratio("tp", "tp + fp")),
+        "recall": averaged(_ratio("tn", negative), _ratio("tp", positive)),
+        "f1_score": averaged(_ratio("2 * tn", "2 * tn + fn + fp"), _ratio("2 * tp", "2 * tp + fp + fn")),
+        "false_positive_rate": _ratio("fp", negative),
+        "false_negative_rate": _ratio("fn", positive),
     }
+    return {name: F.expr(sql) for name, sql in columns.items()}
 
 
 def hinge_row(label: Column, decision: Column, signed: bool = False) -> Column:

@@ -17,23 +17,24 @@ def fedavg(params: DataFrame, previous: DataFrame | None = None, accept_failures
     Failed clients are left out. A round where none survives (or where one failed and failures are
     not accepted) gives the previous model, if one is passed, under the round's number.
     """
-    ok, n = F.col("status") == "ok", F.col("n_examples").cast("double")
-    # The intercept rides along as the last position; one aggregation per position, one to regroup.
-    entries = params.select("round", ok.alias("ok"), "n_examples", n.alias("k"), F.posexplode(F.concat("coef", F.array("intercept"))).alias("i", "w"))
+    # The intercept rides along as the last position: one aggregation per position, one to regroup.
+    entries = params.selectExpr(
+        "round", "status = 'ok' AS ok", "n_examples", "posexplode(concat(coef, array(intercept))) AS (i, w)"
+    )
     sums = entries.groupBy("round", "i").agg(
-        (F.sum(F.when(F.col("ok"), F.col("k") * F.col("w"))) / F.sum(F.when(F.col("ok"), F.col("k")))).alias("w"),
-        F.sum(F.when(F.col("ok"), F.col("n_examples"))).alias("n_examples"),
-        F.count_if("ok").alias("good"),
-        F.count_if(~F.col("ok")).alias("bad"),
+        F.expr("sum(CAST(n_examples AS DOUBLE) * w) FILTER (WHERE ok) / sum(n_examples) FILTER (WHERE ok) AS w"),
+        F.expr("sum(n_examples) FILTER (WHERE ok) AS n_examples"),
+        F.expr("count_if(ok) AS good"),
+        F.expr("count_if(NOT ok) AS bad"),
     )
-    weights = F.transform(F.sort_array(F.collect_list(F.struct("i", "w"))), lambda e: e["w"])
     rounds = sums.groupBy("round").agg(
-        weights.alias("all"), F.max("n_examples").alias("n_examples"), F.max("good").alias("good"), F.max("bad").alias("bad")
+        F.expr("transform(sort_array(collect_list(struct(i, w))), e -> e.w) AS weights"),
+        F.expr("max(n_examples) AS n_examples"), F.expr("max(good) AS good"), F.expr("max(bad) AS bad"),
     )
-    usable = (F.col("good") > 0) & (F.lit(accept_failures) | (F.col("bad") == 0))
-    merged = rounds.where(usable).select(
-        "round", F.lit(None).cast("int").alias("client_id"), "n_examples", F.lit("ok").alias("status"),
-        F.slice("all", F.lit(1), F.size("all") - 1).alias("coef"), F.element_at("all", -1).alias("intercept"),
+    usable = F.expr("good > 0" if accept_failures else "good > 0 AND bad = 0")
+    merged = rounds.where(usable).selectExpr(
+        "round", "CAST(NULL AS INT) AS client_id", "n_examples", "'ok' AS status",
+        "slice(weights, 1, size(weights) - 1) AS coef", "element_at(weights, -1) AS intercept",
     )
     if previous is None:
         return merged

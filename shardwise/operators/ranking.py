@@ -10,11 +10,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shardwise.functions.hashing import hash_order
-from shardwise.sources.scratch import DRIVER_ROWS, Settled, settle
+from shardwise.sources.scratch import DRIVER_ROWS, Settled, local_table, settle
 
 # Hex digits per counting pass. Two passes leave 1/65536 of a group to sort exactly.
 DIGITS = (2, 4)
@@ -40,9 +41,9 @@ def _prefix(width: int) -> Column:
 
 def _histogram(rows: DataFrame, by: list[str], width: int) -> Settled:
     """Rows per (group, prefix) and the rows before each prefix inside its parent prefix."""
-    counts = rows.groupBy(*by, "parent", _prefix(width).alias("prefix")).agg(F.count("*").alias("n"))
+    counts = settle(rows.groupBy(*by, "parent", _prefix(width).alias("prefix")).agg(F.count("*").alias("n")), limit=1_000_000)
     order = Window.partitionBy(*by, "parent").orderBy("prefix")
-    return settle(counts.withColumn("before", F.sum("n").over(order) - F.col("n")), limit=1_000_000)
+    return Settled(counts.df.withColumn("before", F.sum("n").over(order) - F.col("n")), counts.rows)
 
 
 def cutoffs(
@@ -78,14 +79,15 @@ def cutoffs(
         # A local histogram bounds the groups, so the wanted ranks may be broadcast unevaluated.
         bounded = hist.rows is not None and hist.rows.num_rows * per_group <= DRIVER_ROWS
         side = F.broadcast(state) if bounded else settle(state).side()
-        inside = rows.withColumn("parent", _prefix(width)).join(
-            side.select(*groups, "parent"), [*groups, "parent"], "left_semi"
-        )
+        placed = rows.withColumn("parent", _prefix(width))
         if hist.largest("n") <= sort_rows:
             break
-    order = Window.partitionBy(*groups, "parent").orderBy("pos")
-    ranked = inside.withColumn("rest", F.row_number().over(order))
-    return settle(ranked.join(side, [*groups, "parent", "rest"]).select(*by, "r", F.col("pos").alias("cut")))
+        inside = placed.join(side.select(*groups, "parent"), [*groups, "parent"], "left_semi")
+    # Rows that share a prefix with a wanted rank are numbered once per rank; prefixes are fine
+    # enough by now that few ranks share one.
+    order = Window.partitionBy(*groups, "parent", "r").orderBy("pos")
+    numbered = placed.join(side, [*groups, "parent"]).withColumn("place", F.row_number().over(order))
+    return settle(numbered.where(F.col("place") == F.col("rest")).select(*by, "r", F.col("pos").alias("cut")))
 
 
 def at_or_before(df: DataFrame, by: list[str], key: list[str], seed: int, purpose: str, cut: Settled, flag: str) -> DataFrame:
@@ -103,26 +105,35 @@ def segment(df: DataFrame, key: list[str], seed: int, purpose: str, cut: Settled
     A lookup table with one row per two-digit prefix holds the cutoffs inside that prefix and the
     number before it, so each row compares itself with its own few cutoffs only.
     """
-    spark = df.sparkSession
-    prefixes = spark.range(0, 256, 1, 1).select(F.lower(F.lpad(F.hex("id"), 2, "0")).alias("prefix"))
-    inside = cut.df.groupBy(F.substring(F.col("cut.h"), 1, 2).alias("prefix")).agg(F.collect_list("cut").alias("cuts"))
-    order = Window.partitionBy(F.lit(0)).orderBy("prefix").rowsBetween(Window.unboundedPreceding, -1)
-    lookup = settle(
-        prefixes.join(inside, "prefix", "left").withColumn(
-            "before", F.coalesce(F.sum(F.coalesce(F.size("cuts"), F.lit(0))).over(order), F.lit(0)).cast("int")
-        )
-    )
     mine = position_key(seed, purpose, key)
     keyed = df.withColumn("segment_pos", mine).withColumn("prefix", F.substring(F.col("segment_pos.h"), 1, 2))
     passed = F.size(F.filter("cuts", lambda c: c < F.col("segment_pos")))
-    count = F.when(F.col("cuts").isNull(), F.lit(0)).otherwise(passed)
+    count = F.when(F.size("cuts") == 0, F.lit(0)).otherwise(passed)
     return (
-        keyed.join(lookup.side(), "prefix")
+        keyed.join(F.broadcast(_prefix_lookup(df.sparkSession, cut)), "prefix")
         .withColumn(name, (F.col("before") + count).cast("int"))
         .drop("prefix", "segment_pos", "before", "cuts")
     )
 
 
+def _prefix_lookup(spark: SparkSession, cut: Settled) -> DataFrame:
+    """256 rows (prefix, before, cuts)."""
+    prefixes = [f"{i:02x}" for i in range(256)]
+    if cut.rows is not None:
+        inside: dict[str, list] = {p: [] for p in prefixes}
+        for value in cut.rows.column("cut").to_pylist():
+            inside[value["h"][:2]].append(value)
+        sizes = [len(inside[p]) for p in prefixes]
+        before = [sum(sizes[:i]) for i in range(256)]
+        cuts = pa.array([inside[p] for p in prefixes], pa.list_(cut.rows.schema.field("cut").type))
+        return local_table(spark, pa.table({"prefix": prefixes, "before": pa.array(before, pa.int32()), "cuts": cuts})).df
+    found = cut.df.groupBy(F.substring(F.col("cut.h"), 1, 2).alias("prefix")).agg(F.collect_list("cut").alias("cuts"))
+    every = spark.range(0, 256, 1, 1).select(F.lower(F.lpad(F.hex("id"), 2, "0")).alias("prefix")).join(found, "prefix", "left")
+    cuts = F.coalesce("cuts", F.array().cast(found.schema["cuts"].dataType))
+    order = Window.partitionBy(F.lit(0)).orderBy("prefix")
+    return settle(every.withColumn("cuts", cuts).withColumn("before", (F.sum(F.size("cuts")).over(order) - F.size("cuts")).cast("int"))).df
+
+
 def distributed_rank(df: DataFrame, by: list[str], key: list[str], seed: int, purpose: str, name: str = "rank") -> DataFrame:
     """Add the exact 1-based rank in hash order within each group.
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shardwise.functions.hashing import hash_order
-from shardwise.operators.ranking import at_or_before, cutoffs, distributed_rank, segment
+from shardwise.operators.ranking import at_or_before, cutoffs, distributed_rank, position_key, segment
 from shardwise.sources.scratch import settle
 
 PARTITION = "partition"
@@ -64,17 +64,19 @@ def split_quotas(counts: DataFrame, by: list[str], label: str, test_fraction: fl
     )
 
 
-def stratified_split(df: DataFrame, by: list[str], label: str, key: list[str], test_fraction: float, seed: int) -> DataFrame:
+def stratified_split(
+    df: DataFrame, by: list[str], label: str, key: list[str], test_fraction: float, seed: int, purpose: str = "stratify"
+) -> DataFrame:
     """Add `split` per group with class shares kept; rows of a group that cannot be split get null."""
     cut = cutoffs(
-        df, [*by, label], key, seed, "stratify",
+        df, [*by, label], key, seed, purpose,
         lambda sizes: split_quotas(sizes, by, label, test_fraction).withColumn(
             "r", F.when(F.col("feasible"), F.greatest(F.col("r"), F.lit(0))).otherwise(F.lit(0))
         ),
     )
     # A group that can be split has a test row in some class, hence a cutoff.
     able = settle(cut.df.select(*by).distinct().withColumn("feasible", F.lit(True)))
-    flagged = at_or_before(df, [*by, label], key, seed, "stratify", cut, "picked")
+    flagged = at_or_before(df, [*by, label], key, seed, purpose, cut, "picked")
     named = _labelled(flagged.join(able.side(), by, "left"), "test", "train")
     return named.withColumn("split", F.when(F.col("feasible"), F.col("split"))).drop("feasible")
 
@@ -100,15 +102,20 @@ def undersample(df: DataFrame, by: list[str], label: str, key: list[str], ratio:
     """Keep every positive row and int(positives * ratio) negatives; all of them where there are fewer."""
 
     def targets(sizes: DataFrame) -> DataFrame:
-        positives = F.sum(F.when(F.col(label) == 1, F.col("n")).otherwise(0)).over(Window.partitionBy(*by))
-        target = F.floor(positives * F.lit(float(ratio)))
-        return sizes.withColumn("r", F.least(F.col("n"), target)).where(F.col(label) == 0)
+        return _kept_rows(sizes, by, label, ratio).withColumnRenamed("kept", "r").where(F.col(label) == 0)
 
     cut = cutoffs(df, [*by, label], key, seed, "undersample", targets)
     flagged = at_or_before(df, [*by, label], key, seed, "undersample", cut, "picked")
     return flagged.where((F.col(label) == 1) | F.col("picked")).drop("picked")
 
 
+def _kept_rows(sizes: DataFrame, by: list[str], label: str, ratio: float) -> DataFrame:
+    """Rows undersampling keeps of each class."""
+    positives = F.sum(F.when(F.col(label) == 1, F.col("n")).otherwise(0)).over(Window.partitionBy(*by))
+    target = F.least(F.col("n"), F.floor(positives * F.lit(float(ratio))))
+    return sizes.withColumn("kept", F.when(F.col(label) == 0, target).otherwise(F.col("n")))
+
+
 def oversample(df: DataFrame, by: list[str], label: str, key: list[str], ratio: float, seed: int) -> DataFrame:
     """Replace the positives of each group by int(positives * ratio) draws with replacement.
 
@@ -149,6 +156,43 @@ def balance(df: DataFrame, method: str | None, by: list[str], label: str, key: l
     raise ValueError(f"unknown balance method: {method}")
 
 
+def balanced_split(
+    df: DataFrame, method: str | None, by: list[str], label: str, key: list[str], ratio: float, test_fraction: float, seed: int
+) -> DataFrame:
+    """Balance the classes, then split them: the job's two steps in as few passes as they allow.
+
+    Undersampling keeps the first rows of each class in hash order, so the split can take its test
+    rows from the front of the same order. Both bounds are then found together, and the result is
+    that of `undersample` followed by `stratified_split` with the same purpose.
+    """
+    if method != "undersample":
+        balanced = balance(df, method, by, label, key, ratio, seed)
+        keys = [*key, "copy"] if method == "oversample" else key
+        return stratified_split(balanced, by, label, keys, test_fraction, seed)
+
+    groups = [*by, label]
+
+    def bounds(sizes: DataFrame) -> DataFrame:
+        kept = _kept_rows(sizes, by, label, ratio).select(*groups, F.col("kept").alias("n")).where(F.col("n") > 0)
+        quotas = split_quotas(kept, by, label, test_fraction)
+        tests = F.when(F.col("feasible"), F.col("r")).otherwise(F.lit(0))
+        return quotas.select(*groups, F.explode(F.array(F.col("n"), tests)).alias("r"))
+
+    cut = cutoffs(df, groups, key, seed, "undersample", bounds, per_group=2)
+    # The later bound ends the kept rows, an earlier one ends the test rows.
+    both = cut.df.groupBy(*groups).agg(F.max("cut").alias("last_kept"), F.expr("CASE WHEN count(*) > 1 THEN min(cut) END AS last_test"))
+    able = F.count("last_test").over(Window.partitionBy(*by)) > 0
+    lookup = both.withColumn("able", able)
+    mine = position_key(seed, "undersample", key)
+    joined = df.join(F.broadcast(lookup) if cut.small else lookup, groups).withColumn("pos", mine)
+    split = F.when(F.col("pos") <= F.col("last_test"), "test").otherwise("train")
+    return (
+        joined.where(F.col("pos") <= F.col("last_kept"))
+        .withColumn("split", F.when(F.col("able"), split))
+        .drop("pos", "last_kept", "last_test", "able")
+    )
+
+
 def sample_clients(
     clients: DataFrame, fraction: float, minimum: int, rounds: Sequence[int], seed: int, min_available: int = 2, purpose: str = "fit"
 ) -> DataFrame:

@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shardwise.config import ForestConfig
-from shardwise.functions.schedules import trees_for
-from shardwise.operators.aggregate import aggregate_accuracy, aggregate_loss
+from shardwise.functions.schedules import trees_in_round
+from shardwise.operators.aggregate import aggregate_metrics
 from shardwise.operators.evaluate import evaluate_forest
 from shardwise.operators.forest import fit_forest, grow_forest, initial_forest, merge_and_prune
 from shardwise.operators.sampling import central_head_test, iid_partition, ordered_split, sample_clients
@@ -49,12 +49,11 @@ def run_forest(
     rounds = list(range(1, cfg.rounds + 1))
     fitting = settle(sample_clients(clients, cfg.fit_fraction, cfg.min_clients, rounds, cfg.seed, cfg.min_available, "fit")).df
     asked = settle(sample_clients(clients, cfg.evaluate_fraction, cfg.min_clients, rounds, cfg.seed, cfg.min_available, "evaluate")).df
-    targets = {r["round"]: r["trees"] for r in spark.createDataFrame([(r,) for r in rounds], "round INT").withColumn("trees", trees_for(F.col("round"))).collect()}
     model = None if cfg.cold_start else settle(initial_forest(spark, len(features), cfg.trees, cfg.depth, cfg.seed)).df
     history, metrics = [], []
     for round_no in rounds:
         hook = cfg.on_round(round_no) if cfg.on_round else {}
-        target = hook.get("trees", targets[round_no])
+        target = hook.get("trees", trees_in_round(round_no))
         chosen = [r["client_id"] for r in fitting.where(F.col("round") == round_no).orderBy("client_id").collect()]
         if chosen:
             grown = settle(_grow_all(model, train, chosen, target, cfg, round_no), limit=1_000_000).df
@@ -69,8 +68,7 @@ def run_forest(
     if not history:
         raise ValueError("no round had enough clients")
     client_metrics = reduce(DataFrame.unionByName, metrics)
-    summary = aggregate_loss(client_metrics).join(aggregate_accuracy(client_metrics), "round")
-    return ForestRun(reduce(DataFrame.unionByName, history), client_metrics, summary)
+    return ForestRun(reduce(DataFrame.unionByName, history), client_metrics, aggregate_metrics(client_metrics, ("loss", "accuracy")))
 
 
 def _grow_all(model: DataFrame | None, train: DataFrame, clients: list[int], target: int, cfg: ForestConfig, round_no: int) -> DataFrame:

@@ -8,12 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
-from shardwise.config import METRICS, LinearConfig
+from shardwise.config import LOG_METRICS, LinearConfig
 from shardwise.functions.schedules import epochs_in_round
-from shardwise.operators.aggregate import aggregate_loss, aggregate_metrics, fedavg
+from shardwise.operators.aggregate import aggregate_metrics, fedavg
 from shardwise.operators.evaluate import central_names, client_tallies, merge_tallies, metrics_from
 from shardwise.operators.linear import CLIENT_ROWS, client_stats, fits_tasks, initial_params, learner, local_fit
-from shardwise.operators.sampling import balance, iid_partition, sample_clients, stratified_split
+from shardwise.operators.sampling import balanced_split, iid_partition, sample_clients
 from shardwise.operators.scaling import apply_scaler, fit_scaler
 from shardwise.operators.sgd import local_sgd
 from shardwise.sources.observations import assemble, complete_rows, prepared
@@ -44,9 +44,7 @@ def prepare_clients(
     parts = iid_partition(clean, [key], cfg.clients, cfg.seed)
     scaler = scaler if scaler is not None else fit_scaler(parts, features, cfg.scaler_scope)
     scaled = assemble(apply_scaler(parts, scaler, features), features).drop(*features)
-    balanced = balance(scaled, cfg.balance, ["client_id"], "label", [key], cfg.ratio, cfg.seed)
-    keys = [key, "copy"] if "copy" in balanced.columns else [key]
-    return stratified_split(balanced, ["client_id"], "label", keys, cfg.test_fraction, cfg.seed)
+    return balanced_split(scaled, cfg.balance, ["client_id"], "label", [key], cfg.ratio, cfg.test_fraction, cfg.seed)
 
 
 def run_linear(
@@ -136,7 +134,7 @@ def _evaluated(history: list[dict], test: DataFrame, plan: DataFrame, cfg: Linea
     tallies = settle(client_tallies(test, params, cfg.loss), limit=1_000_000).df
     asked = plan.where(F.col("purpose") == "evaluate").drop("purpose")
     clients = metrics_from(tallies.join(asked, ["round", "client_id"], "left_semi"), ["round", "client_id"])
-    rounds = aggregate_loss(clients).join(aggregate_metrics(clients), "round").select("round", "loss", *METRICS)
+    rounds = aggregate_metrics(clients, LOG_METRICS)
     central = metrics_from(merge_tallies(tallies.where(F.col("client_id").isin(*cfg.central_clients)), ["round"]), ["round"])
     run = LinearRun(params.df, clients, settle(rounds).df, central_names(central))
     if out_dir:
