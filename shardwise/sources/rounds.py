@@ -45,7 +45,7 @@ def _read_csv(spark: SparkSession, path: str) -> DataFrame:
 
 def _read_json(spark: SparkSession, path: str) -> DataFrame:
     record = ", ".join(f"{c} STRING" for c in ROUND_COLUMNS)
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     keyed = text.select(F.from_json("value", f"map<string, struct<{record}>>").alias("m"))
     rows = keyed.where(F.exists(F.map_values("m"), lambda v: v["round"].isNotNull()))
     if rows.limit(1).count() == 1:
