@@ -9,34 +9,38 @@ from pyspark.sql import functions as F
 COLUMN_LIMIT = 32
 
 
-def fit_scaler(df: DataFrame, features: list[str], scope: str = "all", client: int = 0) -> DataFrame:
+def fit_scaler(df: DataFrame, features: list[str], scope: str = "all", client: int = 0, x: str | None = None) -> DataFrame:
     """Mean and population deviation per feature: (feature, mean, scale, n).
 
+    The features are columns of `df`, or with `x` the positions of one array column.
     `scope="first"` fits on one client only. A constant feature gets scale 1.
     """
     rows = df.where(F.col("client_id") == client) if scope == "first" else df
+    values = [F.get(x, F.lit(i)) if x else F.col(c).cast("double") for i, c in enumerate(features)]
+    names = F.array(*[F.lit(c) for c in features])
     if len(features) <= COLUMN_LIMIT:
-        stats = [F.struct(F.avg(c).alias("mean"), F.stddev_pop(c).alias("scale"), F.count(c).alias("n")) for c in features]
+        stats = [F.struct(F.avg(v).alias("mean"), F.stddev_pop(v).alias("scale"), F.count(v).alias("n")) for v in values]
         one = rows.agg(*[s.alias(f"s{i}") for i, s in enumerate(stats)])
-        entries = [F.struct(F.lit(c).alias("feature"), F.col(f"s{i}").alias("s")) for i, c in enumerate(features)]
-        long = one.select(F.explode(F.array(*entries)).alias("e")).select("e.feature", "e.s.*")
+        long = one.select(F.posexplode(F.array(*[F.col(f"s{i}") for i in range(len(stats))])).alias("i", "s")).select("i", "s.*")
     else:
-        names = F.array(*[F.lit(c) for c in features])
-        values = F.array(*[F.col(c).cast("double") for c in features])
-        long = (
-            rows.select(F.posexplode(values).alias("i", "v"))
-            .groupBy("i")
-            .agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("scale"), F.count("v").alias("n"))
-            .select(F.element_at(names, F.col("i") + 1).alias("feature"), "mean", "scale", "n")
-        )
-    return long.withColumn("scale", F.when(F.col("scale") > 0, F.col("scale")).otherwise(F.lit(1.0)))
-
-
-def apply_scaler(df: DataFrame, scaler: DataFrame, features: list[str]) -> DataFrame:
+        entries = F.posexplode(F.col(x) if x else F.array(*values)).alias("i", "v")
+        long = rows.select(entries).groupBy("i").agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("scale"), F.count("v").alias("n"))
+    scale = F.when(F.col("scale") > 0, F.col("scale")).otherwise(F.lit(1.0))
+    return long.select(F.element_at(names, F.col("i") + 1).alias("feature"), "mean", scale.alias("scale"), "n")
+
+
+def apply_scaler(df: DataFrame, scaler: DataFrame, features: list[str], x: str | None = None) -> DataFrame:
     """Replace each feature by (x - mean) / scale; one value pair per feature comes to the driver."""
     table = {r["feature"]: r for r in scaler.where(F.col("feature").isin(*features)).limit(len(features) + 1).collect()}
     missing = [c for c in features if c not in table]
     if missing:
         raise ValueError(f"scaler has no row for {missing}")
-    scaled = {c: (F.col(c) - F.lit(table[c]["mean"])) / F.lit(table[c]["scale"]) for c in features}
-    return df.withColumns(scaled)
+    means, scales = ([table[c][part] for c in features] for part in ("mean", "scale"))
+    if x is None:
+        return df.withColumns({c: (F.col(c) - F.lit(m)) / F.lit(s) for c, m, s in zip(features, means, scales)})
+    if len(features) <= COLUMN_LIMIT:
+        scaled = F.array(*[(F.get(x, F.lit(i)) - F.lit(m)) / F.lit(s) for i, (m, s) in enumerate(zip(means, scales))])
+    else:
+        mean_at, scale_at = (F.array(*[F.lit(v) for v in part]) for part in (means, scales))
+        scaled = F.transform(x, lambda v, i: (v - F.get(mean_at, i)) / F.get(scale_at, i))
+    return df.withColumn(x, scaled)

@@ -15,7 +15,7 @@ from shardwise.operators.aggregate import aggregate_metrics
 from shardwise.operators.evaluate import evaluate_forest
 from shardwise.operators.forest import fit_forest, grow_forest, initial_forest, merge_and_prune
 from shardwise.operators.sampling import central_head_test, iid_partition, ordered_split, sample_clients
-from shardwise.sources.observations import assemble, complete_rows, prepared
+from shardwise.sources.observations import labelled_vectors, prepared
 from shardwise.sources.scratch import scratch_dir, settle
 from shardwise.sources.state import NODES_SCHEMA, write_forest
 
@@ -31,8 +31,7 @@ class ForestRun:
 
 def prepare_forest_clients(df: DataFrame, features: list[str], cfg: ForestConfig, key: str, label: str = "label") -> DataFrame:
     """Partition and split in partition order: (key, client_id, label, x, split). No scaling."""
-    clean = complete_rows(df.select(F.col(key), F.col(label).cast("int").alias("label"), *[F.col(c).cast("double").alias(c) for c in features]), [key, "label", *features])
-    parts = assemble(iid_partition(clean, [key], cfg.clients, cfg.seed), features).drop(*features)
+    parts = iid_partition(labelled_vectors(df, features, key, label), [key], cfg.clients, cfg.seed)
     return ordered_split(parts, ["client_id"], [key], cfg.train_fraction, cfg.seed)
 
 

@@ -16,7 +16,7 @@ from shardwise.operators.linear import CLIENT_ROWS, client_stats, fits_tasks, in
 from shardwise.operators.sampling import balanced_split, iid_partition, sample_clients
 from shardwise.operators.scaling import apply_scaler, fit_scaler
 from shardwise.operators.sgd import local_sgd
-from shardwise.sources.observations import assemble, complete_rows, prepared
+from shardwise.sources.observations import labelled_vectors, prepared, prepared_before
 from shardwise.sources.rounds import write_round_log
 from shardwise.sources.scratch import Settled, scratch_dir, settle
 from shardwise.sources.state import PARAMS_SCHEMA, write_params
@@ -40,10 +40,9 @@ def prepare_clients(
     Only hash cutoffs are computed on the way; the rows themselves pass through filters and
     narrow lookups until they are written.
     """
-    clean = complete_rows(df.select(F.col(key), F.col(label).cast("int").alias("label"), *[F.col(c).cast(dtype).cast("double").alias(c) for c in features]), [key, "label", *features])
-    parts = iid_partition(clean, [key], cfg.clients, cfg.seed)
-    scaler = scaler if scaler is not None else fit_scaler(parts, features, cfg.scaler_scope)
-    scaled = assemble(apply_scaler(parts, scaler, features), features).drop(*features)
+    parts = iid_partition(labelled_vectors(df, features, key, label, dtype), [key], cfg.clients, cfg.seed)
+    scaler = scaler if scaler is not None else fit_scaler(parts, features, cfg.scaler_scope, x="x")
+    scaled = apply_scaler(parts, scaler, features, "x")
     return balanced_split(scaled, cfg.balance, ["client_id"], "label", [key], cfg.ratio, cfg.test_fraction, cfg.seed)
 
 
@@ -67,12 +66,15 @@ def run_linear(
     """
     spark = df.sparkSession
     made = learner(cfg.loss, cfg.penalty, cfg.local_epochs, l1_ratio=cfg.l1_ratio, fit_intercept=cfg.fit_intercept, tol=cfg.tol)
-    rows = prepare_clients(df, features, cfg, key, label, dtype=dtype)
     known = dict(
         source=source, clients=cfg.clients, balance=cfg.balance, ratio=cfg.ratio, seed=cfg.seed, test=cfg.test_fraction,
         scaler=cfg.scaler_scope, features=tuple(features), label=label, dtype=dtype,
     )
-    stored = prepared(rows, cache_dir, **known) if cache_dir and source else prepared(rows, scratch_dir(spark, "run"), **known)
+    # Only a named source can be found again; other runs write to scratch space of their own.
+    folder = cache_dir if cache_dir and source else scratch_dir(spark, "run")
+    stored = prepared_before(spark, folder, **known)
+    if stored is None:
+        stored = prepared(prepare_clients(df, features, cfg, key, label, dtype=dtype), folder, **known)
     # Each client's rows are brought together once; every round then trains without a shuffle.
     spread = min(cfg.clients, int(spark.conf.get("spark.sql.shuffle.partitions")))
     train = stored.where(F.col("split") == "train").select("client_id", "label", "x", *_keys(stored, key))

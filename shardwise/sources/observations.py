@@ -44,6 +44,14 @@ def complete_rows(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.dropna(subset=columns)
 
 
+def labelled_vectors(df: DataFrame, features: list[str], key: str, label: str = LABEL, dtype: str = "double") -> DataFrame:
+    """(key, label, x) of the complete rows. The features travel as one array from here on: many
+    separate columns make plans and generated code slow."""
+    rows = assemble(df, features, dtype).select(F.col(key), F.col(label).cast("int").alias(LABEL), "x")
+    whole = ~F.exists("x", lambda v: v.isNull() | F.isnan(v))
+    return rows.where(F.col(key).isNotNull() & F.col(LABEL).isNotNull() & whole)
+
+
 def incomplete_count(df: DataFrame, columns: list[str]) -> DataFrame:
     """Rows in total and rows `complete_rows` would drop."""
     numeric = {f.name for f in df.schema if isinstance(f.dataType, NumericType)}
@@ -64,13 +72,20 @@ def prepared_key(**parts) -> str:
     return hashlib.md5(text.encode()).hexdigest()
 
 
-def prepared(df: DataFrame, cache_dir: str, **parts) -> DataFrame:
-    """Write the prepared rows once, partitioned by client; later calls with the same parts read them.
+def _prepared_path(cache_dir: str, parts: dict) -> str:
+    return f"{cache_dir.rstrip('/')}/prepared-{prepared_key(**parts)}"
 
-    Only a finished write (with its success marker) counts as present.
-    """
+
+def prepared_before(spark: SparkSession, cache_dir: str, **parts) -> DataFrame | None:
+    """The prepared table of an earlier run with the same parts, if its write was finished."""
+    path = _prepared_path(cache_dir, parts)
+    return spark.read.parquet(path) if _complete(spark, path) else None
+
+
+def prepared(df: DataFrame, cache_dir: str, **parts) -> DataFrame:
+    """Write the prepared rows once, partitioned by client; later calls with the same parts read them."""
     spark = df.sparkSession
-    path = f"{cache_dir.rstrip('/')}/prepared-{prepared_key(**parts)}"
+    path = _prepared_path(cache_dir, parts)
     if not _complete(spark, path):
         # Rebalancing by client gives each client few, even files and splits a very large client.
         even = df.hint("rebalance", F.col("client_id"))
