@@ -166,8 +166,9 @@ SQL["target_trees"] = with_(*FOREST) + """SELECT count(*) AS total_trees, CAST(g
 FROM (SELECT DISTINCT client_id, tree_id FROM nodes)"""
 FOREST_PROBA = f"SELECT event_id, {r6('proba')} AS proba, CASE WHEN proba > 0.5 THEN 1 ELSE 0 END AS pred FROM proba"
 SQL["forest_proba"] = with_(*FOREST, USED, *WALK, PROBA) + FOREST_PROBA
-FIRST_TWO = ("used", "SELECT * FROM merged WHERE tree_id IN (SELECT dense_rank() OVER (ORDER BY client_id, tree_id) - 1 FROM nodes WHERE client_id < 2)")
-SQL["forest_proba_small"] = with_(*FOREST, FIRST_TWO, *WALK, PROBA) + FOREST_PROBA
+BEST_FOUR = ("proba", """SELECT event_id, avg(share) AS proba FROM leaf WHERE tree_id IN (
+  SELECT tree_id FROM scores ORDER BY score DESC, tree_id DESC LIMIT 4) GROUP BY event_id""")
+SQL["forest_proba_small"] = with_(*FOREST, USED, *WALK, SCORES, BEST_FOUR) + FOREST_PROBA
 
 
 def gini(zero: str, one: str) -> str:

@@ -396,11 +396,10 @@ def tree_schedule(spark, sf_dir):
 
 @query
 def grow_forest(spark, sf_dir):
-    """The first client's threshold trees grown to five trees on its own rows."""
-    own = forest(spark, sf_dir).where(F.col("client_id") == 0)
-    rows = observed(spark, sf_dir).where(F.col("client_id") == 0)
-    grown = trees.grow_forest(own, rows, 5, 3, SEED, 0, 2)
-    return grown.groupBy("tree_id").agg(F.max("n").alias("root_rows"), F.count_if(F.col("left") < 0).alias("leaves"))
+    """Every client's two threshold trees grown to four on its own rows."""
+    stored = prepared(observed(spark, sf_dir), scratch_dir(spark, "grow"), clients=CLIENTS)
+    grown = trees.grow_forests(forest(spark, sf_dir), stored, range(CLIENTS), 4, 3, SEED, 2)
+    return grown.groupBy("client_id", "tree_id").agg(F.max("n").alias("root_rows"), F.count_if(F.col("left") < 0).alias("leaves"))
 
 
 # --- aggregation ----------------------------------------------------------------------------
@@ -507,9 +506,9 @@ def forest_proba(spark, sf_dir):
 
 @query
 def forest_proba_small(spark, sf_dir):
-    """The first two clients' trees only: one generated expression."""
-    merged = settle(trees.merge_forests(forest(spark, sf_dir).where(F.col("client_id") < 2))).df
-    df = trees.forest_proba(observed(spark, sf_dir), merged)
+    """The best four trees: one generated expression."""
+    rows = observed(spark, sf_dir)
+    df = trees.forest_proba(rows, settle(trees.merge_and_prune(forest(spark, sf_dir), rows, 4)).df)
     return df.select(KEY, F.round("proba", 6).alias("proba"), "pred")
 
 

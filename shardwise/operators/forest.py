@@ -95,6 +95,26 @@ def grow_forest(nodes: DataFrame, df: DataFrame, target: int, depth: int, seed:
     return kept.unionByName(fresh.withColumn("tree_id", F.col("tree_id") + F.lit(shift)).select(*NODES_SCHEMA.names))
 
 
+def grow_forests(
+    nodes: DataFrame | None, train: DataFrame, clients: Sequence[int], target: int, depth: int, seed: int, round_no: int, parallel: int = 4
+) -> DataFrame:
+    """Grow the forest of every client to the target on its own rows, a few fits at a time.
+
+    `nodes` is one forest per client, or a single global one that all clients start from; without
+    it every client starts anew.
+    """
+    if nodes is None:
+        return fit_forests(train, clients, target, depth, seed, round_no, parallel)
+    single = nodes.where(F.col("client_id").isNotNull()).limit(1).count() == 0
+
+    def one(client: int) -> DataFrame:
+        own = nodes if single else nodes.where(F.col("client_id") == client)
+        return grow_forest(own, train.where(F.col("client_id") == client), target, depth, seed, client, round_no)
+
+    with ThreadPoolExecutor(max_workers=max(1, parallel)) as pool:
+        return reduce(DataFrame.unionByName, pool.map(one, clients))
+
+
 def merge_forests(nodes: DataFrame) -> DataFrame:
     """All trees of all clients as one forest per round; trees are renumbered by (client, tree)."""
     trees = nodes.select("round", "client_id", "tree_id").distinct()
@@ -113,26 +133,24 @@ def target_trees(nodes: DataFrame, trees: int | None = None) -> DataFrame:
     return nodes.agg(F.count_distinct("client_id", "tree_id").alias("total_trees"), rule.cast("int").alias("target"))
 
 
-def _tree_blocks(nodes: DataFrame) -> list[list[Row]]:
-    """Nodes as rows, in blocks of whole trees that stay under the pass limit.
+def _tree_blocks(nodes: DataFrame) -> list[tuple[int, int, int, int]]:
+    """Runs of trees (first, last, trees, nodes) that stay under the pass limit; trees are kept whole."""
+    blocks: list[tuple[int, int, int, int]] = []
+    for row in nodes.groupBy("tree_id").agg(F.count("*").alias("size")).orderBy("tree_id").toLocalIterator():
+        tree, size = row["tree_id"], row["size"]
+        if blocks and blocks[-1][3] + size <= PASS_NODES:
+            first, _, trees, filled = blocks[-1]
+            blocks[-1] = (first, tree, trees + 1, filled + size)
+        else:
+            blocks.append((tree, tree, 1, size))
+    if not blocks:
+        raise ValueError("empty forest")
+    return blocks
 
-    Blocks are cut by running node counts on the table, so only one block is ever on the driver
-    beside the tree list.
-    """
-    sizes = nodes.groupBy("tree_id").agg(F.count("*").alias("size")).orderBy("tree_id")
-    blocks, current, filled = [], [], 0
-    for row in sizes.toLocalIterator():
-        if current and filled + row["size"] > PASS_NODES:
-            blocks.append(current)
-            current, filled = [], 0
-        current.append(row["tree_id"])
-        filled += row["size"]
-    if current:
-        blocks.append(current)
+
+def _block_rows(nodes: DataFrame, block: tuple[int, int, int, int]) -> list[Row]:
     columns = ("tree_id", "node_id", "feature", "threshold", "left", "right", "counts")
-    return [
-        nodes.where(F.col("tree_id").between(b[0], b[-1])).select(*columns).collect() for b in blocks
-    ]
+    return nodes.where(F.col("tree_id").between(block[0], block[1])).select(*columns).collect()
 
 
 def _padded(rows: list[Row]):
@@ -182,9 +200,7 @@ def tree_scores(nodes: DataFrame, test: DataFrame) -> DataFrame:
 
     One pass per block of trees; each task adds up the hits of its own rows.
     """
-    parts = [_score_block(block, test) for block in _tree_blocks(nodes)]
-    if not parts:
-        raise ValueError("no trees to score")
+    parts = [_score_block(_block_rows(nodes, block), test) for block in _tree_blocks(nodes)]
     hits = reduce(DataFrame.unionByName, parts).groupBy("tree_id").agg(F.sum("hits").alias("hits"), F.sum("rows").alias("rows"))
     return hits.withColumn("score", F.when(F.col("rows") > 0, F.col("hits") / F.col("rows")).otherwise(F.lit(0.0)))
 
@@ -261,15 +277,13 @@ def forest_proba(df: DataFrame, nodes: DataFrame) -> DataFrame:
     A small forest stays in generated code; a larger one is walked batch by batch.
     """
     blocks = _tree_blocks(nodes)
-    if not blocks:
-        raise ValueError("empty forest")
-    trees = sum(len({r["tree_id"] for r in block}) for block in blocks)
-    if trees <= EXPRESSION_TREES and sum(map(len, blocks)) <= EXPRESSION_NODES:
-        scored = df.withColumn("proba", _forest_expression(blocks[0], "x"))
+    trees, size = sum(b[2] for b in blocks), sum(b[3] for b in blocks)
+    if trees <= EXPRESSION_TREES and size <= EXPRESSION_NODES:
+        scored = df.withColumn("proba", _forest_expression(_block_rows(nodes, blocks[0]), "x"))
     else:
         scored = df.withColumn("proba", F.lit(0.0))
         for block in blocks:
-            scored = _add_shares(scored, block)
+            scored = _add_shares(scored, _block_rows(nodes, block))
         scored = scored.withColumn("proba", F.col("proba") / F.lit(float(trees)))
     return scored.withColumn("pred", (F.col("proba") > 0.5).cast("int"))
 

@@ -124,7 +124,8 @@ def start_from(stats: DataFrame, params: DataFrame) -> DataFrame:
 
 def starting_state(stats: Settled, params: DataFrame | Settled) -> Settled:
     """`start_from` evaluated. With both tables on the driver the rows are simply put together."""
-    if stats.rows is None or not isinstance(params, Settled) or params.rows is None:
+    held = isinstance(params, Settled) and params.rows is not None and stats.rows is not None
+    if not held or stats.rows.num_rows * (_width(params) + 1) > MODEL_VALUES:
         model = params.df if isinstance(params, Settled) else params
         return settle(start_from(stats.df, model), limit=CLIENT_ROWS)
     own = {p["client_id"]: p for p in params.records()}

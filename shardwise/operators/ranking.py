@@ -61,7 +61,7 @@ def cutoffs(
 
     `ranks` turns the group sizes (`by`..., n) into at most `per_group` wanted ranks (`by`..., r)
     each; ranks below 1 select nothing and give no row. Result: `by`..., r, cut. Counting goes one
-    level deeper only while some prefix still holds more than `sort_rows` rows.
+    level deeper only while a prefix still holds more than `sort_rows` rows or many wanted ranks.
     """
     groups = by or ["all_rows"]
     rows = _narrow(df, by, key, seed, purpose)
@@ -80,7 +80,7 @@ def cutoffs(
         bounded = hist.rows is not None and hist.rows.num_rows * per_group <= DRIVER_ROWS
         side = F.broadcast(state) if bounded else settle(state).side()
         placed = rows.withColumn("parent", _prefix(width))
-        if hist.largest("n") <= sort_rows:
+        if hist.largest("n") <= sort_rows and per_group <= 16**width:
             break
         inside = placed.join(side.select(*groups, "parent"), [*groups, "parent"], "left_semi")
     # Rows that share a prefix with a wanted rank are numbered once per rank; prefixes are fine

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
 
@@ -13,7 +12,7 @@ from shardwise.config import ForestConfig
 from shardwise.functions.schedules import trees_in_round
 from shardwise.operators.aggregate import aggregate_metrics
 from shardwise.operators.evaluate import evaluate_forest
-from shardwise.operators.forest import fit_forest, grow_forest, initial_forest, merge_and_prune
+from shardwise.operators.forest import grow_forests, initial_forest, merge_and_prune
 from shardwise.operators.sampling import central_head_test, iid_partition, ordered_split, sample_clients
 from shardwise.sources.observations import labelled_vectors, prepared
 from shardwise.sources.scratch import scratch_dir, settle
@@ -55,7 +54,7 @@ def run_forest(
         target = hook.get("trees", trees_in_round(round_no))
         chosen = [r["client_id"] for r in fitting.where(F.col("round") == round_no).orderBy("client_id").collect()]
         if chosen:
-            grown = settle(_grow_all(model, train, chosen, target, cfg, round_no), limit=1_000_000).df
+            grown = settle(grow_forests(model, train, chosen, target, cfg.depth, cfg.seed, round_no, cfg.parallel_fits), limit=1_000_000).df
             model = settle(merge_and_prune(grown, merge_test, cfg.trees)).df
         if model is None:
             continue
@@ -68,14 +67,3 @@ def run_forest(
         raise ValueError("no round had enough clients")
     client_metrics = reduce(DataFrame.unionByName, metrics)
     return ForestRun(reduce(DataFrame.unionByName, history), client_metrics, aggregate_metrics(client_metrics, ("loss", "accuracy")))
-
-
-def _grow_all(model: DataFrame | None, train: DataFrame, clients: list[int], target: int, cfg: ForestConfig, round_no: int) -> DataFrame:
-    def one(client: int) -> DataFrame:
-        rows = train.where(F.col("client_id") == client)
-        if model is None:
-            return fit_forest(rows, target, cfg.depth, cfg.seed + 1000 * client, client, round_no).select(*NODES_SCHEMA.names)
-        return grow_forest(model, rows, target, cfg.depth, cfg.seed, client, round_no)
-
-    with ThreadPoolExecutor(max_workers=cfg.parallel_fits) as pool:
-        return reduce(DataFrame.unionByName, pool.map(one, clients))

@@ -75,14 +75,14 @@ def run_linear(
     stored = prepared_before(spark, folder, **known)
     if stored is None:
         stored = prepared(prepare_clients(df, features, cfg, key, label, dtype=dtype), folder, **known)
-    # Each client's rows are brought together once; every round then trains without a shuffle.
-    spread = min(cfg.clients, int(spark.conf.get("spark.sql.shuffle.partitions")))
     train = stored.where(F.col("split") == "train").select("client_id", "label", "x", *_keys(stored, key))
     test = stored.where(F.col("split") == "test")
     stats = settle(client_stats(train, made), limit=CLIENT_ROWS)
     if fits_tasks(stats, len(features)):
-        train = train.repartition(spread, "client_id")
-    train = train.persist(StorageLevel.MEMORY_AND_DISK)
+        # Each client's rows are brought together once; every round then trains without a shuffle.
+        spread = min(cfg.clients, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        train = train.repartition(spread, "client_id").persist(StorageLevel.MEMORY_AND_DISK)
+    # Larger clients are read from their own folders in every epoch; a cached copy would only fill disks.
     try:
         plan = _participants(stats.df, cfg)
         fitting: dict[int, list[int]] = {}

@@ -20,7 +20,7 @@ def test_partition_is_complete_and_even(spark, skewed):
     assert parts.select("key").distinct().count() == 900
 
 
-@pytest.mark.parametrize("clients", [1, 300, 900])
+@pytest.mark.parametrize("clients", [1, 200, 300, 900])
 def test_partition_of_any_number(spark, skewed, clients):
     counts = sampling.iid_partition(skewed.drop("client_id"), ["key"], clients, 1).groupBy("client_id").count()
     assert counts.count() == clients
