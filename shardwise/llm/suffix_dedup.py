@@ -19,6 +19,8 @@ ANCHOR = 16
 #: Windows in one fragment at most; longer runs are cut, which changes nothing but their packaging.
 RUN = 64
 GRAM = 8
+#: Suffixes that are sorted at a time.
+SLICE_BYTES = 1 << 18
 _STEP = 1 << 15
 
 
@@ -123,10 +125,11 @@ class Fragments:
         # Big-endian key first: rows sort by key; then the size, so that equal rows are equal fragments.
         rows[:, :8] = keys.astype(">u8").view(np.uint8).reshape(-1, 8)
         rows[:, 8] = windows
-        for a in range(0, len(begin), _STEP):
-            at = begin[a : a + _STEP, None] + np.arange(width)
-            there = np.arange(width) < (windows[a : a + _STEP, None] + length - 1)
-            rows[a : a + _STEP, 9:] = np.where(there, block.data[np.minimum(at, len(block.data) - 1)], 0)
+        step = _STEP // 16
+        for a in range(0, len(begin), step):
+            at = begin[a : a + step, None] + np.arange(width)
+            there = np.arange(width) < (windows[a : a + step, None] + length - 1)
+            rows[a : a + step, 9:] = np.where(there, block.data[np.minimum(at, len(block.data) - 1)], 0)
         text = rows.view(f"V{width + 9}").ravel()
         order = np.argsort(rows.view(f"S{width + 9}").ravel(), kind="stable") if len(rows) else np.empty(0, np.int64)
         new = np.ones(len(order), bool)
@@ -187,6 +190,19 @@ def refine(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, depth: int) -
     return live, pointer[live]
 
 
+def _slices(keys: np.ndarray, sizes: np.ndarray) -> Iterator[slice]:
+    """Sorted keys in slices of about SLICE_BYTES; equal keys stay together, for only they can hold equal windows."""
+    begin = 0
+    firsts = np.append(np.flatnonzero(np.append(True, keys[1:] != keys[:-1])), len(keys)).tolist() if len(keys) else []
+    total = np.concatenate([[0], np.cumsum(sizes)])
+    for b in firsts[1:]:
+        if total[b] - total[begin] >= SLICE_BYTES:
+            yield slice(begin, b)
+            begin = b
+    if begin < len(keys):
+        yield slice(begin, len(keys))
+
+
 def _holders(length: int):
     def answer(asked: list[bytes]) -> list[bytes]:
         """For each fragment the smallest id that holds each of its windows, as runs (windows, id)."""
@@ -208,15 +224,17 @@ def _holders(length: int):
         # A key that one fragment only has needs no sorting: nobody else holds its windows.
         _, place, members = np.unique(key, return_inverse=True, return_counts=True)
         many = np.flatnonzero(members[place] > 1)
-        if len(many):
-            at = np.repeat(starts[many], spans[many]) + np.arange(spans[many].sum()) - np.repeat(np.cumsum(spans[many]) - spans[many], spans[many])
-            own_ends = np.cumsum(spans[many])
-            where, bucket = refine(data[at], own_ends - spans[many], own_ends, length)
+        many = many[np.argsort(place[many], kind="stable")]
+        for part in _slices(place[many], spans[many]):
+            own = many[part]
+            own_ends = np.cumsum(spans[own])
+            own_starts = own_ends - spans[own]
+            at = np.repeat(starts[own] - own_starts, spans[own]) + np.arange(own_ends[-1])
+            where, bucket = refine(data[at], own_starts, own_ends, length)
             fragment = np.searchsorted(own_ends, where, side="right")
-            ids = low[many][fragment]
             best = np.full(int(bucket.max()) + 1, np.iinfo(np.int64).max)
-            np.minimum.at(best, bucket, ids)
-            holder[first[many][fragment] + where - (own_ends - spans[many])[fragment]] = best[bucket]
+            np.minimum.at(best, bucket, low[own][fragment])
+            holder[first[own][fragment] + where - own_starts[fragment]] = best[bucket]
         fragment = np.repeat(np.arange(len(key)), count)
         new = np.ones(len(holder), bool)
         new[1:] = (holder[1:] != holder[:-1]) | (fragment[1:] != fragment[:-1])
