@@ -22,6 +22,7 @@ GRAM = 8
 #: Suffixes that are sorted at a time.
 SLICE_BYTES = 1 << 18
 _STEP = 1 << 15
+_SPREAD = np.uint64(0x2545F4914F6CDD1D)
 
 
 def window_keys(data: np.ndarray, length: int) -> np.ndarray:
@@ -42,7 +43,7 @@ def window_keys(data: np.ndarray, length: int) -> np.ndarray:
             h, size = np.minimum(h[:-size], h[size:]), 2 * size
         if size < wide:
             h = np.minimum(h[: len(h) - (wide - size)], h[wide - size :])
-        out[at : at + len(h)] = h
+        out[at : at + len(h)] = mix(h ^ _SPREAD)  # smallest hashes are small; names are spread evenly again
     return out
 
 
