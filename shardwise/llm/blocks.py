@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from shardwise.llm.store import documents, written
 
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 BUCKET_BYTES = 8 << 20
 NO_ID = np.iinfo(np.int64).max
 

@@ -97,21 +97,23 @@ def held_out(id_col: str = "doc_id"):
 def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> QualityModel:
     """Fit on labelled rows outside the held-out fold.
 
-    At most SAMPLE_ROWS rows of each class with texts up to SAMPLE_BYTES, chosen by hash of the id, reach the driver.
+    At most SAMPLE_ROWS labels of each class are chosen by hash of the id; their texts up to SAMPLE_BYTES reach the
+    driver (4 * SAMPLE_ROWS at most, should ids repeat).
     Half of them become the two dictionaries, the other half calibrates the score, weighted to the classes' shares
     among all rows outside the fold. Rows without id or label take no part. Without any label the score is 0.5.
     """
     known = labels.select(F.col(id_col).cast("long").alias("label_id"), F.col(label_col).cast("int").alias("label")).where("label in (0, 1) and label_id is not null")
     known = known.where(~held_out("label_id")).distinct()
     shares = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
-    rows = documents(docs, id_col, text_col)
-    joined = rows.join(known, rows["doc_id"] == known["label_id"]).where(F.octet_length("text").between(1, SAMPLE_BYTES))
-    half = F.pmod(F.xxhash64(F.lit("half"), "doc_id"), F.lit(2)).cast("int").alias("half")
+    half = F.pmod(F.xxhash64(F.lit("half"), "label_id"), F.lit(2)).cast("int").alias("half")
+    order = F.xxhash64(F.lit("pick"), "label_id")
+    picked = [known.where(F.col("label") == label).orderBy(order, "label_id").limit(SAMPLE_ROWS).select("label_id", "label", half) for label in (0, 1)]
+    rows = documents(docs, id_col, text_col).where(F.octet_length("text").between(1, SAMPLE_BYTES))
+    # At most 2 * SAMPLE_ROWS rows of three numbers: small whatever the labels are.
+    sample = rows.join(F.broadcast(picked[0].unionByName(picked[1])), F.col("doc_id") == F.col("label_id"))
     texts = {}
-    for label in (0, 1):
-        picked = joined.where(F.col("label") == label).select("text", half, F.xxhash64(F.lit("pick"), "doc_id").alias("pick"), "doc_id")
-        for row in picked.orderBy("pick", "doc_id").limit(SAMPLE_ROWS).collect():
-            texts.setdefault((label, row["half"]), []).append(row["text"].encode())
+    for row in sorted(sample.select("doc_id", "label", "half", "text").limit(4 * SAMPLE_ROWS).collect()):
+        texts.setdefault((row["label"], row["half"]), []).append(row["text"].encode())
     good, bad = (_dictionary(texts.get((label, 0), [])) for label in (1, 0))
     compressors = _compressors(good, bad)
     x, y, weight = [], [], []

@@ -7,8 +7,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from shardwise.llm.blocks import BUCKET_BYTES, Block, ask, blocks, bucket_slices, mix, pack, reply_list, unpack
 from shardwise.llm.store import written
@@ -22,6 +22,8 @@ GRAM = 8
 #: Suffixes that are sorted at a time.
 SLICE_BYTES = 1 << 18
 _STEP = 1 << 15
+#: The seed of Spark's xxhash64.
+SPARK_SEED = 42
 _SPREAD = np.uint64(0x2545F4914F6CDD1D)
 
 
@@ -297,7 +299,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     sorts their suffixes to `length` bytes, and each block learns the smallest id holding each window.
 
     With `as_text`, kept holds text: a character stays whole unless all its bytes go. The counts are of bytes
-    covered in either case. `with_hash` adds text_hash, the hash of the text that came in. Null text counts as empty. Null ids count as larger than any other and give nothing
+    covered in either case. `with_hash` adds text_hash, Spark's xxhash64 of the text that came in. Null text counts as empty. Null ids count as larger than any other and give nothing
     to each other, just as rows that share an id do. Texts shorter than `length` stay whole.
     """
     if length <= ANCHOR or length + RUN > 250:
@@ -322,7 +324,8 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 spans = np.concatenate([[0], np.cumsum(rise)])
                 left = ~(whole_characters(block.data, covered) if as_text else covered)
                 kept = [block.data[a:b][left[a:b]].tobytes() for a, b in zip(block.starts.tolist(), block.ends.tolist(), strict=True)]
-                old = [pa.array([block.data[a:b].tobytes().decode() for a, b in zip(block.starts.tolist(), block.ends.tolist(), strict=True)], pa.string())] if with_hash else []
+                spans_of = list(zip(block.starts.tolist(), block.ends.tolist(), strict=True))
+                old = [pa.array(np.array([xxhash.xxh64_intdigest(block.data[a:b].tobytes(), SPARK_SEED) for a, b in spans_of], np.uint64).view(np.int64))] if with_hash else []
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(block.ids, pa.int64(), mask=block.null),
@@ -332,10 +335,8 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                         pa.array([k.decode() for k in kept], pa.string()) if as_text else pa.array(kept, pa.binary()),
                         *old,
                     ],
-                    ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "old"][: 5 + len(old)],
+                    ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "text_hash"][: 5 + len(old)],
                 )
 
     kinds = f"doc_id long, n_bytes long, n_removed long, n_spans long, kept {'string' if as_text else 'binary'}"
-    if not with_hash:
-        return final.mapInArrow(run, kinds)
-    return final.mapInArrow(run, f"{kinds}, old string").withColumn("text_hash", F.xxhash64("old")).drop("old")
+    return final.mapInArrow(run, f"{kinds}, text_hash long" if with_hash else kinds)
