@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,12 +25,12 @@ ACCEPT = 0.3
 
 @dataclass(frozen=True)
 class QualityModel:
-    """Two dictionaries, and the line from the size difference to log odds."""
+    """Two dictionaries, and a rising curve from the size difference to the score."""
 
     good: bytes
     bad: bytes
-    slope: float
-    intercept: float
+    at: tuple[float, ...]
+    value: tuple[float, ...]
 
     def scorer(self):
         """A function from texts (bytes) to scores; made inside a task."""
@@ -39,7 +38,7 @@ class QualityModel:
 
         def score(texts: list[bytes]) -> np.ndarray:
             x = np.array([difference(t, *compressors) for t in texts], np.float64)
-            return 1.0 / (1.0 + np.exp(-np.clip(self.slope * x + self.intercept, -700, 700)))
+            return np.interp(x, self.at, self.value)
 
         return score
 
@@ -73,21 +72,21 @@ def _dictionary(texts: list[bytes]) -> bytes:
     return b"".join(parts)[-DICTIONARY_BYTES:] or b"\n" * 8  # too little to train on: the text itself
 
 
-def calibrate(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
-    """Slope and intercept of a weighted logistic line, by Newton's method, with a weak pull to zero."""
-    if not len(x):
-        return 0.0, 0.0
-    scale = float(np.std(x)) or 1.0
-    a = np.stack([x / scale, np.ones_like(x)], axis=1)
-    w = np.zeros(2)
-    ridge = np.diag([1e-3, 1e-3])
-    for _ in range(50):
-        p = 1.0 / (1.0 + np.exp(-np.clip(a @ w, -30, 30)))
-        step = np.linalg.solve((a * (weight * p * (1 - p))[:, None]).T @ a + ridge, a.T @ (weight * (y - p)) - ridge @ w)
-        w += step
-        if np.abs(step).max() < 1e-9:
-            break
-    return float(w[0] / scale), float(w[1])
+def calibrate(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[list[float], list[float]]:
+    """Points of a never falling curve through the weighted shares of label 1: pooled adjacent violators.
+
+    Each pool's share is drawn to one half by a row of either label, so that no score is quite 0 or 1; the curve is
+    straight between the middles of neighbouring pools.
+    """
+    pools: list[list[float]] = []  # weight, weight of label 1, weighted sum of x
+    for i in np.argsort(x, kind="stable"):
+        pools.append([weight[i], weight[i] * y[i], weight[i] * x[i]])
+        while len(pools) > 1 and pools[-2][1] * pools[-1][0] >= pools[-1][1] * pools[-2][0]:
+            last = pools.pop()
+            pools[-1] = [a + b for a, b in zip(pools[-1], last, strict=True)]
+    at = [p[2] / p[0] for p in pools]
+    value = [(p[1] + 0.5) / (p[0] + 1) for p in pools]
+    return (at, np.maximum.accumulate(value).tolist()) if pools else ([0.0], [0.5])
 
 
 def held_out(id_col: str = "doc_id"):
@@ -99,12 +98,11 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
 
     At most SAMPLE_ROWS labels of each class are chosen by hash of the id; their texts up to SAMPLE_BYTES reach the
     driver (4 * SAMPLE_ROWS at most, should ids repeat).
-    Half of them become the two dictionaries, the other half calibrates the score, weighted to the classes' shares
-    among all rows outside the fold. Rows without id or label take no part. Without any label the score is 0.5.
+    Half of them become the two dictionaries, the other half calibrates the score (a rising curve), both
+    classes weighing alike: the junk to be found is the rarer one. Rows without id or label take no part. Without any label the score is 0.5.
     """
     known = labels.select(F.col(id_col).cast("long").alias("label_id"), F.col(label_col).cast("int").alias("label")).where("label in (0, 1) and label_id is not null")
     known = known.where(~held_out("label_id")).distinct()
-    shares = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     half = F.pmod(F.xxhash64(F.lit("half"), "label_id"), F.lit(2)).cast("int").alias("half")
     order = F.xxhash64(F.lit("pick"), "label_id")
     picked = [known.where(F.col("label") == label).orderBy(order, "label_id").limit(SAMPLE_ROWS).select("label_id", "label", half) for label in (0, 1)]
@@ -121,12 +119,9 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
         own = texts.get((label, 1), [])
         x += [difference(t, *compressors) for t in own]
         y += [label] * len(own)
-        weight += [shares.get(label, 0) / sum(shares.values()) / len(own)] * len(own) if own else []
-    n = len(x)
-    slope, intercept = calibrate(np.array(x), np.array(y, float), np.array(weight) * n)
-    if not math.isfinite(slope + intercept):
-        slope, intercept = 0.0, 0.0
-    return QualityModel(good, bad, slope, intercept)
+        weight += [1 / len(own)] * len(own) if own else []
+    at, value = calibrate(np.array(x), np.array(y, float), np.array(weight) * len(x) / 2)
+    return QualityModel(good, bad, tuple(at), tuple(value))
 
 
 def score_quality(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, accept: float = ACCEPT) -> DataFrame:
