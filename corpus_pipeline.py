@@ -14,16 +14,24 @@ from shardwise.llm.store import written
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 
-def _rewritten(docs: DataFrame, texts: DataFrame) -> DataFrame:
-    """`docs` with the texts of (new_id, old_hash, new_text), in the same columns; n_chars follows the text."""
-    key = F.xxhash64(F.coalesce("text", F.lit("")))
-    rest = docs.withColumn("old_key", key).drop("text")
-    same = rest["doc_id"].eqNullSafe(texts["new_id"]) & (rest["old_key"] == texts["old_hash"])
-    joined = rest.join(texts.dropDuplicates(["new_id", "old_hash"]), same)
-    new: dict[str, Column] = {"text": F.col("new_text")}
+def _columns(df: DataFrame, docs: DataFrame, text: Column, other: Callable[[str], Column]) -> DataFrame:
+    """The columns of `docs`: the new text, n_chars that follows it, the others as they were."""
+    new: dict[str, Column] = {"text": text}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.char_length("new_text").cast(docs.schema["n_chars"].dataType)
-    return joined.select(*[new.get(c, F.col(c)).alias(c) for c in docs.columns])
+        new["n_chars"] = F.char_length(text).cast(docs.schema["n_chars"].dataType)
+    return df.select(*[new[c].alias(c) if c in new else other(c).alias(c) for c in docs.columns])
+
+
+def _rewritten(docs: DataFrame, texts: DataFrame) -> DataFrame:
+    """`docs` with the texts of (doc_id, text_hash of the old text, text)."""
+
+    def keyed(df: DataFrame, old: Column, *more: Column) -> DataFrame:
+        return df.select(F.coalesce("doc_id", F.lit(0)).alias("k_id"), F.col("doc_id").isNull().alias("k_null"), old.alias("k_text"), *more)
+
+    keys = ["k_id", "k_null", "k_text"]  # never null: one exchange serves both the grouping and the join
+    rest = keyed(docs, F.xxhash64(F.coalesce("text", F.lit(""))), F.struct(*[F.col(c) for c in docs.columns if c != "text"]).alias("row"))
+    new = keyed(texts, F.col("text_hash"), F.col("text").alias("new_text")).groupBy(*keys).agg(F.max("new_text").alias("new_text"))
+    return _columns(rest.join(new, keys), docs, F.col("new_text"), lambda c: F.col("row")[c])
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,8 +42,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents; lines of ten or more sites stay in their first document only."""
-    out = line_dedup.line_dedup(docs)
-    return _rewritten(docs, out.select(F.col("doc_id").alias("new_id"), F.col("text_hash").alias("old_hash"), F.col("text").alias("new_text")))
+    return _rewritten(docs, line_dedup.line_dedup(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,8 +58,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents without strings of 50 bytes or more that an earlier document has; characters stay whole."""
-    out = suffix_dedup.suffix_dedup(docs, as_text=True, with_hash=True)
-    return _rewritten(docs, out.select(F.col("doc_id").alias("new_id"), F.col("text_hash").alias("old_hash"), F.col("kept").alias("new_text")))
+    out = suffix_dedup.suffix_dedup(docs, as_text=True, carry=[c for c in docs.columns if c != "text"])
+    return _columns(out, docs, F.col("kept"), lambda c: F.col("row")[c])
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -52,10 +52,11 @@ def unpack(data: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(data)
 
 
-def blocks(docs: DataFrame, name: str, id_col: str = "doc_id", text_col: str = "text", size: int = BLOCK_BYTES) -> tuple[DataFrame, int]:
+def blocks(docs: DataFrame, name: str, id_col: str = "doc_id", text_col: str = "text", size: int = BLOCK_BYTES, carry: list[str] | None = None) -> tuple[DataFrame, int]:
     """The documents as rows (block, n_bytes, payload) of about `size` bytes of text, written once; their bytes in all.
 
-    A block is what one task holds at a time; a text longer than `size` is a block of its own.
+    A block is what one task holds at a time; a text longer than `size` is a block of its own. The columns named by
+    `carry` go with it, in the order of its documents, as column carried (see carried_rows).
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -70,7 +71,13 @@ def blocks(docs: DataFrame, name: str, id_col: str = "doc_id", text_col: str = "
             null = ids.is_null().to_numpy(zero_copy_only=False).astype(np.uint8)
             raw = struct.pack("<q", len(ids)) + pc.fill_null(ids, NO_ID).to_numpy(zero_copy_only=False).tobytes() + sizes.tobytes() + null.tobytes()
             raw += b"".join(x.encode() for x in texts.to_pylist())
-            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([int(sizes.sum())], pa.int64()), pa.array([pack(raw)], pa.binary())], ["block", "n_bytes", "payload"])
+            arrays = [pa.array([number], pa.int64()), pa.array([int(sizes.sum())], pa.int64()), pa.array([pack(raw)], pa.binary())]
+            if carry:
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, pa.schema([t.schema.field(2)])) as stream:
+                    stream.write_table(t.select([2]))
+                arrays.append(pa.array([pack(sink.getvalue().to_pybytes())], pa.binary()))
+            return pa.RecordBatch.from_arrays(arrays, ["block", "n_bytes", "payload", "carried"][: len(arrays)])
 
         for batch in batches:
             sizes = pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False).tolist()
@@ -87,10 +94,19 @@ def blocks(docs: DataFrame, name: str, id_col: str = "doc_id", text_col: str = "
         if held:
             yield made()
 
-    out = written(documents(docs, id_col, text_col).mapInArrow(run, "block long, n_bytes long, payload binary"), name)
+    rows = documents(docs, id_col, text_col)
+    if carry:
+        own = F.struct(*[F.col(c) for c in carry]).alias("row")
+        rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), own)
+    out = written(rows.mapInArrow(run, "block long, n_bytes long, payload binary" + ", carried binary" * bool(carry)), name)
     return out, out.agg(F.sum("n_bytes")).first()[0] or 0
 
 
+def carried_rows(carried: bytes) -> pa.Array:
+    """What blocks() carried: a struct for each document."""
+    return pa.ipc.open_stream(unpack(carried)).read_all().column(0).combine_chunks()
+
+
 def buckets_of(keys: np.ndarray, buckets: int) -> np.ndarray:
     """Bucket of each unsigned 64-bit key: ranges of equal width, so sorted keys have rising buckets."""
     return ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)

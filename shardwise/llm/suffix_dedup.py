@@ -7,10 +7,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql.types import StructType
 
-from shardwise.llm.blocks import BUCKET_BYTES, Block, ask, blocks, bucket_slices, mix, pack, reply_list, unpack
+from shardwise.llm.blocks import BUCKET_BYTES, Block, ask, blocks, bucket_slices, carried_rows, mix, pack, reply_list, unpack
 from shardwise.llm.store import written
 
 LENGTH = 50
@@ -22,8 +22,6 @@ GRAM = 8
 #: Suffixes that are sorted at a time.
 SLICE_BYTES = 1 << 18
 _STEP = 1 << 15
-#: The seed of Spark's xxhash64.
-SPARK_SEED = 42
 _SPREAD = np.uint64(0x2545F4914F6CDD1D)
 
 
@@ -289,7 +287,7 @@ def whole_characters(data: np.ndarray, covered: np.ndarray) -> np.ndarray:
     return np.repeat(np.minimum.reduceat(covered, starts), np.diff(np.append(starts, len(data))))
 
 
-def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, as_text: bool = False, with_hash: bool = False, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, as_text: bool = False, carry: list[str] | None = None, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept (binary; or text, see below).
 
     A byte goes if a string of `length` bytes over it also starts in a document of smaller id; strings are judged
@@ -299,17 +297,17 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     sorts their suffixes to `length` bytes, and each block learns the smallest id holding each window.
 
     With `as_text`, kept holds text: a character stays whole unless all its bytes go. The counts are of bytes
-    covered in either case. `with_hash` adds text_hash, Spark's xxhash64 of the text that came in. Null text counts as empty. Null ids count as larger than any other and give nothing
+    covered in either case. The columns of `docs` named by `carry` come along in a struct, row. Null text counts as empty. Null ids count as larger than any other and give nothing
     to each other, just as rows that share an id do. Texts shorter than `length` stay whole.
     """
     if length <= ANCHOR or length + RUN > 250:
         raise ValueError("length must be between 17 and 186")
-    base, total = blocks(docs, "suffix-blocks", id_col, text_col)
+    base, total = blocks(docs, "suffix-blocks", id_col, text_col, carry=carry)
     buckets = int(total // bucket_bytes) + 1
     bits = written(ask(base, _ask_keys(length, buckets), _shared), "suffix-bits")
     told = base.join(bits, "block", "left").select("block", "payload", "replies")
     holders = ask(told, _ask_fragments(length, buckets, buckets), _holders(length)).withColumnRenamed("replies", "holders")
-    final = base.join(bits, "block", "left").join(holders, "block", "left").select("payload", "replies", "holders")
+    final = base.join(bits, "block", "left").join(holders, "block", "left").select("payload", "replies", "holders", *["carried"] * bool(carry))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -324,8 +322,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 spans = np.concatenate([[0], np.cumsum(rise)])
                 left = ~(whole_characters(block.data, covered) if as_text else covered)
                 kept = [block.data[a:b][left[a:b]].tobytes() for a, b in zip(block.starts.tolist(), block.ends.tolist(), strict=True)]
-                spans_of = list(zip(block.starts.tolist(), block.ends.tolist(), strict=True))
-                old = [pa.array(np.array([xxhash.xxh64_intdigest(block.data[a:b].tobytes(), SPARK_SEED) for a, b in spans_of], np.uint64).view(np.int64))] if with_hash else []
+                own = [carried_rows(batch.column(3)[i].as_py())] if carry else []
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(block.ids, pa.int64(), mask=block.null),
@@ -333,10 +330,12 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                         pa.array(gone[block.ends] - gone[block.starts], pa.int64()),
                         pa.array(spans[block.ends] - spans[block.starts], pa.int64()),
                         pa.array([k.decode() for k in kept], pa.string()) if as_text else pa.array(kept, pa.binary()),
-                        *old,
+                        *own,
                     ],
-                    ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "text_hash"][: 5 + len(old)],
+                    ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "row"][: 5 + len(own)],
                 )
 
-    kinds = f"doc_id long, n_bytes long, n_removed long, n_spans long, kept {'string' if as_text else 'binary'}"
-    return final.mapInArrow(run, f"{kinds}, text_hash long" if with_hash else kinds)
+    kinds = StructType.fromDDL(f"doc_id long, n_bytes long, n_removed long, n_spans long, kept {'string' if as_text else 'binary'}")
+    if carry:
+        kinds = kinds.add("row", StructType([docs.schema[c] for c in carry]), False)
+    return final.mapInArrow(run, kinds)
