@@ -288,7 +288,7 @@ SQL["oversample"] = with_(
 FROM picked JOIN pos USING (client_id, place)
 UNION ALL SELECT event_id, client_id, label, 0 AS copy FROM part WHERE label = 0"""
 SQL["balance_none"] = PARTED + "SELECT client_id, label, count(*) AS rows FROM part GROUP BY client_id, label"
-SQL["hash_order_topk"] = EVENTS + f"SELECT event_id, {digest('shuffle', 'event_id')} AS shuffle_key FROM obs ORDER BY shuffle_key, event_id LIMIT 10"
+SQL["hash_order"] = EVENTS + f"SELECT event_id, {digest('shuffle', 'event_id')} AS shuffle_key FROM obs"
 
 
 def sampled(purpose: str, size: str, clients: str, rounds: int) -> str:

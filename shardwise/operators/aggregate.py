@@ -38,7 +38,7 @@ def fedavg(params: DataFrame, previous: DataFrame | None = None, accept_failures
     )
     if previous is None:
         return merged
-    kept = previous.where(F.col("client_id").isNull()).drop("round").limit(1).withColumn("one", F.lit(1))
+    kept = previous.where(F.col("client_id").isNull()).orderBy(F.desc("round")).limit(1).drop("round").withColumn("one", F.lit(1))
     lost = rounds.where(~usable).select("round", F.lit(1).alias("one"))
     return merged.unionByName(lost.join(kept, "one").select(*PARAMS_SCHEMA.names))
 

@@ -97,18 +97,20 @@ def client_stats(train: DataFrame, made: Learner) -> DataFrame:
         c0 = F.when(both, F.col("n") / (2.0 * F.col("n0"))).otherwise(1.0)
         c1 = F.when(both, F.col("n") / (2.0 * F.col("n1"))).otherwise(1.0)
     strength = F.lit(made.alpha) if made.alpha is not None else 1.0 / (F.lit(made.c) * F.col("n"))
+    # Features that are all zero have no step: such a client is reported as failed.
+    bound = made.curvature * (F.col("c0") * F.col("s0") + F.col("c1") * F.col("s1"))
     return sums.withColumns({"c0": c0, "c1": c1}).select(
         "client_id", "n", "n0", "n1", "c0", "c1",
-        (F.col("n") / (made.curvature * (F.col("c0") * F.col("s0") + F.col("c1") * F.col("s1")))).alias("step"),
+        F.when(bound > 0, F.col("n") / bound).otherwise(0.0).alias("step"),
         strength.alias("strength"),
-        F.when(both, "ok").otherwise("failed").alias("status"),
+        F.when(both & (bound > 0), "ok").otherwise("failed").alias("status"),
     )
 
 
 def start_from(stats: DataFrame, params: DataFrame) -> DataFrame:
     """One starting row per client: its own parameters if the table has them, else the global model."""
     own = params.where(F.col("client_id").isNotNull()).select("client_id", "coef", "intercept")
-    shared = params.where(F.col("client_id").isNull()).limit(1).collect()
+    shared = params.where(F.col("client_id").isNull()).orderBy(F.desc("round")).limit(1).collect()  # the latest global model
     joined = stats.join(own, "client_id", "left")
     if not shared:
         return joined.where(F.col("coef").isNotNull()).withColumn("done", F.lit(False))
@@ -128,7 +130,7 @@ def starting_state(stats: Settled, params: DataFrame | Settled) -> Settled:
     if not held or stats.rows.num_rows * (_width(params) + 1) > MODEL_VALUES:
         model = params.df if isinstance(params, Settled) else params
         return settle(start_from(stats.df, model), limit=CLIENT_ROWS)
-    own = {p["client_id"]: p for p in params.records()}
+    own = {p["client_id"]: p for p in sorted(params.records(), key=lambda p: p["round"] or 0)}  # the latest of each
     rows = [
         {**r, "coef": own.get(r["client_id"], own.get(None))["coef"], "intercept": own.get(r["client_id"], own.get(None))["intercept"], "done": False}
         for r in stats.records()

@@ -68,7 +68,7 @@ def run_linear(
     made = learner(cfg.loss, cfg.penalty, cfg.local_epochs, l1_ratio=cfg.l1_ratio, fit_intercept=cfg.fit_intercept, tol=cfg.tol)
     known = dict(
         source=source, clients=cfg.clients, balance=cfg.balance, ratio=cfg.ratio, seed=cfg.seed, test=cfg.test_fraction,
-        scaler=cfg.scaler_scope, features=tuple(features), label=label, dtype=dtype,
+        scaler=cfg.scaler_scope, features=tuple(features), label=label, dtype=dtype, key=key,
     )
     # Only a named source can be found again; other runs write to scratch space of their own.
     folder = cache_dir if cache_dir and source else scratch_dir(spark, "run")

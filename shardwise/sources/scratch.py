@@ -21,6 +21,8 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     if not base:
         context = spark.sparkContext
         if not context.getCheckpointDir():
+            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             context.setCheckpointDir(tempfile.mkdtemp(prefix="run-"))
         base = context.getCheckpointDir()
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

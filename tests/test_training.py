@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from shardwise.config import LinearConfig
 from shardwise.functions.hashing import hash_order, normal
-from shardwise.operators import linear, sgd
+from shardwise.operators import aggregate, linear, sgd
 from shardwise.operators.linear import gradient_sums, initial_params, learner, local_fit, starting_state
 from shardwise.plans.linear_job import run_linear
 from shardwise.sources.scratch import settle
@@ -184,3 +184,18 @@ def test_the_prepared_table_is_reused(spark, data, tmp_path):
     # Empty input: everything the second run sees comes from the stored table.
     again = run_linear(_observations(data).where("key < 300"), features, cfg, "key", cache_dir=str(tmp_path), source="data")
     assert first.params.first()["coef"] == pytest.approx(again.params.first()["coef"], abs=1e-12)
+
+
+def test_latest_global_model_is_the_start(spark):
+    stats = spark.createDataFrame([(0,)], "client_id int")
+    schema = "round int, client_id int, n_examples long, status string, coef array<double>, intercept double"
+    params = spark.createDataFrame([(r, None, 1, "ok", [float(r)], 0.0) for r in (1, 3, 2)], schema)
+    assert linear.start_from(stats, params).first()["coef"] == [3.0]
+    failed = spark.createDataFrame([(4, 0, 1, "failed", [9.0], 0.0)], schema)
+    assert [(r["round"], r["coef"]) for r in aggregate.fedavg(failed, params).collect()] == [(4, [3.0])]
+
+
+def test_features_of_zeros_fail_instead_of_dividing(spark):
+    train = spark.createDataFrame([(0, 0, [0.0]), (0, 1, [0.0]), (1, 0, [1.0]), (1, 1, [2.0])], "client_id int, label int, x array<double>")
+    made = linear.learner("logistic", "l2", 2, fit_intercept=False)
+    assert {r["client_id"]: r["status"] for r in linear.client_stats(train, made).collect()} == {0: "failed", 1: "ok"}
