@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from shardwise.llm.blocks import BUCKET_BYTES, Block, ask, blocks, bucket_slices, mix, pack, reply_list, unpack
 from shardwise.llm.components import components
-from shardwise.llm.store import sorted_groups, written
+from shardwise.llm.store import release, sorted_groups, written
 
 ORDERS = 3
 #: Documents of one candidate component that a task compares with each other, or with as many others.
@@ -268,6 +268,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_co
     buckets = int(total // bucket_bytes) + 1
     counted = base.join(ask(base, _ask_counts(words, buckets), _frequency_classes), "block", "left").select("payload", "replies")
     table = written(counted.mapInArrow(_documents(words, percent, buckets), "doc_id long, n long, signature binary, tokens binary, classes binary"), "jaccard-sets")
+    release(base)
     known = table.where("signature is not null and doc_id is not null").groupBy("signature").agg(F.min("doc_id").alias("rep"))
     # Rows that share an id are one node: their different sets are joined under it.
     reps = written(known, "jaccard-signatures")
@@ -284,6 +285,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_co
     same_id = table.where("signature is not null and doc_id is not null").join(reps, "signature").where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     shared_id = same_id.join(table.where("doc_id is not null and signature is not null").groupBy("doc_id").agg(F.count_distinct("signature").alias("sets")).where("sets > 1"), F.col("a") == F.col("doc_id")).select("a", "b")
     found = components(links.unionByName(shared_id), "jaccard-links")
+    release(active)
     # Through the signature every copy finds its set's component; an id with several sets finds it by itself.
     named = reps.join(found, reps["rep"] == found["node"], "left").select("signature", F.coalesce("component", "rep").alias("by_set"))
     out = table.select("doc_id", "n", "signature").join(named, "signature", "left")

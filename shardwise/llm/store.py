@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from weakref import WeakKeyDictionary
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -10,12 +11,23 @@ from pyspark.sql import functions as F
 
 from shardwise.sources.scratch import scratch_dir
 
+_folders: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
-def written(df: DataFrame, name: str) -> DataFrame:
+
+def written(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """The table, evaluated once and read back from the shared folder: its lineage ends there."""
     path = scratch_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    df.write.option("compression", codec).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _folders[out] = path
+    return out
+
+
+def release(table: DataFrame) -> None:
+    """Remove the folder of a written() table once all that is read from it is itself written."""
+    spark = table.sparkSession
+    folder = spark._jvm.org.apache.hadoop.fs.Path(_folders.pop(table))
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
