@@ -166,7 +166,7 @@ def best_fit_packing(pieces: DataFrame, tokens: int = SEQUENCE_TOKENS) -> DataFr
     within a length go where; a piece finds its rank by a count over groups of its length, so a frequent
     length is numbered by many tasks. Null ids and repeated rows are pieces like any other.
     """
-    pieces = written(pieces, "packing-pieces")
+    pieces = written(pieces, "packing-pieces", codec="zstd")
     groups = pieces.count() // ROWS_PER_RANK_GROUP + 1
     pieces = pieces.withColumn("rank_group", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups)))
     sizes = pieces.groupBy("length", "rank_group").count()
