@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 import base64
-import struct
 from collections.abc import Iterator
-from heapq import heappop, heappush
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +16,9 @@ from shardwise.llm.pieces import REMEMBERED, Decoder, Remembering, worker_store
 from shardwise.llm.store import documents
 
 BATCH_BYTES = 1 << 20
-_FORMATS = [f"<{n}I" for n in range(9)]
+#: Bytes of words merged at a time: their links stay in a core's cache.
+MERGED_BYTES = 1 << 18
+
 
 def read_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as lines:
@@ -33,19 +34,12 @@ class RankQueue:
         self.leaf, self.middle, self.top = [0] * ((ranks >> 6) + 1), [0] * ((ranks >> 12) + 1), 0
 
     def fill(self, rank: int, positions: list[int]) -> None:
-        """Rising positions of a rank that holds none."""
+        """Positions of a rank that holds none."""
         self.buckets[rank] = positions
         self.leaf[rank >> 6] |= 1 << (rank & 63)
         self.middle[rank >> 12] |= 1 << ((rank >> 6) & 63)
         self.top |= 1 << (rank >> 12)
 
-    def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is None:
-            self.fill(rank, [position])
-        else:
-            heappush(bucket, position)
-
     def lowest(self) -> int:
         """The lowest rank that holds positions, -1 if none does."""
         if not self.top:
@@ -56,13 +50,14 @@ class RankQueue:
         word = self.leaf[a]
         return a << 6 | (word & -word).bit_length() - 1
 
-    def clear(self, rank: int) -> None:
-        del self.buckets[rank]
+    def take(self, rank: int) -> list[int]:
+        """The positions of a rank, leftmost first; it holds none then."""
         self.leaf[rank >> 6] &= ~(1 << (rank & 63))
         if not self.leaf[rank >> 6]:
             self.middle[rank >> 12] &= ~(1 << ((rank >> 6) & 63))
             if not self.middle[rank >> 12]:
                 self.top &= ~(1 << (rank >> 12))
+        return sorted(self.buckets.pop(rank))
 
 
 class Merger:
@@ -84,11 +79,14 @@ class Merger:
         rank = self.pairs[key] = self.ranks.get(self.tokens[key >> 24] + self.tokens[key & 0xFFFFFF], -1)
         return rank
 
-    def encode(self, words: list[bytes]) -> list[list[int]]:
-        whole = [self.ranks.get(w) for w in words]
+    def encode(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each word, as little-endian unsigned 32-bit integers."""
+        whole = list(map(self.ranks.get, words))
         open_words = [w for w, r in zip(words, whole, strict=True) if r is None]
-        merged = iter(self._merge(open_words))
-        return [[r] if r is not None else next(merged) for r in whole]
+        ends = np.cumsum([len(w) for w in open_words])
+        cuts = [0, *np.unique(np.searchsorted(ends, np.arange(MERGED_BYTES, ends[-1], MERGED_BYTES)) + 1).tolist(), len(ends)] if open_words else []
+        merged = chain.from_iterable(self._merge(open_words[i:j]) for i, j in zip(cuts, cuts[1:], strict=False) if i < j)
+        return [r.to_bytes(4, "little") if r is not None else next(merged) for r in whole]
 
     def _first(self, text: np.ndarray, after: np.ndarray) -> None:
         """All neighbouring bytes that merge go into the queue, leftmost first within a rank."""
@@ -101,9 +99,9 @@ class Merger:
         for r, begin, end in zip(ranks.tolist(), begins.tolist(), [*begins[1:].tolist(), len(at)], strict=True):
             self.queue.fill(r, at[begin:end].tolist())
 
-    def _merge(self, words: list[bytes]) -> list[list[int]]:
+    def _merge(self, words: list[bytes]) -> list[bytes]:
         queue, pairs, pair = self.queue, self.pairs, self._pair
-        buckets, push, lowest = queue.buckets, queue.push, queue.lowest
+        buckets, fill, lowest = queue.buckets, queue.fill, queue.lowest
         sizes = np.array([len(w) for w in words], np.int64)
         text = np.frombuffer(b"".join(words), np.uint8)
         ends = np.cumsum(sizes)
@@ -117,9 +115,9 @@ class Merger:
         before = links.tolist()
         token = self.single[text].tolist()
         while (rank := lowest()) >= 0:
-            bucket = buckets[rank]
-            while bucket:
-                p = heappop(bucket)
+            # A merge makes no pair of its own rank, so a rank is taken whole, in order.
+            taken, lower = queue.take(rank), False
+            for i, p in enumerate(taken):
                 a, q = token[p], after[p]
                 if a < 0 or q < 0:
                     continue  # stale
@@ -134,23 +132,28 @@ class Merger:
                     r = pairs[key] if key in pairs else pair(key)
                     if r >= 0:
                         if r in buckets:
-                            heappush(buckets[r], p)
+                            buckets[r].append(p)
                         else:
-                            push(r, p)
+                            fill(r, [p])
+                            lower |= r < rank
                 left = before[p]
                 if left >= 0:
                     key = token[left] << 24 | rank
                     r = pairs[key] if key in pairs else pair(key)
                     if r >= 0:
                         if r in buckets:
-                            heappush(buckets[r], left)
+                            buckets[r].append(left)
                         else:
-                            push(r, left)
-            queue.clear(rank)
+                            fill(r, [left])
+                            lower |= r < rank
+                if lower:  # a longer token may have a lower rank: that one is next
+                    if rest := taken[i + 1 :]:
+                        fill(rank, rest)
+                    break
         left = np.array(token, np.int64)
         at = np.flatnonzero(left >= 0)
-        left, cuts = left[at].tolist(), np.searchsorted(at, np.concatenate([starts, ends[-1:]])).tolist()
-        return [left[i:j] for i, j in zip(cuts, cuts[1:], strict=False)]
+        ids, cuts = left[at].astype("<u4").tobytes(), (4 * np.searchsorted(at, np.concatenate([starts, ends[-1:]]))).tolist()
+        return [ids[i:j] for i, j in zip(cuts, cuts[1:], strict=False)]
 
 
 class Codec:
@@ -162,15 +165,11 @@ class Codec:
         self.words: dict[str, bytes] = {}
         self.decode = Decoder(self.merger.tokens).decode
 
-    def pretokens(self, text: str) -> list[str]:
-        return self.pattern.findall(text)
-
     def _parts(self, parts: list[str]) -> list[bytes]:
-        known, split = self.words, [self.pretokens(p) for p in parts]
+        known, split = self.words, list(map(self.pattern.findall, parts))
         new = list(set().union(*split) - known.keys())
-        for w, ids in zip(new, self.merger.encode([w.encode() for w in new]), strict=True):
-            known[w] = np.array(ids, "<u4").tobytes() if len(ids) > 8 else struct.pack(_FORMATS[len(ids)], *ids)
-        out = [b"".join(map(known.__getitem__, s)) for s in split]
+        known.update(zip(new, self.merger.encode(list(map(str.encode, new))), strict=True))
+        out = [known[s[0]] if len(s) == 1 else b"".join(map(known.__getitem__, s)) for s in split]
         if len(known) > REMEMBERED:
             known.clear()
         return out
