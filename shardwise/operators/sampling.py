@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from shardwise.functions.hashing import hash_order
 from shardwise.operators.ranking import at_or_before, cutoffs, distributed_rank, position_key, segment
-from shardwise.sources.scratch import settle
+from shardwise.sources.scratch import Settled, settle
 
 PARTITION = "partition"
 
@@ -19,17 +19,22 @@ def hash_ordered(df: DataFrame, key: list[str], seed: int, purpose: str = "shuff
     return df.withColumn(name, hash_order(seed, purpose, *key))
 
 
-def iid_partition(df: DataFrame, key: list[str], clients: int, seed: int) -> DataFrame:
-    """Deal rows to clients in hash order; sizes differ by at most one, larger ones first."""
+def partition_bounds(df: DataFrame, key: list[str], clients: int, seed: int) -> Settled | None:
+    """Where each client but the last ends in hash order, for `iid_partition` of any table with these keys."""
 
     def ends(sizes: DataFrame) -> DataFrame:
         i = F.explode(F.sequence(F.lit(1), F.lit(clients - 1))) if clients > 1 else F.explode(F.array().cast("array<int>"))
         each, extra = F.floor(F.col("n") / clients), F.col("n") % clients
         return sizes.withColumn("i", i).withColumn("r", F.col("i") * each + F.least(F.col("i"), extra)).dropDuplicates(["r"])
 
+    return cutoffs(df, [], key, seed, PARTITION, ends, per_group=clients) if clients > 1 else None
+
+
+def iid_partition(df: DataFrame, key: list[str], clients: int, seed: int, bounds: Settled | None = None) -> DataFrame:
+    """Deal rows to clients in hash order; sizes differ by at most one, larger ones first."""
     if clients == 1:
         return df.withColumn("client_id", F.lit(0))
-    cut = cutoffs(df, [], key, seed, PARTITION, ends, per_group=clients)
+    cut = bounds if bounds is not None else partition_bounds(df, key, clients, seed)
     return segment(df, key, seed, PARTITION, cut, "client_id")
 
 
@@ -65,11 +70,15 @@ def split_quotas(counts: DataFrame, by: list[str], label: str, test_fraction: fl
 
 
 def stratified_split(
-    df: DataFrame, by: list[str], label: str, key: list[str], test_fraction: float, seed: int, purpose: str = "stratify"
+    df: DataFrame, by: list[str], label: str, key: list[str], test_fraction: float, seed: int, purpose: str = "stratify",
+    counted: DataFrame | None = None,
 ) -> DataFrame:
-    """Add `split` per group with class shares kept; rows of a group that cannot be split get null."""
+    """Add `split` per group with class shares kept; rows of a group that cannot be split get null.
+
+    `counted` holds the same rows without the wide columns, if there is such a table to count over.
+    """
     cut = cutoffs(
-        df, [*by, label], key, seed, purpose,
+        df if counted is None else counted, [*by, label], key, seed, purpose,
         lambda sizes: split_quotas(sizes, by, label, test_fraction).withColumn(
             "r", F.when(F.col("feasible"), F.greatest(F.col("r"), F.lit(0))).otherwise(F.lit(0))
         ),
@@ -81,9 +90,11 @@ def stratified_split(
     return named.withColumn("split", F.when(F.col("feasible"), F.col("split"))).drop("feasible")
 
 
-def ordered_split(df: DataFrame, by: list[str], key: list[str], train_fraction: float, seed: int, purpose: str = PARTITION) -> DataFrame:
+def ordered_split(
+    df: DataFrame, by: list[str], key: list[str], train_fraction: float, seed: int, purpose: str = PARTITION, counted: DataFrame | None = None
+) -> DataFrame:
     """Add `split`: the first floor(fraction * n) rows of each group, in the group's own order, train."""
-    cut = cutoffs(df, by, key, seed, purpose, lambda s: s.withColumn("r", F.floor(F.lit(train_fraction) * F.col("n"))))
+    cut = cutoffs(df if counted is None else counted, by, key, seed, purpose, lambda s: s.withColumn("r", F.floor(F.lit(train_fraction) * F.col("n"))))
     return _labelled(at_or_before(df, by, key, seed, purpose, cut, "picked"), "train", "test")
 
 
@@ -116,14 +127,14 @@ def _kept_rows(sizes: DataFrame, by: list[str], label: str, ratio: float) -> Dat
     return sizes.withColumn("kept", F.when(F.col(label) == 0, target).otherwise(F.col("n")))
 
 
-def oversample(df: DataFrame, by: list[str], label: str, key: list[str], ratio: float, seed: int) -> DataFrame:
+def oversample(df: DataFrame, by: list[str], label: str, key: list[str], ratio: float, seed: int, counted: DataFrame | None = None) -> DataFrame:
     """Replace the positives of each group by int(positives * ratio) draws with replacement.
 
     The positive at rank r starts draws r, r + positives, ... so draws are as spread as the rows.
     Each draw hashes to the rank it picks; picks are counted before the wide rows are touched.
     `copy` numbers the copies of a row (0 for negatives).
     """
-    positives = df.where(F.col(label) == 1).select(*by, *key)
+    positives = (df if counted is None else counted).where(F.col(label) == 1).select(*by, *key)
     sizes = settle(positives.groupBy(*by).agg(F.count("*").alias("positives")))
     ranked = distributed_rank(positives, by, key, seed, "oversample", "rank").join(sizes.side(), by)
     draws = F.floor(F.col("positives") * F.lit(float(ratio)))
@@ -157,18 +168,22 @@ def balance(df: DataFrame, method: str | None, by: list[str], label: str, key: l
 
 
 def balanced_split(
-    df: DataFrame, method: str | None, by: list[str], label: str, key: list[str], ratio: float, test_fraction: float, seed: int
+    df: DataFrame, method: str | None, by: list[str], label: str, key: list[str], ratio: float, test_fraction: float, seed: int,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
     """Balance the classes, then split them: the job's two steps in as few passes as they allow.
 
     Undersampling keeps the first rows of each class in hash order, so the split can take its test
     rows from the front of the same order. Both bounds are then found together, and the result is
-    that of `undersample` followed by `stratified_split` with the same purpose.
+    that of `undersample` followed by `stratified_split` with the same purpose. All counting is done
+    over `counted` if given: the same rows with no column but `by`, the label and the key.
     """
+    counted = df if counted is None else counted
+    if method == "oversample":
+        drawn = [oversample(rows, by, label, key, ratio, seed, counted) for rows in (df, counted)]
+        return stratified_split(drawn[0], by, label, [*key, "copy"], test_fraction, seed, counted=drawn[1])
     if method != "undersample":
-        balanced = balance(df, method, by, label, key, ratio, seed)
-        keys = [*key, "copy"] if method == "oversample" else key
-        return stratified_split(balanced, by, label, keys, test_fraction, seed)
+        return stratified_split(balance(df, method, by, label, key, ratio, seed), by, label, key, test_fraction, seed, counted=counted)
 
     groups = [*by, label]
 
@@ -178,7 +193,7 @@ def balanced_split(
         tests = F.when(F.col("feasible"), F.col("r")).otherwise(F.lit(0))
         return quotas.select(*groups, F.explode(F.array(F.col("n"), tests)).alias("r"))
 
-    cut = cutoffs(df, groups, key, seed, "undersample", bounds, per_group=2)
+    cut = cutoffs(counted, groups, key, seed, "undersample", bounds, per_group=2)
     # The later bound ends the kept rows, an earlier one ends the test rows.
     both = cut.df.groupBy(*groups).agg(F.max("cut").alias("last_kept"), F.expr("CASE WHEN count(*) > 1 THEN min(cut) END AS last_test"))
     able = F.count("last_test").over(Window.partitionBy(*by)) > 0

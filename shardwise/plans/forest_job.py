@@ -13,7 +13,8 @@ from shardwise.functions.schedules import trees_in_round
 from shardwise.operators.aggregate import aggregate_metrics
 from shardwise.operators.evaluate import evaluate_forest
 from shardwise.operators.forest import grow_forests, initial_forest, merge_and_prune
-from shardwise.operators.sampling import central_head_test, iid_partition, ordered_split, sample_clients
+from shardwise.operators.sampling import central_head_test, ordered_split, sample_clients
+from shardwise.plans.linear_job import dealt
 from shardwise.sources.observations import labelled_vectors, prepared
 from shardwise.sources.scratch import scratch_dir, settle
 from shardwise.sources.state import NODES_SCHEMA, write_forest
@@ -30,8 +31,9 @@ class ForestRun:
 
 def prepare_forest_clients(df: DataFrame, features: list[str], cfg: ForestConfig, key: str, label: str = "label") -> DataFrame:
     """Partition and split in partition order: (key, client_id, label, x, split). No scaling."""
-    parts = iid_partition(labelled_vectors(df, features, key, label), [key], cfg.clients, cfg.seed)
-    return ordered_split(parts, ["client_id"], [key], cfg.train_fraction, cfg.seed)
+    rows = labelled_vectors(df, features, key, label, on_incomplete=cfg.on_incomplete)
+    parts, counted = dealt(rows, key, cfg.clients, cfg.seed)
+    return ordered_split(parts, ["client_id"], [key], cfg.train_fraction, cfg.seed, counted=counted)
 
 
 def run_forest(
@@ -45,14 +47,17 @@ def run_forest(
     merge_test = central_head_test(stored.drop("split"), [key], 0, 0.2, cfg.seed) if cfg.legacy_test else test
     clients = settle(spark.range(cfg.clients).select(F.col("id").cast("int").alias("client_id"))).df
     rounds = list(range(1, cfg.rounds + 1))
-    fitting = settle(sample_clients(clients, cfg.fit_fraction, cfg.min_clients, rounds, cfg.seed, cfg.min_available, "fit")).df
+    plan = settle(sample_clients(clients, cfg.fit_fraction, cfg.min_clients, rounds, cfg.seed, cfg.min_available, "fit"))
+    fitting: dict[int, list[int]] = {}
+    for r in sorted(plan.records(), key=lambda r: (r["round"], r["client_id"])):
+        fitting.setdefault(r["round"], []).append(r["client_id"])
     asked = settle(sample_clients(clients, cfg.evaluate_fraction, cfg.min_clients, rounds, cfg.seed, cfg.min_available, "evaluate")).df
     model = None if cfg.cold_start else settle(initial_forest(spark, len(features), cfg.trees, cfg.depth, cfg.seed)).df
     history, metrics = [], []
     for round_no in rounds:
         hook = cfg.on_round(round_no) if cfg.on_round else {}
         target = hook.get("trees", trees_in_round(round_no))
-        chosen = [r["client_id"] for r in fitting.where(F.col("round") == round_no).orderBy("client_id").collect()]
+        chosen = fitting.get(round_no, [])
         if chosen:
             grown = settle(grow_forests(model, train, chosen, target, cfg.depth, cfg.seed, round_no, cfg.parallel_fits), limit=1_000_000).df
             model = settle(merge_and_prune(grown, merge_test, cfg.trees)).df

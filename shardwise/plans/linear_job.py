@@ -13,10 +13,10 @@ from shardwise.functions.schedules import epochs_in_round
 from shardwise.operators.aggregate import aggregate_metrics, fedavg
 from shardwise.operators.evaluate import central_names, client_tallies, merge_tallies, metrics_from
 from shardwise.operators.linear import CLIENT_ROWS, client_stats, fits_tasks, initial_params, learner, local_fit
-from shardwise.operators.sampling import balanced_split, iid_partition, sample_clients
+from shardwise.operators.sampling import balanced_split, iid_partition, partition_bounds, sample_clients
 from shardwise.operators.scaling import apply_scaler, fit_scaler
 from shardwise.operators.sgd import local_sgd
-from shardwise.sources.observations import labelled_vectors, prepared, prepared_before
+from shardwise.sources.observations import incomplete_vectors, labelled_vectors, prepared, prepared_before
 from shardwise.sources.rounds import write_round_log
 from shardwise.sources.scratch import Settled, scratch_dir, settle
 from shardwise.sources.state import PARAMS_SCHEMA, write_params
@@ -24,12 +24,17 @@ from shardwise.sources.state import PARAMS_SCHEMA, write_params
 
 @dataclass(frozen=True)
 class LinearRun:
-    """What a run leaves behind, all as tables."""
+    """What a run leaves behind, all as tables.
+
+    failures: client_id, reason of every client that has not trained. incomplete: rows, incomplete; counted when read.
+    """
 
     params: DataFrame
     client_metrics: DataFrame
     round_metrics: DataFrame
     central_metrics: DataFrame
+    failures: DataFrame
+    incomplete: DataFrame
 
 
 def prepare_clients(
@@ -37,13 +42,24 @@ def prepare_clients(
 ) -> DataFrame:
     """Partition, standardise, balance and split: (key, client_id, label, x, split).
 
-    Only hash cutoffs are computed on the way; the rows themselves pass through filters and
-    narrow lookups until they are written.
+    One wide pass tests the rows and writes their keys and labels; all hash cutoffs are counted over
+    that narrow table. The rows themselves are read for the scaler and once more to be written.
     """
-    parts = iid_partition(labelled_vectors(df, features, key, label, dtype), [key], cfg.clients, cfg.seed)
+    rows = labelled_vectors(df, features, key, label, dtype, cfg.on_incomplete)
+    parts, counted = dealt(rows, key, cfg.clients, cfg.seed)
     scaler = scaler if scaler is not None else fit_scaler(parts, features, cfg.scaler_scope, x="x")
     scaled = apply_scaler(parts, scaler, features, "x")
-    return balanced_split(scaled, cfg.balance, ["client_id"], "label", [key], cfg.ratio, cfg.test_fraction, cfg.seed)
+    return balanced_split(scaled, cfg.balance, ["client_id"], "label", [key], cfg.ratio, cfg.test_fraction, cfg.seed, counted)
+
+
+def dealt(rows: DataFrame, key: str, clients: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """Rows dealt to clients, and the written table of their keys and labels dealt likewise."""
+    path = scratch_dir(rows.sparkSession, "keys")
+    rows.select(key, "label").write.parquet(path)
+    narrow = rows.sparkSession.read.parquet(path)
+    bounds = partition_bounds(narrow, [key], clients, seed)
+    whole, counted = (iid_partition(t, [key], clients, seed, bounds) for t in (rows, narrow))
+    return whole, counted
 
 
 def run_linear(
@@ -68,7 +84,7 @@ def run_linear(
     made = learner(cfg.loss, cfg.penalty, cfg.local_epochs, l1_ratio=cfg.l1_ratio, fit_intercept=cfg.fit_intercept, tol=cfg.tol)
     known = dict(
         source=source, clients=cfg.clients, balance=cfg.balance, ratio=cfg.ratio, seed=cfg.seed, test=cfg.test_fraction,
-        scaler=cfg.scaler_scope, features=tuple(features), label=label, dtype=dtype, key=key,
+        scaler=cfg.scaler_scope, features=tuple(features), label=label, dtype=dtype, key=key, on_incomplete=cfg.on_incomplete,
     )
     # Only a named source can be found again; other runs write to scratch space of their own.
     folder = cache_dir if cache_dir and source else scratch_dir(spark, "run")
@@ -109,7 +125,8 @@ def run_linear(
             history.extend({**row, "round": round_no} for row in model.records())
             if out_dir:
                 write_params(model.df, f"{out_dir}/params", round_no)
-        return _evaluated(history, test, plan.df, cfg, out_dir)
+        run = _evaluated(history, test, plan.df, cfg, out_dir)
+        return LinearRun(*run, _failures(stats.df, cfg), incomplete_vectors(df, features, key, label, dtype))
     finally:
         train.unpersist()
 
@@ -129,7 +146,7 @@ def _keys(stored: DataFrame, key: str) -> list[str]:
     return [c for c in (key, "copy") if c in stored.columns]
 
 
-def _evaluated(history: list[dict], test: DataFrame, plan: DataFrame, cfg: LinearConfig, out_dir: str | None) -> LinearRun:
+def _evaluated(history: list[dict], test: DataFrame, plan: DataFrame, cfg: LinearConfig, out_dir: str | None) -> tuple[DataFrame, ...]:
     # One global model per round: rounds x (features + 1) numbers.
     models = test.sparkSession.createDataFrame(history, PARAMS_SCHEMA)
     params = settle(models)
@@ -138,11 +155,18 @@ def _evaluated(history: list[dict], test: DataFrame, plan: DataFrame, cfg: Linea
     clients = metrics_from(tallies.join(asked, ["round", "client_id"], "left_semi"), ["round", "client_id"])
     rounds = aggregate_metrics(clients, LOG_METRICS)
     central = metrics_from(merge_tallies(tallies.where(F.col("client_id").isin(*cfg.central_clients)), ["round"]), ["round"])
-    run = LinearRun(params.df, clients, settle(rounds).df, central_names(central))
+    by_round, central = settle(rounds).df, central_names(central)
     if out_dir:
-        write_round_log(run.round_metrics, f"{out_dir}/log")
-        write_round_log_central(run.central_metrics, out_dir)
-    return run
+        write_round_log(by_round, f"{out_dir}/log")
+        write_round_log_central(central, out_dir)
+    return params.df, clients, by_round, central
+
+
+def _failures(stats: DataFrame, cfg: LinearConfig) -> DataFrame:
+    """Clients that cannot train: balancing or splitting left them no rows, or their rows allow no step."""
+    every = stats.sparkSession.range(cfg.clients).select(F.col("id").cast("int").alias("client_id"))
+    reason = F.when(F.col("status").isNull(), "no training rows").when(F.col("status") != "ok", "one class or no step")
+    return every.join(stats.select("client_id", "status"), "client_id", "left").select("client_id", reason.alias("reason")).where("reason is not null")
 
 
 def write_round_log_central(central: DataFrame, out_dir: str) -> None:

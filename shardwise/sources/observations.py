@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType, StructType
 
@@ -44,12 +44,37 @@ def complete_rows(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.dropna(subset=columns)
 
 
-def labelled_vectors(df: DataFrame, features: list[str], key: str, label: str = LABEL, dtype: str = "double") -> DataFrame:
-    """(key, label, x) of the complete rows. The features travel as one array from here on: many
-    separate columns make plans and generated code slow."""
-    rows = assemble(df, features, dtype).select(F.col(key), F.col(label).cast("int").alias(LABEL), "x")
-    whole = ~F.exists("x", lambda v: v.isNull() | F.isnan(v))
-    return rows.where(F.col(key).isNotNull() & F.col(LABEL).isNotNull() & whole)
+def labelled_vectors(
+    df: DataFrame, features: list[str], key: str, label: str = LABEL, dtype: str = "double", on_incomplete: str = "fail"
+) -> DataFrame:
+    """(key, label, x). The features travel as one array from here on: many separate columns make
+    plans and generated code slow.
+
+    A row without key or label, or with a feature that is null, NaN or infinite, is incomplete: "fail"
+    ends the job at the first one, "drop" leaves them out (`incomplete_vectors` counts them).
+    """
+    rows = _vectors(df, features, key, label, dtype)
+    if on_incomplete == "drop":
+        return rows.where(_whole(key))
+    if on_incomplete == "fail":
+        stop = F.raise_error(F.lit("incomplete row: no key, no label or a feature that is no finite number; on_incomplete='drop' leaves such rows out"))
+        return rows.where(F.when(_whole(key), True).otherwise(stop))
+    raise ValueError(f"unknown on_incomplete: {on_incomplete}")
+
+
+def incomplete_vectors(df: DataFrame, features: list[str], key: str, label: str = LABEL, dtype: str = "double") -> DataFrame:
+    """Rows in total and rows that `labelled_vectors` drops."""
+    rows = _vectors(df, features, key, label, dtype)
+    return rows.agg(F.count("*").alias("rows"), F.count_if(~_whole(key)).alias("incomplete"))
+
+
+def _vectors(df: DataFrame, features: list[str], key: str, label: str, dtype: str) -> DataFrame:
+    return assemble(df, features, dtype).select(F.col(key), F.col(label).cast("int").alias(LABEL), "x")
+
+
+def _whole(key: str) -> Column:
+    broken = F.exists("x", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
+    return F.col(key).isNotNull() & F.col(LABEL).isNotNull() & ~broken
 
 
 def incomplete_count(df: DataFrame, columns: list[str]) -> DataFrame:
