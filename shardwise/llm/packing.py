@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -59,17 +60,44 @@ def encoder(vocabulary_path: str, pattern: str) -> Remembering:
     return Remembering(lambda parts: [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch(parts, add_special_tokens=False)])
 
 
+def document_encoder(vocabulary_path: str, pattern: str) -> Callable[[list[str]], list[bytes]]:
+    """Ids as the tokenizers library gives them with add_special_tokens=False: added tokens in a text have their own ids.
+
+    The library looks for added tokens first and encodes what lies between as texts of their own; so does this,
+    before any text is cut at spaces. Files whose added tokens take in their surroundings go to the library whole.
+    """
+    with open(vocabulary_path, encoding="utf-8") as f:
+        file = json.load(f)
+    added = {t["content"]: np.array([t["id"]], "<u4").tobytes() for t in file.get("added_tokens", [])}
+    if any(t.get(k) for t in file.get("added_tokens", []) for k in ("single_word", "lstrip", "rstrip", "normalized")):
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_file(vocabulary_path)
+        return lambda texts: [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    memory = worker_store(f"pack:{vocabulary_path}:{pattern}", lambda: encoder(vocabulary_path, pattern))
+    if not added:
+        return memory.texts
+    any_added = re.compile(f"({'|'.join(map(re.escape, sorted(added, key=len, reverse=True)))})")
+
+    def texts(texts: list[str]) -> list[bytes]:
+        sections = [any_added.split(t) for t in texts]  # text, added token, text, ...
+        plain = iter(memory.texts([s for own in sections for s in own[::2]]))
+        return [b"".join(added[s] if i % 2 else next(plain) for i, s in enumerate(own)) for own in sections]
+
+    return texts
+
+
 def tokenized_pieces(docs: DataFrame, vocabulary_path: str, pattern: str, tokens: int = SEQUENCE_TOKENS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (doc_id, piece, start, length, ids): each document's ids and the end id, cut only if longer than a sequence."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory = worker_store(f"pack:{vocabulary_path}:{pattern}", lambda: encoder(vocabulary_path, pattern))
+        encode = worker_store(f"pack-documents:{vocabulary_path}:{pattern}", lambda: document_encoder(vocabulary_path, pattern))
         end = np.array([END_ID], "<u4").tobytes()
         for batch in batches:
             for begin, stop in by_bytes(batch.column(1)):
                 part = batch.slice(begin, stop - begin)
                 rows = []
-                for doc, ids in zip(part.column(0).to_pylist(), memory.texts(part.column(1).to_pylist()), strict=True):
+                for doc, ids in zip(part.column(0).to_pylist(), encode(part.column(1).to_pylist()), strict=True):
                     ids += end
                     n = len(ids) // 4
                     at = [0, *range(n % tokens or tokens, n + 1, tokens)]

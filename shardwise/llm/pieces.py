@@ -17,13 +17,16 @@ import numpy as np
 #: Entries a worker remembers before it forgets all: bounds its memory, never its results.
 REMEMBERED = 400_000
 
-_AWKWARD = re.compile(r" \s|\s |\A\s|\s\Z|\A\Z")
-_CUT = re.compile(r"(?<=\S) (?=\S)")
+# Both begin with the space itself, which is searched fast.
+_AWKWARD = re.compile(r" (?:\s|(?<=\s ))")
+_CUT = re.compile(r" (?<=\S )(?=\S)")
 
 
 def cut(text: str) -> list[str]:
     """Parts of the text; every part but the first follows one space."""
-    return _CUT.split(text) if _AWKWARD.search(text) else text.split(" ")
+    if not text or text[0].isspace() or text[-1].isspace() or _AWKWARD.search(text):
+        return _CUT.split(text)
+    return text.split(" ")
 
 
 def worker_store(name: str, make: Callable[[], object]) -> object:

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import random
 import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -15,7 +17,7 @@ from tokenizers import Tokenizer
 from shardwise.llm import chat, queries
 from shardwise.llm.bpe import Codec, encode_documents, read_ranks
 from shardwise.llm.cover_search import CoverTree, search, top_k
-from shardwise.llm.packing import best_fit_packing, encoder, plan, tokenized_pieces
+from shardwise.llm.packing import best_fit_packing, document_encoder, encoder, plan, tokenized_pieces
 from shardwise.llm.pieces import cut
 from shardwise.llm.quality import calibrate, fit_quality, score_quality
 from shardwise.llm.sharding import shard, splitters
@@ -71,6 +73,36 @@ def test_packing_encoder_equals_tokenizers():
     assert [np.frombuffer(i, "<u4").tolist() for i in encoder(queries.PACK_VOCABULARY, queries.PATTERN).texts(texts)] == [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
 
 
+ADDED = ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|> ", "x<|endoftext|>y", "  <|endoftext|>\n b", "<|endoftext| >", "<|endof<|endoftext|>text|>"]
+
+
+def test_packing_keeps_added_tokens(spark):
+    """Against the tokenizers library as it comes: it looks for added tokens unless told otherwise."""
+    t = Tokenizer.from_file(queries.PACK_VOCABULARY)
+    texts = ADDED + odd_texts(500)
+    want = [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
+    assert want[0] == [64, 220, 50256, 275]
+    assert [np.frombuffer(i, "<u4").tolist() for i in document_encoder(queries.PACK_VOCABULARY, queries.PATTERN)(texts)] == want
+    df = spark.createDataFrame(list(enumerate(ADDED)), "doc_id long, text string")
+    got = {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in tokenized_pieces(df, queries.PACK_VOCABULARY, queries.PATTERN).collect()}
+    assert got == {i: [*want[i], 0] for i in range(len(ADDED))}
+
+
+def test_packing_with_other_added_tokens(tmp_path):
+    """Several tokens, one the beginning of another, some with spaces; then one that takes in its surroundings."""
+    texts = [f"{a}{s}{b}{u}" for a in ("", "a ", "b\n") for s in ("<e>", "<e>f", "two words", " <w> ") for b in ("", " c", "  ") for u in ("<e>", "two  words")]
+    plain = [{"id": 50257 + i, "content": c, "special": i % 2 == 0} for i, c in enumerate(("<e>", "<e>f", "two words"))]
+    for name, added in (("plain", plain), ("wide", [*plain, {"id": 50260, "content": "<w>", "special": True, "lstrip": True, "rstrip": True}])):
+        file = json.loads(Path(queries.PACK_VOCABULARY).read_text(encoding="utf-8"))
+        every = {"single_word": False, "lstrip": False, "rstrip": False, "normalized": False}
+        file["added_tokens"] += [every | a for a in added]
+        path = tmp_path / f"{name}.json"
+        path.write_text(json.dumps(file), encoding="utf-8")
+        t = Tokenizer.from_file(str(path))
+        want = [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
+        assert [np.frombuffer(i, "<u4").tolist() for i in document_encoder(str(path), queries.PATTERN)(texts)] == want
+
+
 def test_plan_uses_every_piece_and_few_sequences():
     rng = np.random.default_rng(0)
     for n in (1, 40, 3000, 100_000):
