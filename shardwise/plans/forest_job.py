@@ -47,17 +47,15 @@ def run_forest(
     merge_test = central_head_test(stored.drop("split"), [key], 0, 0.2, cfg.seed) if cfg.legacy_test else test
     clients = settle(spark.range(cfg.clients).select(F.col("id").cast("int").alias("client_id"))).df
     rounds = list(range(1, cfg.rounds + 1))
-    plan = settle(sample_clients(clients, cfg.fit_fraction, cfg.min_clients, rounds, cfg.seed, cfg.min_available, "fit"))
-    fitting: dict[int, list[int]] = {}
-    for r in sorted(plan.records(), key=lambda r: (r["round"], r["client_id"])):
-        fitting.setdefault(r["round"], []).append(r["client_id"])
+    plan = settle(sample_clients(clients, cfg.fit_fraction, cfg.min_clients, rounds, cfg.seed, cfg.min_available, "fit")).df
     asked = settle(sample_clients(clients, cfg.evaluate_fraction, cfg.min_clients, rounds, cfg.seed, cfg.min_available, "evaluate")).df
     model = None if cfg.cold_start else settle(initial_forest(spark, len(features), cfg.trees, cfg.depth, cfg.seed)).df
     history, metrics = [], []
     for round_no in rounds:
         hook = cfg.on_round(round_no) if cfg.on_round else {}
         target = hook.get("trees", trees_in_round(round_no))
-        chosen = fitting.get(round_no, [])
+        # A round's participants at a time: the plan of all rounds may be too large for the driver.
+        chosen = sorted(r["client_id"] for r in plan.where(F.col("round") == round_no).select("client_id").collect())
         if chosen:
             grown = settle(grow_forests(model, train, chosen, target, cfg.depth, cfg.seed, round_no, cfg.parallel_fits), limit=1_000_000).df
             model = settle(merge_and_prune(grown, merge_test, cfg.trees)).df

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from shardwise.config import ForestConfig
 from shardwise.functions.hashing import hash_order, normal
 from shardwise.operators import evaluate, forest
+from shardwise.plans import forest_job
 from shardwise.plans.forest_job import run_forest
 from shardwise.sources.scratch import scratch_dir, settle
 from shardwise.sources.state import NODES_SCHEMA
@@ -126,3 +127,11 @@ def test_the_job_learns(spark, data, tmp_path, legacy):
     from shardwise.sources.state import read_forest
 
     assert read_forest(spark, f"{tmp_path}/forest").select("round").distinct().count() == 2
+
+
+def test_a_plan_too_large_for_the_driver_changes_nothing(data, monkeypatch):
+    frame = data.select("key", "label", *[F.col("x")[i].alias(n) for i, n in enumerate("abc")])
+    cfg = ForestConfig(rounds=2, clients=2, trees=3)
+    whole = {tuple(r) for r in run_forest(frame, ["a", "b", "c"], cfg, "key").client_metrics.collect()}
+    monkeypatch.setattr(forest_job, "settle", lambda df, limit=None: settle(df, 2 if set(df.columns) == {"round", "client_id"} else limit or 200_000))
+    assert {tuple(r) for r in run_forest(frame, ["a", "b", "c"], cfg, "key").client_metrics.collect()} == whole
