@@ -57,7 +57,8 @@ def local_sgd(
         F.lit(0.0).alias("loss_sum"), F.lit(None).cast("double").alias("best"), F.lit(0).alias("stale"), F.lit(False).alias("done"),
     )
     state = settle(begin, limit=CLIENT_ROWS)
-    width = len(state.rows.column("coef")[0]) if state.rows is not None and state.rows.num_rows else 0
+    first = state.df.select(F.size("coef")).first()
+    width = first[0] if first else 0
     chunk_rows = max(1, chunk_values // (width + 1))
     largest = state.largest("n_examples")
     step = _step_rule(made, schedule, round_no)
@@ -121,8 +122,11 @@ def _end_epoch(state: DataFrame, made: Learner) -> DataFrame:
 
 
 def _relay(rows: DataFrame, state: Settled, made: Learner, step: tuple[float, float], epochs: int, finish: bool = True) -> DataFrame:
-    """Run the given rows of each client through its learner, in order, `epochs` times."""
-    starts = {r["client_id"]: r for r in state.records()}
+    """Run the given rows of each client through its learner, in order, `epochs` times.
+
+    States of few clients go with the task; those of many are brought to their clients' rows.
+    """
+    starts = {r["client_id"]: r for r in state.records()} if state.small else None
     names = state.df.columns
     loss, fit_intercept, tol, patience = made.loss, made.fit_intercept, made.tol, PATIENCE
     alpha = made.alpha or 1e-4
@@ -147,7 +151,15 @@ def _relay(rows: DataFrame, state: Settled, made: Learner, step: tuple[float, fl
         return -sign / (1.0 + math.exp(min(z, 700.0)))
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        s = dict(starts[key[0].as_py()])
+        return fit(dict(starts[key[0].as_py()]), table)
+
+    def run_beside(key: tuple, table: pa.Table, own: pa.Table) -> pa.Table:
+        if not table.num_rows:
+            return target.empty_table()
+        (s,) = own.to_pylist()
+        return fit(s, table)
+
+    def fit(s: dict, table: pa.Table) -> pa.Table:
         if s["status"] == "ok" and not s["done"]:
             ordered = table.sort_by([(c, "ascending") for c in table.column_names if c.startswith("order_")])
             y = ordered.column("label").to_numpy().astype(float)
@@ -191,4 +203,6 @@ def _relay(rows: DataFrame, state: Settled, made: Learner, step: tuple[float, fl
         ("intercept", pa.float64()), ("c0", pa.float64()), ("c1", pa.float64()), ("t", pa.float64()), ("u", pa.float64()),
         ("q", pa.list_(pa.float64())), ("loss_sum", pa.float64()), ("best", pa.float64()), ("stale", pa.int32()), ("done", pa.bool_()),
     ])
+    if starts is None:
+        return rows.groupBy("client_id").cogroup(state.df.groupBy("client_id")).applyInArrow(run_beside, _STATE)
     return rows.groupBy("client_id").applyInArrow(run, _STATE)

@@ -102,14 +102,14 @@ def run_linear(
     try:
         plan = _participants(stats.df, cfg)
         fitting: dict[int, list[int]] = {}
-        for row in plan.records():
+        for row in plan.records() if plan.small else []:
             if row["purpose"] == "fit":
                 fitting.setdefault(row["round"], []).append(row["client_id"])
         model = settle(start if start is not None else initial_params(spark, len(features), cfg.seed, cfg.fit_intercept))
         history = []
         for round_no in range(1, cfg.rounds + 1):
             hook = cfg.on_round(round_no) if cfg.on_round else {}
-            chosen = fitting.get(round_no, [])
+            chosen = fitting.get(round_no, []) if plan.small else _fitting(plan.df, round_no)
             if chosen:
                 part = train.where(F.col("client_id").isin(chosen))
                 mine = stats.only("client_id", chosen)
@@ -141,6 +141,11 @@ def _participants(stats: DataFrame, cfg: LinearConfig) -> Settled:
     )
 
 
+def _fitting(plan: DataFrame, round_no: int) -> list[int]:
+    """The clients that train in one round of a plan too large for the driver."""
+    return [r["client_id"] for r in plan.where((F.col("round") == round_no) & (F.col("purpose") == "fit")).select("client_id").collect()]
+
+
 def _keys(stored: DataFrame, key: str) -> list[str]:
     """The columns that name a row: oversampled rows also carry a copy number."""
     return [c for c in (key, "copy") if c in stored.columns]

@@ -12,6 +12,7 @@ from shardwise.config import LinearConfig
 from shardwise.functions.hashing import hash_order, normal
 from shardwise.operators import aggregate, linear, sgd
 from shardwise.operators.linear import gradient_sums, initial_params, learner, local_fit, starting_state
+from shardwise.plans import linear_job
 from shardwise.plans.linear_job import run_linear
 from shardwise.sources.scratch import settle
 
@@ -140,10 +141,31 @@ def test_relayed_chunks_equal_one_task(spark, data, loss, penalty):
     _close(_weights(whole), _weights(chunked))
 
 
+@pytest.mark.parametrize("chunk_values", [sgd.CHUNK_VALUES, 150 * (WIDTH + 1)])
+def test_more_clients_than_the_driver_holds(spark, data, monkeypatch, chunk_values):
+    start, made = initial_params(spark, WIDTH, 1), learner("hinge", "l2", 1, tol=1e-4)
+    held = sgd.local_sgd(data, start, made, ["key"], 5, epochs=2, chunk_values=chunk_values)
+    monkeypatch.setattr(sgd, "CLIENT_ROWS", 1)
+    _close(_weights(held), _weights(sgd.local_sgd(data, start, made, ["key"], 5, epochs=2, chunk_values=chunk_values)))
+
+
 def _observations(data):
     return data.select("key", "label", *[F.col("x")[i].alias(f"f{i}") for i in range(WIDTH)])
 
 
+def test_the_sequential_job_with_more_clients_than_the_driver_holds(data, monkeypatch):
+    cfg = LinearConfig(clients=4, rounds=2, loss="hinge", learner="sequential", balance="none", scaler_scope="all", local_epochs=1)
+    features = [f"f{i}" for i in range(WIDTH)]
+    held = run_linear(_observations(data), features, cfg, "key").params.orderBy("round").collect()
+    monkeypatch.setattr(sgd, "CLIENT_ROWS", 1)
+    monkeypatch.setattr(linear_job, "CLIENT_ROWS", 1)
+    monkeypatch.setattr(linear_job, "settle", lambda df, limit=200_000: settle(df, 1 if "purpose" in df.columns else limit))
+    many = run_linear(_observations(data), features, cfg, "key").params.orderBy("round").collect()
+    assert len(many) == 2
+    for a, b in zip(held, many, strict=True):
+        assert a["coef"] == pytest.approx(b["coef"], abs=1e-9)
+
+
 @pytest.mark.parametrize("learning", ["batch", "sequential"])
 def test_the_job_learns(spark, data, tmp_path, learning):
     loss = "log_loss" if learning == "batch" else "hinge"
