@@ -70,8 +70,9 @@ def _turns(conversations: DataFrame, vocabulary_path: str, pattern: str) -> Data
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
     rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("row"))
-    whole = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("row")).alias("turns"))
-    return whole.mapInArrow(run, "conv_id long, depth int, node binary, parent binary, position long, length long, tokens binary, loss_start long, loss_end long, below long")
+    whole = rows.where("conv_id is not null").groupBy("conv_id").agg(F.sort_array(F.collect_list("row")).alias("turns"))
+    alone = rows.where("conv_id is null").select("conv_id", F.array("row").alias("turns"))
+    return whole.unionByName(alone).mapInArrow(run, "conv_id long, depth int, node binary, parent binary, position long, length long, tokens binary, loss_start long, loss_end long, below long")
 
 
 def _emit(key: tuple, table: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -108,14 +109,16 @@ def format_tree(conversations: DataFrame, vocabulary_path: str, pattern: str, st
     index: conv_id, depth, node. Nodes with more than `stream_turns` turns below them are streams of their own,
     so a first turn that a third of all conversations share splits into many streams.
 
-    Rows are ordered by turn, then role and text. Null role or text counts as empty; rows without conv_id are
-    one conversation. A conversation is one sequence and must fit a task. Equal conversations share a last node.
+    Rows are ordered by turn, then role and text. Null role or text counts as empty; each row without
+    conv_id is a conversation of its own. A conversation is one sequence and must fit a task. Equal conversations share a last node.
     """
     turns = written(_turns(conversations, vocabulary_path, pattern), "chat-turns")
     narrow = turns.select("conv_id", "depth", "node", "length", "below")
     split = narrow.groupBy("node").agg(F.sum("below").alias("turns")).where(F.col("turns") > stream_turns).select("node", F.lit(True).alias("split"))
     steps = narrow.join(split, "node", "left").select("conv_id", F.struct("depth", "node", "length", F.coalesce("split", F.lit(False)).alias("split")).alias("step"))
-    paths = steps.groupBy("conv_id").agg(F.sort_array(F.collect_list("step")).alias("path"))
+    # A turn without conversation is a path by itself; equal ones are one path, put together before the exchange.
+    single = F.when(F.col("conv_id").isNull(), F.col("step.node")).alias("single")
+    paths = steps.groupBy("conv_id", single).agg(F.sort_array(F.collect_set("step")).alias("path"))
     paths = paths.withColumn("cut", F.size(F.filter("path", lambda s: s["split"])))
     placed = paths.select("path", "cut", F.posexplode("path").alias("depth", "step"))
     inner = F.get(F.col("path"), F.col("cut"))["node"]

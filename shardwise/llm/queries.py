@@ -54,7 +54,8 @@ def op6_chat_prefix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rows.unionByName(spark.createDataFrame([(-1, 0, "user", extra), (-1, 1, "assistant", extra)], "conv_id long, turn long, role string, text string"))
     segments, index = chat.format_tree(rows, PACK_VOCABULARY, PATTERN)
     turns = chat.read_back(segments, index, PACK_VOCABULARY)
-    whole = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("depth", "role", "text", "loss_text", "chars"))).alias("turns"))
+    turns = turns.withColumn("single", F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id()))  # conversations of one row
+    whole = turns.groupBy("conv_id", "single").agg(F.sort_array(F.collect_list(F.struct("depth", "role", "text", "loss_text", "chars"))).alias("turns"))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     loss = F.array_join(F.transform("turns", lambda t: F.coalesce(t["loss_text"], F.lit(""))), "")
     return whole.select(

@@ -282,6 +282,24 @@ def test_chat(spark, stream_turns):
             position += n.end - n.start
 
 
+def test_rows_without_conversation_stand_alone(spark):
+    """Each is a first turn; equal ones share a node, and none waits for the others."""
+    rows = [(None, t, "user" if t % 2 else "assistant", f"text {t % 5}") for t in range(50)] + [(7, 0, "assistant", "text 0"), (7, 1, "user", "text 1")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    segments, index = chat.format_tree(df, queries.PACK_VOCABULARY, queries.PATTERN, stream_turns=3)
+    assert index.where("conv_id is null").count() == 50 and index.where("conv_id is null and depth > 0").count() == 0
+    assert segments.count() == 11 and segments.where("position > 0").count() == 1
+    read = chat.read_back(segments, index, queries.PACK_VOCABULARY).where("conv_id is null").collect()
+    assert sorted((r.role, r.text) for r in read) == sorted(r[2:] for r in rows[:50])
+
+
+def test_the_query_gives_a_row_for_each_turn_without_conversation(spark, tmp_path):
+    rows = [(None, 0, "user", "same")] * 3 + [(1, 0, "user", "same"), (1, 1, "assistant", "x")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    out = queries.op6_chat_prefix_tree(spark, str(tmp_path)).collect()
+    assert sorted((r.conv_id or 0, r.n_turns) for r in out) == [(-1, 2), (0, 1), (0, 1), (0, 1), (1, 2)]
+
+
 def test_chat_without_rows(spark):
     segments, index = chat.format_tree(spark.createDataFrame([], "conv_id long, turn long, role string, text string"), queries.PACK_VOCABULARY, queries.PATTERN)
     assert segments.count() == 0 and index.count() == 0
