@@ -4,15 +4,14 @@ from __future__ import annotations
 
 import pytest
 from compare import database, difference
-from conftest import SF_DIR
 
 from shardwise.catalog.oracles import SQL
 from shardwise.catalog.queries import QUERIES
 
 
 @pytest.fixture(scope="module")
-def con():
-    return database(SF_DIR)
+def con(sf_dir):
+    return database(sf_dir)
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) & set(SQL)))
