@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shardwise.llm import bpe, chat, cover_search, exact_dedup, jaccard_join, line_dedup, packing, quality, sharding, suffix_dedup
+from shardwise.llm import bpe, chat, conversation_trie, cover_search, exact_dedup, hard_negatives, jaccard_join, line_dedup, packing, quality, sharding, substring_dedup, suffix_dedup
 from shardwise.llm.store import utf8
 
 PACK_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -88,6 +88,23 @@ def op10_rank_queue_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.substring_dedup(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(utf8("kept"), 256).alias("kept_sha256"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fiftieth vector as anchor; every seventh label is moved on by one, so that labels and vectors disagree."""
+    vectors = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.pmod("vec_id", F.lit(7)) == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    out = hard_negatives.hard_negatives(vectors.withColumn("label", moved), F.pmod("vec_id", F.lit(50)) == 0)
+    return out.select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -101,6 +118,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_ngram_jaccard_join,
         op9_histogram_sharding,
         op10_rank_queue_bpe,
+        op11_conversation_trie,
+        op12_substring_dedup,
+        op13_hard_negatives,
     )
 }
 
@@ -130,4 +150,68 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE
 WITH t AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
 SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept, text_sha256
 FROM t WINDOW w AS (PARTITION BY text_sha256)""",
+    "op11_conversation_trie": """
+WITH t AS (
+    SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+        row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), text) - 1 AS pos
+    FROM conversations WHERE conv_id IS NOT NULL),
+sizes AS (
+    SELECT conv_id, count(*) AS n,
+        xor(4294967295, list_reduce(list_concat([4294967295], flatten(list_transform(string_split(CAST(conv_id AS VARCHAR), ''),
+            lambda c: [CAST(ascii(c) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+            lambda crc, x: CASE WHEN x >= 0 THEN xor(crc, x) ELSE xor(crc >> 1, 3988292384 * (crc & 1)) END)) % 6 AS h
+    FROM t GROUP BY conv_id),
+info AS (
+    SELECT s.conv_id, s.h, s.conv_id - s.conv_id % 100 AS base, least(s.h, coalesce(b.n, 0)) AS g
+    FROM sizes s LEFT JOIN sizes b ON b.conv_id = s.conv_id - s.conv_id % 100),
+r AS (
+    SELECT i.conv_id, g + pos - h + 1 AS d, role, text FROM t JOIN info i ON t.conv_id = i.conv_id WHERE pos >= h
+    UNION ALL SELECT i.conv_id, pos + 1, role, text FROM info i JOIN t ON t.conv_id = i.base WHERE pos < h
+    UNION ALL SELECT conv_id, 0, '', '' FROM info),
+named AS (
+    SELECT conv_id, d, length(text) AS chars, max(d) OVER (PARTITION BY conv_id) AS len,
+        md5(string_agg(md5(role || chr(10) || text), '') OVER (PARTITION BY conv_id ORDER BY d)) AS node FROM r),
+p AS (SELECT *, lag(node) OVER (PARTITION BY conv_id ORDER BY d) AS parent FROM named),
+nodes AS (
+    SELECT node, any_value(parent) AS parent, min(conv_id) AS conv_id, any_value(d) AS depth, count(*) AS n_convs, any_value(chars) AS chars,
+        sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (d = len), '')) AS ends_sha256
+    FROM p GROUP BY node),
+below AS (SELECT parent AS node, count(*) AS n_children FROM nodes GROUP BY parent),
+own AS (
+    SELECT n.node, n.conv_id, (n_convs - 1) * chars AS saved, CASE WHEN b.n_children IS NULL THEN 1 ELSE 0 END AS leaf
+    FROM nodes n LEFT JOIN below b ON n.node = b.node),
+sums AS (
+    SELECT p.node, sum(coalesce(saved, 0)) OVER w AS saved, sum(coalesce(leaf, 0)) OVER w AS leaves
+    FROM p LEFT JOIN own ON p.node = own.node AND p.conv_id = own.conv_id WINDOW w AS (PARTITION BY p.conv_id ORDER BY d DESC)),
+totals AS (SELECT node, CAST(sum(saved) AS BIGINT) AS saved_tokens, CAST(sum(leaves) AS BIGINT) AS n_leaves FROM sums GROUP BY node)
+SELECT n.conv_id, CAST(n.depth AS BIGINT) AS depth, u.conv_id AS parent_conv_id, n.n_convs, coalesce(b.n_children, 0) AS n_children, n_leaves, saved_tokens, n.ends_sha256
+FROM nodes n JOIN totals t ON n.node = t.node LEFT JOIN below b ON n.node = b.node LEFT JOIN nodes u ON n.parent = u.node""",
+    "op12_substring_dedup": r"""
+WITH d AS (
+    SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+words AS (SELECT doc_id, len(w) AS n, unnest(w) AS word, unnest(range(len(w))) AS i FROM d),
+windows AS (
+    SELECT *, CASE WHEN i + 20 <= n THEN md5(string_agg(word, ' ') OVER (
+        PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING)) END AS k FROM words),
+late AS (SELECT *, k IS NOT NULL AND row_number() OVER (PARTITION BY k ORDER BY doc_id, i) > 1 AS again FROM windows),
+cover AS (SELECT *, bool_or(again) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS gone FROM late)
+SELECT d.doc_id, CAST(any_value(len(d.w)) AS BIGINT) AS n_words, count(*) FILTER (gone) AS n_removed,
+    sha256(coalesce(string_agg(word, ' ' ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM d LEFT JOIN cover ON d.doc_id = cover.doc_id GROUP BY d.doc_id""",
+    "op13_hard_negatives": """
+WITH v AS (
+    SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+        list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS x
+    FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+    SELECT a.vec_id AS anchor_id, a.label = c.label AS same, c.vec_id, CAST(list_sum(list_transform(list_zip(a.x, c.x), lambda p: p[1] * p[2])) AS BIGINT) AS score
+    FROM v a JOIN v c ON a.vec_id <> c.vec_id WHERE a.vec_id % 50 = 0),
+positives AS (
+    SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS place FROM scored WHERE same) WHERE place <= 5),
+ranked AS (
+    SELECT p.anchor_id, p.vec_id AS positive_id, n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score,
+        row_number() OVER (PARTITION BY p.anchor_id, p.vec_id ORDER BY n.score DESC, n.vec_id) AS rank
+    FROM positives p JOIN scored n ON p.anchor_id = n.anchor_id AND NOT n.same AND 50 * p.score <= 100 * n.score AND 100 * n.score <= 95 * p.score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM ranked WHERE rank <= 3""",
 }
