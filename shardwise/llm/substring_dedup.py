@@ -5,6 +5,8 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +25,9 @@ HOT = 2_000
 #: Fragments that are extended at a time.
 TOGETHER = 40_000
 _SPLIT_BYTES = 1 << 22
+#: An odd multiplier and its inverse modulo 2**64.
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
 
@@ -36,6 +41,14 @@ def _words(data: bytes) -> Iterator[list[bytes]]:
         at = end
 
 
+class _Ids(dict):
+    """Words to 64-bit ids, remembered as they come."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = number = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+        return number
+
+
 class Windows:
     """The words of a block's documents and its runs: neighbouring windows that have one anchor, at one place.
 
@@ -45,9 +58,9 @@ class Windows:
 
     def __init__(self, payload: bytes, length: int, seed: int):
         self.block, self.length, self.seed = Block.load(payload), length, seed
-        known: dict[bytes, int] = worker_store("substring-words", dict)
+        known: _Ids = worker_store("substring-words", _Ids)
         self.words: list[bytes] = []
-        ids, counts = [], []
+        counts, ids = [], []
         raw = self.block.data.tobytes()
         for a, b in zip(self.block.starts.tolist(), self.block.ends.tolist(), strict=True):
             before = len(self.words)
@@ -56,14 +69,13 @@ class Windows:
             counts.append(len(self.words) - before)
         for at in range(0, len(self.words), REMEMBERED):
             part = self.words[at : at + REMEMBERED]
-            for w in set(part) - known.keys():
-                known[w] = int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little")
             ids.append(np.fromiter(map(known.__getitem__, part), np.uint64, len(part)))
             if len(known) > REMEMBERED:
                 known.clear()
         self.counts = np.array(counts, np.int64)
         self.first = np.cumsum(self.counts) - self.counts
-        self._runs(np.concatenate(ids) if ids else np.empty(0, np.uint64))
+        self.ids = np.concatenate(ids) if ids else np.empty(0, np.uint64)
+        self._runs(self.ids)
 
     def _runs(self, ids: np.ndarray) -> None:
         doc = np.repeat(np.arange(len(self.counts), dtype=np.int32), self.counts)
@@ -95,50 +107,72 @@ class Windows:
         self.begin, self.many = begin[ok], many[ok]
         self.place, self.anchor, self.doc = at[self.begin].astype(np.int64), h[self.begin].view(np.int64), doc[self.begin].astype(np.int64)
 
-    def order(self, run: int) -> tuple[bool, int, int]:
-        """What says which of two occurrences is earlier: no id, id, place of the anchor in the document."""
-        d = int(self.doc[run])
-        return bool(self.block.null[d]), int(self.block.ids[d]), int(self.place[run] - self.first[d])
+    def fragments(self, shared: np.ndarray, hot: np.ndarray) -> Fragments:
+        """What this block asks about: of each run whose anchor is shared, all that its windows cover.
 
-    def fragments(self, shared: np.ndarray, hot: np.ndarray) -> tuple[list[tuple], list[list[tuple[int, int, int]]]]:
-        """Distinct fragments (key, hot, order, left, text), and for each the (run, first window, windows) that have it.
-
-        A fragment is all a run's windows cover. Of an anchor in `hot` each window is a fragment of its own, keyed by all its words.
+        Of an anchor in `hot` each window is a fragment of its own, whose key names all its words.
         """
-        made: dict[tuple, int] = {}
-        rows: list[tuple] = []
-        users: list[list[tuple[int, int, int]]] = []
         is_hot = np.isin(self.anchor, hot)
-        for run in np.flatnonzero(is_hot | np.isin(self.anchor, shared)).tolist():
-            begin, many, anchor = int(self.begin[run]), int(self.many[run]), int(self.anchor[run])
-            order, left = self.order(run), int(self.place[run]) - begin
-            parts = [(i, 1) for i in range(many)] if is_hot[run] else [(0, many)]
-            for i, n in parts:
-                text = b" ".join(self.words[begin + i : begin + i + n + self.length - 1])
-                slot = made.setdefault((anchor, left - i, text), len(rows))
-                if slot == len(rows):
-                    key = int.from_bytes(hashlib.blake2b(text, digest_size=8).digest(), "little", signed=True) if is_hot[run] else anchor
-                    rows.append((key, bool(is_hot[run]), order, left - i, text))
-                    users.append([])
-                elif order < rows[slot][2]:
-                    rows[slot] = (*rows[slot][:2], order, *rows[slot][3:])
-                users[slot].append((run, i, n))
-        return rows, users
-
-    def covered(self, rows: list[tuple], users: list[list[tuple[int, int, int]]], earlier: dict[int, int]) -> np.ndarray:
-        """Words under a window that starts earlier elsewhere; `earlier` has the bits of such windows by fragment."""
-        marks = np.zeros(len(self.words) + 1, np.int32)
-        for slot, row in enumerate(rows):
-            bits = earlier.get(slot, 0)
-            for run, i, n in users[slot]:
-                own = bits if self.order(run) == row[2] else (1 << n) - 1
-                at = int(self.begin[run]) + i
-                while own:
-                    low = (own & -own).bit_length() - 1
-                    stretch = (~(own >> low) & ((own >> low) + 1)).bit_length() - 1
-                    marks[at + low] += 1
-                    marks[at + low + stretch + self.length - 1] -= 1
-                    own &= ~(((1 << stretch) - 1) << low)
+        run = np.flatnonzero(is_hot | np.isin(self.anchor, shared))
+        pieces = np.where(is_hot[run], self.many[run], 1)
+        run = np.repeat(run, pieces)
+        step = np.arange(len(run)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        begin, many = self.begin[run] + step, np.where(is_hot[run], 1, self.many[run])
+        end = begin + many + self.length - 1
+        with np.errstate(over="ignore"):
+            powers = np.cumprod(np.append(np.uint64(1), np.full(len(self.ids), _BASE)))
+            back = np.cumprod(np.append(np.uint64(1), np.full(len(self.ids), _INVERSE)))
+            total = np.append(np.uint64(0), np.cumsum(self.ids * powers[:-1]))
+            left = self.place[run] - begin
+            name = mix((total[end] - total[begin]) * back[begin] + mix((left * 1_000 + many).astype(np.uint64)))
+        name = mix(name ^ self.anchor[run].view(np.uint64)).view(np.int64)
+        doc = self.doc[run]
+        rank = _ranks(self.block.null[doc], self.block.ids[doc], self.place[run] - self.first[doc])
+        slots, slot = np.unique(name, return_inverse=True)
+        order = np.lexsort((rank, slot))
+        head = order[np.append(True, slot[order][1:] != slot[order][:-1])] if len(order) else order
+        return Fragments(self, begin, end, many, left, doc, self.place[run], rank, slot, head, is_hot[run], np.where(is_hot[run], name, self.anchor[run]))
+
+
+@dataclass
+class Fragments:
+    """Occurrences of fragments in a block; `slot` numbers the distinct ones and `head` is the earliest occurrence of each."""
+
+    windows: Windows
+    begin: np.ndarray
+    end: np.ndarray
+    many: np.ndarray
+    left: np.ndarray
+    doc: np.ndarray
+    place: np.ndarray
+    rank: np.ndarray
+    slot: np.ndarray
+    head: np.ndarray
+    hot: np.ndarray
+    key: np.ndarray
+
+    def rows(self, number: int, step: int = 10_000) -> Iterator[pa.RecordBatch]:
+        """Each distinct fragment once, with the place of its earliest occurrence."""
+        w = self.windows
+        for at in range(0, len(self.head), step):
+            h = self.head[at : at + step]
+            doc = self.doc[h]
+            texts = [b" ".join(w.words[a:b]) for a, b in zip(self.begin[h].tolist(), self.end[h].tolist(), strict=True)]
+            columns = [(self.key[h], pa.int64()), (self.hot[h], pa.bool_()), (np.full(len(h), number), pa.int64()), (np.arange(at, at + len(h), dtype=np.int32), pa.int32()), (w.block.null[doc], pa.bool_())]
+            columns += [(w.block.ids[doc], pa.int64()), (self.place[h] - w.first[doc], pa.int64()), (self.left[h].astype(np.int32), pa.int32()), (texts, pa.binary())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in columns], ["key", "hot", "block", "slot", "none", "doc", "pos", "left", "text"])
+
+    def covered(self, slots: np.ndarray, bits: np.ndarray) -> np.ndarray:
+        """Words under a window that starts earlier: elsewhere, as the bits by slot say, or at the fragment's head."""
+        earlier = np.zeros(len(self.head), np.int64)
+        earlier[slots] = bits
+        every = (np.int64(1) << self.many) - 1
+        own = np.where(self.rank == self.rank[self.head][self.slot], earlier[self.slot], every) if len(self.slot) else every
+        marks = np.zeros(len(self.windows.words) + 1, np.int32)
+        for i in range(int(self.many.max()) if len(self.many) else 0):
+            at = self.begin[(own >> i) & 1 == 1] + i
+            np.add.at(marks, at, 1)
+            np.add.at(marks, at + self.windows.length, -1)
         return np.cumsum(marks[:-1]) > 0
 
 
@@ -300,13 +334,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         for batch in batches:
             for i in range(batch.num_rows):
                 number, payload = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
-                rows, _ = Windows(payload, length, seed).fragments(*(np.array(batch.column(c)[i].as_py(), np.int64) for c in (2, 3)))
-                for at in range(0, len(rows), 10_000):
-                    part = rows[at : at + 10_000]
-                    key, is_hot, order, left, text = zip(*part, strict=True)
-                    none, doc, pos = zip(*order, strict=True)
-                    kinds = [(key, pa.int64()), (is_hot, pa.bool_()), ([number] * len(part), pa.int64()), (range(at, at + len(part)), pa.int32()), (none, pa.bool_()), (doc, pa.int64()), (pos, pa.int64()), (left, pa.int32()), (text, pa.binary())]
-                    yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in kinds], ["key", "hot", "block", "slot", "none", "doc", "pos", "left", "text"])
+                yield from Windows(payload, length, seed).fragments(*(batch.column(c)[i].values.to_numpy() for c in (2, 3))).rows(number)
 
     sent = told.mapInArrow(send, "key long, hot boolean, block long, slot int, none boolean, doc long, pos long, left int, text binary")
     grouped = sent.repartition("key").sortWithinPartitions("key", "hot", "none", "doc", "pos")
@@ -317,18 +345,21 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                payload, shared, often, slots, bits = (batch.column(c)[i].as_py() for c in range(5))
-                w = Windows(payload, length, seed)
-                rows, users = w.fragments(np.array(shared or [], np.int64), np.array(often or [], np.int64))
-                gone = w.covered(rows, users, dict(zip(slots or [], bits or [], strict=True)))
+                w = Windows(batch.column(0)[i].as_py(), length, seed)
+                shared, often, slots, bits = (np.array([] if (v := batch.column(c)[i].values) is None else v.to_numpy(), np.int64) for c in range(1, 5))
+                gone = w.fragments(shared, often).covered(slots, bits)
                 removed, spans, kept = [], [], []
+                total = np.append(0, np.cumsum(gone))
                 for a, n in zip(w.first.tolist(), w.counts.tolist(), strict=True):
+                    removed.append(int(total[a + n] - total[a]))
+                    if not removed[-1]:
+                        spans.append([])
+                        kept.append(b" ".join(w.words[a : a + n]).decode())
+                        continue
                     own = gone[a : a + n]
-                    removed.append(int(own.sum()))
                     edges = np.flatnonzero(np.diff(np.concatenate([[0], own.astype(np.int8), [0]]))).tolist()
                     spans.append([{"start": s, "end": e} for s, e in zip(edges[::2], edges[1::2], strict=True)])
-                    words = w.words[a : a + n] if not removed[-1] else [x for x, g in zip(w.words[a : a + n], own.tolist(), strict=True) if not g]
-                    kept.append(b" ".join(words).decode())
+                    kept.append(b" ".join(compress(w.words[a : a + n], (~own).tolist())).decode())
                 block = w.block
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(block.ids, pa.int64(), mask=block.null), pa.array(w.counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.string())],
