@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from shardwise.catalog.inputs import CLIENTS, FEATURES, TREES
 from shardwise.config import LOG_METRICS, METRICS
+from shardwise.operators.forest_fit import BINS, LEAST_GAIN, SAMPLE_ROWS, poisson_bounds
 
 SQL: dict[str, str] = {}
 
@@ -468,6 +469,129 @@ SQL["forest_scorecard"] = with_(
 ) + f"SELECT {rounded(LOG_METRICS)} FROM m"
 
 
+# --- forest training: every level of every tree as joins and groupings -------------------------
+
+
+def fitted(source: str, trees: tuple[int, int], round_no: int, depth: int, some: int, p: str) -> tuple[tuple[str, str], ...]:
+    """New trees (first and last id) for each client of `source`, as table {p}."""
+    u = f"((CAST('0x' || substr({digest('bins', 'event_id')}, 1, 8) AS BIGINT) + 1) / 4294967296.0::DOUBLE)"
+    value = f"CAST('0x' || substr({digest('bag', str(round_no), 'tree // 8', 'event_id')}, 1 + 4 * (tree % 8), 4) AS BIGINT)"
+    weight = " + ".join(f"(v >= {b})::INT" for b in poisson_bounds())
+    ranks = f"list_transform(range(1, {BINS}), lambda j: (j * m + {BINS - 1}) // {BINS})"
+    tables = [
+        (f"{p}_long", "\nUNION ALL ".join(f"SELECT client_id, event_id, {i} AS f, {c} AS v FROM {source}" for i, c in enumerate(FEATURES))),
+        (f"{p}_some", f"""SELECT client_id, event_id FROM (SELECT client_id, event_id, count(*) OVER (PARTITION BY client_id) AS n FROM {source})
+  WHERE {u} * n <= {SAMPLE_ROWS}"""),
+        (f"{p}_cut", f"""SELECT client_id, f, v, row_number() OVER (PARTITION BY client_id, f ORDER BY v) - 1 AS bin FROM (SELECT DISTINCT client_id, f, v FROM (
+  SELECT client_id, f, v, row_number() OVER (PARTITION BY client_id, f ORDER BY v) AS r, count(*) OVER (PARTITION BY client_id, f) AS m
+  FROM {p}_long JOIN {p}_some USING (client_id, event_id)) WHERE list_contains({ranks}, r))"""),
+        (f"{p}_binned", f"""SELECT l.client_id, l.event_id, l.f, count(c.v) AS bin FROM {p}_long l
+  LEFT JOIN {p}_cut c ON l.client_id = c.client_id AND l.f = c.f AND c.v < l.v GROUP BY ALL"""),
+        (f"{p}_at0", f"""SELECT * FROM (SELECT client_id, event_id, label, tree, {weight} AS w, 0 AS node FROM (
+  SELECT client_id, event_id, label, tree, {value} AS v FROM {source}, (SELECT unnest(range({trees[0]}, {trees[1] + 1})) AS tree))) WHERE w > 0"""),
+    ]
+    n, left = "(t0 + t1)", "(l0 + l1)"
+
+    def impurity(zero: str, one: str) -> str:
+        total = f"({zero} + {one})"
+        return f"(1.0::DOUBLE - ({zero} / {total}) * ({zero} / {total}) - ({one} / {total}) * ({one} / {total}))"
+
+    gain = f"{impurity('t0', 't1')} - {left} / {n} * {impurity('l0', 'l1')} - ({n} - {left}) / {n} * {impurity('(t0 - l0)', '(t1 - l1)')}"
+    for d in range(depth):
+        tables += [
+            (f"{p}_seen{d}", f"""SELECT client_id, tree, node, f FROM (SELECT client_id, tree, node, f, row_number() OVER (PARTITION BY client_id, tree, node
+  ORDER BY {digest('features', str(round_no), 'client_id', 'tree', 'node', 'f')}) AS place
+  FROM (SELECT DISTINCT client_id, tree, node FROM {p}_at{d}), (SELECT unnest(range({len(FEATURES)})) AS f)) WHERE place <= {some}"""),
+            (f"{p}_cell{d}", f"""SELECT client_id, tree, node, f, bin, coalesce(sum(w) FILTER (WHERE label = 0), 0)::DOUBLE AS n0,
+  coalesce(sum(w) FILTER (WHERE label = 1), 0)::DOUBLE AS n1
+  FROM {p}_at{d} JOIN {p}_binned USING (client_id, event_id) JOIN {p}_seen{d} USING (client_id, tree, node, f) GROUP BY ALL"""),
+            (f"{p}_run{d}", f"""SELECT client_id, tree, node, f, bin, sum(n0) OVER w AS l0, sum(n1) OVER w AS l1,
+  sum(n0) OVER v AS t0, sum(n1) OVER v AS t1 FROM {p}_cell{d}
+  WINDOW v AS (PARTITION BY client_id, tree, node, f), w AS (PARTITION BY client_id, tree, node, f ORDER BY bin)"""),
+            (f"{p}_best{d}", f"""SELECT * FROM (SELECT client_id, tree, node, f, bin, gain, row_number() OVER (PARTITION BY client_id, tree, node
+  ORDER BY gain DESC, f, bin) AS place FROM (SELECT *, {gain} AS gain FROM {p}_run{d} WHERE {left} > 0 AND {left} < {n}) WHERE gain > {LEAST_GAIN}) WHERE place = 1"""),
+            (f"{p}_at{d + 1}", f"""SELECT client_id, a.event_id, label, tree, w, 2 * node + 1 + (b.bin > s.bin)::INT AS node
+  FROM {p}_at{d} a JOIN {p}_best{d} s USING (client_id, tree, node) JOIN {p}_binned b USING (client_id, event_id, f)"""),
+        ]
+    every = "\nUNION ALL ".join(f"SELECT client_id, tree, node, label, w FROM {p}_at{d}" for d in range(depth + 1))
+    splits = "\nUNION ALL ".join(f"SELECT client_id, tree, node, f, bin, gain FROM {p}_best{d}" for d in range(depth))
+    return (*tables, (f"{p}_sum", f"""SELECT client_id, tree, node, coalesce(sum(w) FILTER (WHERE label = 0), 0)::BIGINT AS c0,
+  coalesce(sum(w) FILTER (WHERE label = 1), 0)::BIGINT AS c1 FROM ({every}) GROUP BY ALL"""), (p, f"""SELECT client_id, CAST(tree AS INTEGER) AS tree_id, CAST(node AS INTEGER) AS node_id,
+  CAST(coalesce(f, -1) AS INTEGER) AS feature, v AS threshold, CAST(CASE WHEN f IS NULL THEN -1 ELSE 2 * node + 1 END AS INTEGER) AS lft,
+  CAST(CASE WHEN f IS NULL THEN -1 ELSE 2 * node + 2 END AS INTEGER) AS rgt, c0, c1, coalesce(gain, -1) AS gain, c0 + c1 AS n
+  FROM {p}_sum LEFT JOIN ({splits}) USING (client_id, tree, node) LEFT JOIN {p}_cut USING (client_id, f, bin)"""))
+
+
+NODE_COLUMNS = f"""client_id, tree_id, node_id, feature, {r6('threshold')} AS threshold, lft AS "left", rgt AS "right", c0, c1, {r6('gain', 9)} AS gain, n"""
+SQL["tree_fit"] = with_(OBS, part(), *fitted("part", (0, 2), 1, 3, 2, "fit")) + f"SELECT {NODE_COLUMNS} FROM fit"
+SQL["grow_forest"] = with_(*FOREST, *fitted("part", (2, 3), 2, 3, 1, "fit"), ("grown", """SELECT client_id, tree_id, node_id, feature, threshold, lft, rgt, c0, c1, c0 + c1 AS n FROM nodes
+  UNION ALL SELECT client_id, tree_id, node_id, feature, threshold, lft, rgt, c0, c1, n FROM fit""")) + f"""SELECT client_id,
+  tree_id, node_id, feature, {r6('threshold')} AS threshold, lft AS "left", rgt AS "right", c0, c1, n FROM grown"""
+
+
+def walked(rows: str, used: str, p: str) -> tuple[tuple[str, str], ...]:
+    """Every row of `rows` down every tree of `used`: {p} has the share of class 1 in its leaf."""
+    value = "CASE m.feature WHEN 0 THEN w.value WHEN 1 THEN w.hour ELSE w.dow END"
+    return (
+        (f"{p}_walk", f"""SELECT event_id, client_id, label, tree_id, 0 AS node_id, value, hour, dow FROM {rows} CROSS JOIN (SELECT DISTINCT tree_id FROM {used})
+  UNION ALL
+  SELECT w.event_id, w.client_id, w.label, w.tree_id, CASE WHEN {value} <= m.threshold THEN m.lft ELSE m.rgt END, w.value, w.hour, w.dow
+  FROM {p}_walk w JOIN {used} m ON w.tree_id = m.tree_id AND w.node_id = m.node_id WHERE m.lft >= 0"""),
+        (p, f"""SELECT w.event_id, w.client_id, w.label, w.tree_id, CASE WHEN m.n > 0 THEN m.c1::DOUBLE / m.n ELSE 0 END AS share
+  FROM {p}_walk w JOIN {used} m ON w.tree_id = m.tree_id AND w.node_id = m.node_id WHERE m.lft < 0"""),
+    )
+
+
+def forest_rounds(rounds: int, clients: int, kept: int, targets: list[int], start: str | None = None) -> tuple[tuple[tuple[str, str], ...], str]:
+    """The forest job round by round: tables, and the query of its metrics. `start` is a table of trees that all clients begin with."""
+    tables: list[tuple[str, str]] = [
+        ("dealt", f"""SELECT *, row_number() OVER (PARTITION BY client_id ORDER BY {digest('partition', 'event_id')}, event_id)
+  <= floor(0.8::DOUBLE * count(*) OVER (PARTITION BY client_id)) AS trains FROM part"""),
+        ("train", "SELECT * FROM dealt WHERE trains"),
+        ("test", "SELECT * FROM dealt WHERE NOT trains"),
+    ]
+    columns, model, have, out = "tree_id, node_id, feature, threshold, lft, rgt, c0, c1, n", start, kept if start else 0, []
+    for r in range(1, rounds + 1):
+        trees = []
+        if model:
+            trees.append(f"SELECT chosen AS client_id, {columns} FROM {model}, (SELECT DISTINCT client_id AS chosen FROM train)")
+        if targets[r - 1] > have:
+            tables += fitted("train", (have, targets[r - 1] - 1), r, 3, 1, f"fit{r}")
+            trees.append(f"SELECT client_id, {columns} FROM fit{r}")
+        numbered = columns.replace("tree_id", "dense_rank() OVER (ORDER BY client_id, tree_id) - 1 AS tree_id")
+        union = "\nUNION ALL ".join(trees)
+        tables += [(f"all{r}", f"SELECT {numbered} FROM ({union})"), *walked("test", f"all{r}", f"leaf{r}")]
+        tables += [
+            (f"score{r}", f"SELECT tree_id, count(*) FILTER (WHERE (share > 0.5)::INT = label)::DOUBLE / count(*) AS score FROM leaf{r} GROUP BY tree_id"),
+            (f"id{r}", f"""SELECT tree_id AS old_id, row_number() OVER (ORDER BY score, tree_id) - 1 AS new_id FROM (
+  SELECT *, row_number() OVER (ORDER BY score DESC, tree_id DESC) AS place FROM score{r}) WHERE place <= {kept}"""),
+            (f"model{r}", f"SELECT {columns.replace('tree_id', 'new_id AS tree_id')} FROM all{r} JOIN id{r} ON tree_id = old_id"),
+            (f"proba{r}", f"SELECT event_id, client_id, label, avg(share) AS proba FROM leaf{r} JOIN id{r} ON tree_id = old_id GROUP BY ALL"),
+            (f"judged{r}", f"SELECT *, CASE WHEN proba > 0.5 THEN 1 ELSE 0 END AS pred FROM proba{r}"),
+            *metric_tables(f"judged{r}", "client_id", log_loss_of(), f"m{r}"),
+        ]
+        means = ", ".join(f"{r6(f'sum(n_examples * {m}) / sum(n_examples)')} AS {m}" for m in ("loss", "accuracy"))
+        out.append(f"SELECT {r} AS round, {means} FROM m{r}")
+        model, have = f"model{r}", kept
+    return tuple(tables), "\nUNION ALL ".join(out)
+
+
+FOREST_JOB, FOREST_METRICS = forest_rounds(5, 10, 10, [10, 15, 15, 20, 20])
+SQL["federated_forest"] = with_(OBS, part(10), *FOREST_JOB) + FOREST_METRICS
+U = "((CAST('0x' || substr({}, {}, 8) AS BIGINT) + 1) / 4294967296.0::DOUBLE)"
+
+
+def noise(i: int) -> str:
+    h = digest("noise", str(i), "event_id")
+    return f"sqrt(-2 * ln({U.format(h, 1)})) * cos(2 * pi() * {U.format(h, 9)})"
+
+
+NOISE = ("noise", f"""SELECT 0 AS client_id, event_id, ({U.format(digest('noise label', 'event_id'), 1)} <= 0.5)::INT AS label,
+  {', '.join(f'{noise(i)} AS {c}' for i, c in enumerate(FEATURES))} FROM (SELECT unnest(range(100)) AS event_id)""")
+WARM_JOB, WARM_METRICS = forest_rounds(2, 4, 6, [10, 15], "start")
+SQL["federated_forest_warm"] = with_(OBS, part(4), NOISE, *fitted("noise", (0, 5), 0, 3, 1, "start"), *WARM_JOB) + WARM_METRICS
+
+
 # --- reports --------------------------------------------------------------------------------
 
 LOG = (OBS, ("scored", SCORED_ALL[1].replace("SELECT *", "SELECT *, CAST(hour AS INTEGER) + 1 AS round")), *metric_tables("scored", "round", log_loss_of()))

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from dataclasses import replace
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shardwise.catalog.inputs import (
@@ -22,6 +22,7 @@ from shardwise.functions.hashing import hash_order
 from shardwise.functions.linear import decision, predicted_class, probability, stepped_weight
 from shardwise.functions.schedules import epochs_for, eta0, trees_for
 from shardwise.operators import aggregate, evaluate, forest as trees, profile, report, sampling, scaling
+from shardwise.operators.forest_fit import fit_trees, plan_table
 from shardwise.operators.linear import Learner, initial_params, learner, local_fit
 from shardwise.operators.sgd import local_sgd
 from shardwise.plans.forest_job import run_forest
@@ -394,12 +395,23 @@ def tree_schedule(spark, sf_dir):
     return _rounds_of_events(spark, sf_dir).withColumn("trees", trees_for(F.col("round")))
 
 
+def _nodes(forest_: DataFrame, *more: Column) -> DataFrame:
+    counts = [F.col("counts")[k].cast("long").alias(f"c{k}") for k in (0, 1)]
+    return forest_.select("client_id", "tree_id", "node_id", "feature", F.round("threshold", 6).alias("threshold"), "left", "right", *counts, *more, "n")
+
+
+@query
+def tree_fit(spark, sf_dir):
+    """Three trees for each client, two features to choose from at each node."""
+    rows = prepared(observed(spark, sf_dir), scratch_dir(spark, "fit"), clients=CLIENTS)
+    return _nodes(fit_trees(rows, plan_table(spark, range(CLIENTS), 0, 3), 3, SEED, 1, KEY, some=2), F.round("gain", 9).alias("gain"))
+
+
 @query
 def grow_forest(spark, sf_dir):
     """Every client's two threshold trees grown to four on its own rows."""
     stored = prepared(observed(spark, sf_dir), scratch_dir(spark, "grow"), clients=CLIENTS)
-    grown = trees.grow_forests(forest(spark, sf_dir), stored, range(CLIENTS), 4, 3, SEED, 2)
-    return grown.groupBy("client_id", "tree_id").agg(F.max("n").alias("root_rows"), F.count_if(F.col("left") < 0).alias("leaves"))
+    return _nodes(trees.grow_forests(forest(spark, sf_dir), stored, range(CLIENTS), 4, 3, SEED, 2, KEY))
 
 
 # --- aggregation ----------------------------------------------------------------------------
@@ -695,7 +707,12 @@ def prepared_clients(spark, sf_dir):
 
 @query
 def federated_forest(spark, sf_dir):
-    """Federated forest, two rounds: metrics per round."""
-    cfg = ForestConfig(rounds=2, clients=4, seed=SEED)
-    run = run_forest(events(spark, sf_dir), FEATURES, cfg, KEY)
-    return _rounded(run.round_metrics, "loss", "accuracy")
+    """The forest job as configured: ten clients, five rounds, metrics per round."""
+    return _rounded(run_forest(events(spark, sf_dir), FEATURES, ForestConfig(seed=SEED), KEY).round_metrics, "loss", "accuracy")
+
+
+@query
+def federated_forest_warm(spark, sf_dir):
+    """Two rounds whose clients start from a forest of noise."""
+    cfg = ForestConfig(rounds=2, clients=4, trees=6, cold_start=False, seed=SEED)
+    return _rounded(run_forest(events(spark, sf_dir), FEATURES, cfg, KEY).round_metrics, "loss", "accuracy")

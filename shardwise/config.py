@@ -67,6 +67,5 @@ class ForestConfig:
     cold_start: bool = True
     legacy_test: bool = False
     seed: int = 42
-    parallel_fits: int = 4
     on_incomplete: str = "fail"
     on_round: Callable[[int], dict] | None = field(default=None, compare=False)

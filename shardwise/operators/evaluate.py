@@ -5,17 +5,25 @@ Every evaluation is one pass: rows are scored, and only counts and loss sums per
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shardwise.config import LOG_METRICS, METRICS
 from shardwise.operators.forest import forest_proba
-from shardwise.functions.linear import decision, predicted_class, probability
-from shardwise.functions.metrics import confusion_counts, hinge_row, log_loss_row, metric_columns
+from shardwise.functions.linear import UNROLL, decision, predicted_class, probability
+from shardwise.functions.metrics import CLIP, confusion_counts, hinge_row, log_loss_row, metric_columns
 from shardwise.sources.scratch import Settled, settle
 
-# Rounds evaluated together.
+# Models read to the driver at once when they are few, and bytes of weights that travel with one pass.
 MODEL_ROWS = 10_000
+MODEL_BYTES = 16 << 20
+# (round, group) sums a task holds before it passes them on.
+GROUPS = 500_000
 
 
 def score(df: DataFrame, loss: str, width: int | None = None) -> DataFrame:
@@ -77,29 +85,104 @@ def metrics(scored: DataFrame, by: list[str], loss: str = "log_loss", average: s
     return metrics_from(tally(scored, by, loss, signed), by, average)
 
 
-def score_rounds(test: DataFrame, params: DataFrame | Settled, loss: str) -> DataFrame:
-    """Score every test row with the global model of every round in `params`.
+def _model_slices(params: Settled) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
+    """Rounds, weights (features x rounds) and intercepts of some global models at a time, MODEL_BYTES of them at most."""
+    rows = params.records() if params.small else (r.asDict() for r in params.df.select("round", "coef", "intercept").orderBy("round").toLocalIterator())
+    held: list[dict] = []
+
+    def made() -> tuple[list[int], np.ndarray, np.ndarray]:
+        return [r["round"] for r in held], np.array([r["coef"] for r in held]).T, np.array([r["intercept"] or 0.0 for r in held])
+
+    for r in rows:
+        if held and (len(held) + 1) * (len(r["coef"]) + 1) * 8 > MODEL_BYTES:
+            yield made()
+            held = []
+        held.append(r)
+    if held:
+        yield made()
+
+
+def round_tallies(test: DataFrame, params: DataFrame | Settled, loss: str, by: str | None = "client_id") -> DataFrame:
+    """Tallies of every global model in `params` on the test rows, per round and `by`.
 
-    Each row is repeated per round inside the scan and meets its model in a join on the round, so
-    the test rows are read once however many rounds are evaluated. The models are broadcast once
-    their number is known to be small.
+    A task multiplies each batch of rows with the matrix of all rounds' weights and adds up counts and losses per (round,
+    `by`); only those are shuffled. No row is repeated per round, and the rows are read once for each MODEL_BYTES of weights.
     """
     if not isinstance(params, Settled):
         params = settle(params.where(F.col("client_id").isNull()), limit=MODEL_ROWS)
-    known = params.df.select("round", F.size("coef").alias("width")).distinct().collect() if params.rows is None else [
-        {"round": r["round"], "width": len(r["coef"])} for r in params.records()
-    ]
-    if not known:
+    groups = ["round", by] if by else ["round"]
+    columns = [by] if by else []
+    kind = test.schema[by].dataType.simpleString() if by else ""
+    rows = test.select(F.col("label").cast("int").alias("label"), F.col("x").cast("array<double>").alias("x"), *columns)
+    parts = [rows.mapInArrow(_tallies(*models, loss, by), f"round int, {f'{by} {kind}, ' if by else ''}tn long, fp long, fn long, tp long, loss_sum double, loss_rows long") for models in _model_slices(params)]
+    if not parts:
         raise ValueError("no global model to evaluate")
-    models = Settled(params.df.select("round", "coef", "intercept"), params.rows)
-    rounds = F.array(*[F.lit(r["round"]) for r in known])
-    rows = test.withColumn("round", F.explode(rounds)).join(models.side(), "round")
-    return score(rows, loss, known[0]["width"])
+    return merge_tallies(reduce(DataFrame.unionByName, parts), groups)
+
+
+def _tallies(rounds: list[int], weights: np.ndarray, intercepts: np.ndarray, loss: str, by: str | None):
+    clip, groups_held, unrolled = CLIP, GROUPS, UNROLL
+
+    def decisions(x):
+        if x.shape[1] > unrolled:
+            return x @ weights + intercepts
+        total = np.broadcast_to(intercepts, (len(x), len(rounds)))
+        for i in range(x.shape[1]):  # term by term, as a single score is written
+            total = total + x[:, i : i + 1] * weights[i]
+        return total
+
+    def costs(y, f):
+        if loss == "hinge":
+            return np.maximum(0.0, 1.0 - y * f)
+        p = (np.clip(f, -1.0, 1.0) + 1.0) / 2.0 if loss == "modified_huber" else 1.0 / (1.0 + np.exp(-f))
+        p = np.clip(p, clip, 1.0 - clip)
+        return -np.log(np.where(y == 1, p, 1.0 - p))
+
+    def run(batches):
+        held: dict = {}
+
+        def passed_on():
+            for group, sums in held.items():
+                own = [pa.array([group] * len(rounds), kind)] if by else []
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(rounds, pa.int32()), *own, *[pa.array(sums[k].astype(np.int64)) for k in range(4)], pa.array(sums[4]), pa.array(sums[5].astype(np.int64))],
+                    ["round", *([by] if by else []), "tn", "fp", "fn", "tp", "loss_sum", "loss_rows"],
+                )
+            held.clear()
+
+        kind = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            y = batch.column(0).to_numpy()[:, None]
+            with np.errstate(over="ignore", invalid="ignore", divide="ignore"):
+                f = decisions(batch.column(1).flatten().to_numpy().reshape(len(y), -1))
+                cost = costs(y, f)
+            positive = (f > 0) | np.isnan(f)
+            usable = ~np.isnan(cost) if loss != "hinge" else np.ones(cost.shape, bool)
+            cells = [(y == 0) & ~positive, (y == 0) & positive, (y == 1) & ~positive, (y == 1) & positive, np.where(usable, cost, 0.0), usable]
+            if by:
+                kind = batch.column(2).type
+                names = batch.column(2).dictionary_encode()
+                code = names.indices.to_numpy()
+                order = np.argsort(code, kind="stable")
+                starts = np.flatnonzero(np.append(True, np.diff(code[order]) != 0))
+                groups = [names.dictionary[int(c)].as_py() for c in code[order][starts]]
+                sums = [np.add.reduceat(c[order].astype(np.float64), starts, axis=0) for c in cells]
+            else:
+                groups, sums = [None], [c.sum(axis=0, dtype=np.float64)[None] for c in cells]
+            for g, group in enumerate(groups):
+                held[group] = held.get(group, 0.0) + np.stack([c[g] for c in sums])
+            if len(held) * len(rounds) > groups_held:
+                yield from passed_on()
+        yield from passed_on()
+
+    return run
 
 
 def client_tallies(test: DataFrame, params: DataFrame | Settled, loss: str) -> DataFrame:
     """Tallies per (round, client) of the global models on the clients' test rows."""
-    return tally(score_rounds(test, params, loss), ["round", "client_id"], loss)
+    return round_tallies(test, params, loss)
 
 
 def evaluate_clients(test: DataFrame, params: DataFrame, loss: str) -> DataFrame:
@@ -109,7 +192,7 @@ def evaluate_clients(test: DataFrame, params: DataFrame, loss: str) -> DataFrame
 
 def evaluate_central(test: DataFrame, params: DataFrame, loss: str) -> DataFrame:
     """Metrics of the global model on one central test set, names prefixed `central_`."""
-    return central_names(metrics(score_rounds(test, params, loss), ["round"], loss))
+    return central_names(metrics_from(round_tallies(test, params, loss, None), ["round"]))
 
 
 def central_names(table: DataFrame) -> DataFrame:

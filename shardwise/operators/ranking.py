@@ -8,14 +8,18 @@ Applying a cutoff is then a filter, so wide rows are never shuffled and a group
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from shardwise.functions.hashing import hash_order
-from shardwise.sources.scratch import DRIVER_ROWS, Settled, local_table, settle
+from shardwise.sources.scratch import DRIVER_ROWS, Settled, local_table, scratch_dir, settle
 
 # Hex digits per counting pass. Two passes leave 1/65536 of a group to sort exactly.
 DIGITS = (2, 4)
@@ -155,3 +159,51 @@ def distributed_rank(df: DataFrame, by: list[str], key: list[str], seed: int, pu
         .withColumn(name, F.col("rank_inside") + F.col("offset"))
         .drop("rank_prefix", "rank_inside", "offset")
     )
+
+
+def numbered(df: DataFrame, by: list[str], order: list[tuple[str, str]], name: str, limit: int = DRIVER_ROWS) -> Settled:
+    """Add the 0-based place (long) of each row within its `by` group, in the given order of (column, "ascending" or "descending").
+
+    A small table is numbered where it is. Beyond `limit` rows, ranges of the order are numbered by the task that holds them
+    and shifted by the rows of the ranges before: no task sees a whole group, and only a count per range reaches the driver.
+    Columns ordered downwards must not hold nulls; upwards, nulls come first.
+    """
+    held = settle(df, limit)
+    keys = [*[(c, "ascending") for c in by], *order]
+    if held.rows is not None:
+        rows = held.rows.take(pc.sort_indices(held.rows, sort_keys=keys, null_placement="at_start"))
+        places, last, at = [], None, 0
+        for key in zip(*(rows.column(c).to_pylist() for c in by), strict=True) if by else [()] * rows.num_rows:
+            at = at + 1 if key == last else 0
+            last = key
+            places.append(at)
+        return local_table(df.sparkSession, rows.append_column(name, pa.array(places, pa.int64())))
+    spark, columns = df.sparkSession, df.columns
+    sort = [F.col(c).asc() if way == "ascending" else F.col(c).desc() for c, way in keys]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, last, at = TaskContext.get().partitionId(), None, 0
+        for batch in batches:
+            places = []
+            for key in zip(*(batch.column(columns.index(c)).to_pylist() for c in by), strict=True) if by else [()] * batch.num_rows:
+                at = at + 1 if key == last else 0
+                last = key
+                places.append(at)
+            arrays = [*batch.columns, pa.array([part] * len(places), pa.int32()), pa.array(places, pa.int64())]
+            yield pa.RecordBatch.from_arrays(arrays, [*columns, "numbered_part", name])
+
+    schema = StructType(list(held.df.schema.fields)).add("numbered_part", "integer").add(name, "long")
+    path = scratch_dir(spark, "numbered")
+    held.df.repartitionByRange(*sort).sortWithinPartitions(*sort).mapInArrow(count, schema).write.parquet(path)
+    rows = spark.read.schema(schema).parquet(path)
+    sizes = rows.groupBy(*by, "numbered_part").agg(F.count("*").alias("n")).collect()  # ranges + groups rows at most
+    shifts, before = [], {}
+    for r in sorted(sizes, key=lambda r: r["numbered_part"]):
+        key = tuple(r[c] for c in by)
+        shifts.append((*key, r["numbered_part"], before.get(key, 0)))
+        before[key] = before.get(key, 0) + r["n"]
+    kinds = [rows.schema[c] for c in [*by, "numbered_part"]]
+    shift = spark.createDataFrame(shifts, StructType(kinds).add("shift", "long"))
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in [*by, "numbered_part"]]
+    joined = rows.alias("a").join(F.broadcast(shift).alias("b"), reduce(Column.__and__, same))
+    return Settled(joined.select(*[F.col(f"a.{c}") for c in columns], (F.col(f"a.{name}") + F.col("b.shift")).alias(name)), None)

@@ -57,7 +57,7 @@ def run_forest(
         # A round's participants at a time: the plan of all rounds may be too large for the driver.
         chosen = sorted(r["client_id"] for r in plan.where(F.col("round") == round_no).select("client_id").collect())
         if chosen:
-            grown = settle(grow_forests(model, train, chosen, target, cfg.depth, cfg.seed, round_no, cfg.parallel_fits), limit=1_000_000).df
+            grown = settle(grow_forests(model, train, chosen, target, cfg.depth, cfg.seed, round_no, key), limit=1_000_000).df
             model = settle(merge_and_prune(grown, merge_test, cfg.trees)).df
         if model is None:
             continue

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import random
+
+import numpy as np
 import pytest
 from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from shardwise.config import ForestConfig
 from shardwise.functions.hashing import hash_order, normal
-from shardwise.operators import evaluate, forest
+from shardwise.operators import evaluate, forest, forest_fit, ranking
 from shardwise.plans import forest_job
 from shardwise.plans.forest_job import run_forest
 from shardwise.sources.scratch import scratch_dir, settle
@@ -22,9 +26,13 @@ def data(spark):
     return rows.withColumn("x", x).withColumn("label", ((F.col("x")[0] > 0.2) & (F.col("x")[1] < 0.7)).cast("int")).persist()
 
 
+def labelled_vectors(df):
+    return df.select(F.col("label").cast("double").alias("label"), array_to_vector("x").alias("features"))
+
+
 @pytest.fixture(scope="module")
 def model(data):
-    return RandomForestClassifier(numTrees=12, maxDepth=3, seed=1, featureSubsetStrategy="sqrt").fit(forest._labelled_vectors(data))
+    return RandomForestClassifier(numTrees=12, maxDepth=3, seed=1, featureSubsetStrategy="sqrt").fit(labelled_vectors(data))
 
 
 @pytest.fixture(scope="module")
@@ -34,7 +42,7 @@ def nodes(spark, model):
 
 def test_nodes_predict_like_the_model(spark, data, model, nodes):
     probability = F.udf(lambda v: float(v[1]), "double")
-    theirs = {r["i"]: r["p"] for r in model.transform(forest._labelled_vectors(data)).select(F.hash("features").alias("i"), probability("probability").alias("p")).collect()}
+    theirs = {r["i"]: r["p"] for r in model.transform(labelled_vectors(data)).select(F.hash("features").alias("i"), probability("probability").alias("p")).collect()}
     walked = forest.forest_proba(data, nodes)
     written = data.withColumn("proba", forest.nodes_to_expr(nodes))
     a, b = (sorted(r["proba"] for r in df.collect()) for df in (walked, written))
@@ -135,3 +143,119 @@ def test_a_plan_too_large_for_the_driver_changes_nothing(data, monkeypatch):
     whole = {tuple(r) for r in run_forest(frame, ["a", "b", "c"], cfg, "key").client_metrics.collect()}
     monkeypatch.setattr(forest_job, "settle", lambda df, limit=None: settle(df, 2 if set(df.columns) == {"round", "client_id"} else limit or 200_000))
     assert {tuple(r) for r in run_forest(frame, ["a", "b", "c"], cfg, "key").client_metrics.collect()} == whole
+
+
+def test_trees_do_not_depend_on_partitions_chunks_or_task_size(spark, data, monkeypatch):
+    plan = spark.createDataFrame([(0, 3, 4), (1, 17, 2), (5, 0, 1)], "client_id int, first int, trees int")
+    whole = {tuple(r) for r in forest_fit.fit_trees(data.repartition(1), plan, 3, 7, 2).select(*NODES_SCHEMA.names).drop("counts").collect()}
+    apart = {tuple(r) for r in forest_fit.fit_trees(data.repartition(16), plan, 3, 7, 2, chunk_bytes=1).drop("counts").collect()}
+    monkeypatch.setattr(forest_fit, "CELLS", 1)
+    small = {tuple(r) for r in forest_fit.fit_trees(data, plan, 3, 7, 2).drop("counts").collect()}
+    assert whole == apart == small
+    trees = {(r[1], r[2]) for r in whole}
+    assert trees == {(0, 3), (0, 4), (0, 5), (0, 6), (1, 17), (1, 18), (5, 0)}
+    assert [r[3:] for r in whole if r[1] == 5] == [(0, -1, None, -1, -1, -1.0, 0)]  # no rows: a leaf without counts
+
+
+def test_growing_two_forests_costs_as_many_jobs_as_growing_twenty(spark, data):
+    jobs = {}
+    for clients in (2, 20):
+        rows = data.withColumn("client_id", (F.col("key") % clients).cast("int")).persist()
+        rows.count()
+        spark.sparkContext.setJobGroup(f"fit-{clients}", "fit")
+        forest.fit_forests(rows, range(clients), 3, 3, 1, 1)
+        jobs[clients] = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"fit-{clients}"))
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs[2] == jobs[20]
+
+
+def test_fitted_trees_learn_and_count_their_rows(data):
+    fitted = settle(forest.fit_forests(data, [0, 1], 8, 4, 42, 1)).df
+    own = forest.forest_proba(data.where("client_id = 0"), fitted.where("client_id = 0"))
+    assert own.agg(F.avg((F.col("pred") == F.col("label")).cast("int"))).first()[0] > 0.9
+    parents = {(r["client_id"], r["tree_id"], r["node_id"]): r for r in fitted.collect()}
+    for (c, t, _), r in parents.items():
+        if r["left"] >= 0:
+            below = [parents[(c, t, r[side])] for side in ("left", "right")]
+            assert [sum(b["counts"][k] for b in below) for k in (0, 1)] == r["counts"] and r["n"] == sum(r["counts"])
+            assert min(b["n"] for b in below) > 0 and r["gain"] > 0
+
+
+def _random_trees(spark, trees, depth, features, seed=3):
+    """Uneven trees with thresholds on a grid, so that values meet thresholds exactly."""
+    rng, rows = random.Random(seed), []
+    for t in range(trees):
+        stack = [(0, 0)]
+        while stack:
+            node, d = stack.pop()
+            leaf = d == depth or rng.random() < 0.1
+            rows.append((1, None, t, node, -1 if leaf else rng.randrange(features), None if leaf else float(rng.randint(-3, 3)), -1 if leaf else 2 * node + 1, -1 if leaf else 2 * node + 2, [float(rng.randint(0, 5)), float(rng.randint(0, 5))], -1.0, 1))
+            if not leaf:
+                stack += [(2 * node + 2, d + 1), (2 * node + 1, d + 1)]
+    return rows
+
+
+def _walk(rows, x):
+    by = {}
+    for r in rows:
+        by.setdefault(r[2], {})[r[3]] = r
+    out = np.zeros((len(x), len(by)))
+    for t, tree in by.items():
+        for i, v in enumerate(x):
+            r = tree[0]
+            while r[6] >= 0:
+                r = tree[r[6] if v[r[4]] <= r[5] else r[7]]
+            out[i, t] = r[8][1] / sum(r[8]) if sum(r[8]) else 0.0
+    return out
+
+
+@pytest.mark.parametrize(("trees", "depth", "features", "budget"), [(40, 3, 4, None), (25, 8, 2, None), (60, 5, 9, 40_000), (7, 0, 2, None)])
+def test_leaf_masks_equal_walking(spark, trees, depth, features, budget):
+    rows = _random_trees(spark, trees, depth, features)
+    nodes = spark.createDataFrame(rows, NODES_SCHEMA).collect()
+    x = np.random.default_rng(0).integers(-4, 5, (90, features)).astype(float)
+    x[5, 0] = np.nan
+    ids, score = forest._masked(nodes, budget)
+    found, largest = np.full((len(x), trees), -1.0), 0
+    for at, first, share in score(x):
+        found[at : at + len(share), first : first + share.shape[1]] = share
+        largest = max(largest, share.nbytes)
+    assert ids == list(range(trees)) and (found == _walk(rows, x)).all()
+    assert largest <= (budget or forest.MASK_BYTES)
+
+
+def test_five_thousand_trees_stay_under_the_budget(spark):
+    rows = _random_trees(spark, 5000, 3, 20)
+    nodes = [dict(zip(NODES_SCHEMA.names, r, strict=True)) for r in rows]
+    budget = 8 << 20
+    ids, score = forest._masked(nodes, budget)
+    x = np.random.default_rng(1).integers(-4, 5, (300, 20)).astype(float)
+    seen, total = 0, np.zeros(len(x))
+    for at, _, share in score(x):
+        assert share.nbytes <= budget
+        seen += share.size
+        total[at : at + len(share)] += share.sum(axis=1)
+    tables = [c.cell_contents for c in score.__closure__ if isinstance(c.cell_contents, list) and len(c.cell_contents) == 2][0]
+    assert sum(allowed.nbytes for _, _, parts in tables[1] for *_, allowed in parts) <= budget
+    assert len(ids) == 5000 and seen == 300 * 5000
+    assert total[:3] == pytest.approx(_walk(rows, x[:3]).sum(axis=1))
+
+
+def test_numbering_is_the_same_where_no_task_sees_a_group(spark):
+    rng = random.Random(1)
+    rows = [(k % 3, rng.choice([None, 1, 2, 3]), rng.randint(0, 4), k) for k in range(400)]
+    df = spark.createDataFrame(rows, "r int, c int, s int, t int").repartition(7)
+    for by, order in ((["r"], [("c", "ascending"), ("t", "ascending")]), ([], [("s", "descending"), ("t", "descending")])):
+        small, large = ranking.numbered(df, by, order, "place"), ranking.numbered(df, by, order, "place", limit=10)
+        assert small.small and not large.small
+        assert sorted(map(tuple, small.df.collect()), key=repr) == sorted(map(tuple, large.df.select(*df.columns, "place").collect()), key=repr)
+        assert "Window" not in large.df._jdf.queryExecution().toString()
+
+
+def test_pruning_without_a_local_table_keeps_the_same_trees(spark, data, nodes, monkeypatch):
+    merged = settle(forest.merge_forests(nodes)).df
+    scores = settle(forest.tree_scores(merged, data)).df
+    one = {tuple(r) for r in forest.prune_forest(merged, scores, 5).drop("counts").collect()}
+    monkeypatch.setattr(forest, "numbered", lambda *a, **k: ranking.numbered(*a, **k, limit=2))
+    assert {tuple(r) for r in forest.prune_forest(merged, scores, 5).drop("counts").collect()} == one
+    assert {tuple(r) for r in forest.merge_forests(nodes).drop("counts").collect()} == {tuple(r) for r in merged.drop("counts").collect()}

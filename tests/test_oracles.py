@@ -21,8 +21,7 @@ def test_query_equals_sql(spark, sf_dir, con, name):
 
 def test_every_check_has_a_query():
     assert not set(SQL) - set(QUERIES)
-    # MLlib draws its own bootstrap samples, so trained trees have no SQL form; see test_forest.
-    assert set(QUERIES) - set(SQL) == {"grow_forest", "federated_forest"}
+    assert set(QUERIES) == set(SQL)
 
 
 def test_entry(spark):
