@@ -6,72 +6,97 @@ import pickle
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
-from shardwise.llm.store import written
+from shardwise.llm.store import release, written
 
 PART_POINTS = 8192
 BLOCK_QUERIES = 1024
-#: Leaves of query trees are small: a group searches as wide as its farthest members.
-FAN_OUT, DATA_LEAF, QUERY_LEAF = 8, 32, 8
+#: Points that are compared as a whole. A group of queries searches as wide as its farthest members, so theirs are smaller.
+DATA_LEAF, QUERY_LEAF = 64, 8
 #: Points on the driver that place data in parts and give queries a first bound.
 PIVOTS, SEEDS = 64, 512
-LARGEST = 2**27
+#: Doubles add up whole numbers exactly below this.
+EXACT = 2.0**52
 
 
 def integers(vectors: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
     """(vec_id, x, dim) with x = floor(scale * component), for vectors of finite components only."""
     v = F.col(vector_col).cast("array<double>")
     sound = F.col(id_col).isNotNull() & v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    cell = lambda x: F.floor(F.greatest(F.least(x * float(scale), F.lit(float(LARGEST))), F.lit(float(-LARGEST)))).cast("int")
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.when(sound, F.transform(v, cell)).alias("x")).where("x is not null")
+    rows = vectors.where(sound).select(F.col(id_col).cast("long").alias("vec_id"), F.transform(v, lambda x: F.floor(x * float(scale))).alias("x"))
     return rows.withColumn("dim", F.size("x"))
 
 
+def largest_score(rows: DataFrame) -> tuple[float, float]:
+    """What no score of these vectors exceeds, and no component; floor() has cut what a long cannot hold, which shows in both."""
+    norm = F.aggregate("x", F.lit(0.0), lambda s, c: s + c.cast("double") * c.cast("double"))
+    found = rows.agg(F.max(norm).alias("norm"), F.max(F.array_max(F.transform("x", lambda c: F.abs(c.cast("double"))))).alias("peak")).first()
+    return found["norm"] or 0.0, found["peak"] or 0.0
+
+
 class CoverTree:
-    """Nodes over points: a centre that is a point, a radius that covers all below, children whose centres are
-    farther from each other than any radius below them (farthest-first), the first child's centre being its parent's."""
+    """Nested nets over points. Level i has centres more than R / 2^i apart, from all parts of the tree, and every point
+    within R / 2^i of one; a centre stays one on all lower levels, and its parent is the nearest centre a level up.
+
+    The nets are the beginnings of one farthest-first traversal, which ends once there are two centres for `leaf` points. A node
+    keeps the covering radius of the points below it, which are one range of the order; with `leaf` points or fewer it is searched whole.
+    """
 
     def __init__(self, ids: np.ndarray, points: np.ndarray, leaf: int = DATA_LEAF):
-        order, self.nodes = [], []
         x = points.astype(np.float64)
-        stack = [(np.arange(len(ids)), 0, -1)]
+        near = np.sqrt(((x - x[0]) ** 2).sum(axis=1))
+        centres, reach, own = [0], [float(near.max())], np.zeros(len(x), np.int64)
+        while len(centres) * leaf < 2 * len(x) and near[k := int(near.argmax())] > 0:
+            far = np.sqrt(((x - x[k]) ** 2).sum(axis=1))
+            reach.append(float(near[k]))
+            closer = far < near
+            own[closer], near = len(centres), np.where(closer, far, near)
+            centres.append(k)
+        at = x[centres]
+        with np.errstate(divide="ignore"):
+            level = np.where(np.arange(len(centres)) == 0, 0, np.floor(np.log2(max(reach[0], 1e-300) / np.array(reach))).astype(np.int64) + 1)
+        below: dict[int, dict[int, list[int]]] = {}
+        for k in range(1, len(centres)):
+            above = np.flatnonzero(level < level[k])
+            parent = int(above[((at[above] - at[k]) ** 2).sum(axis=1).argmin()])
+            below.setdefault(parent, {}).setdefault(int(level[k]), []).append(k)
+        members = np.split(np.argsort(own, kind="stable"), np.cumsum(np.bincount(own, minlength=len(centres)))[:-1])
+        order: list[int] = []
+        nodes: list[list] = []  # centre, begin, end, children
+
+        def open_node(k: int, depth: int) -> tuple[int, list[tuple[int, int]]]:
+            nodes.append([k, len(order), 0, []])
+            further = [d for d in below.get(k, {}) if d > depth]
+            if not further:
+                order.extend(members[k].tolist())
+                nodes[-1][2] = len(order)
+                return len(nodes) - 1, []
+            d = min(further)
+            return len(nodes) - 1, [(k, d), *[(c, d) for c in below[k][d]]]
+
+        stack = [(*open_node(0, -1), 0)]
         while stack:
-            own, centre, parent = stack.pop()
-            far = np.sqrt(((x[own] - x[centre]) ** 2).sum(axis=1))
-            radius = float(far.max()) * (1 + 1e-12)
-            me = len(self.nodes)
-            self.nodes.append([centre, radius, len(order), len(own), []])
-            if parent >= 0:
-                self.nodes[parent][4].append(me)
-            if len(own) <= leaf or radius == 0:
-                order.extend(own.tolist())
-                continue
-            centres, nearest, which = [centre], far, np.zeros(len(own), np.int64)
-            while len(centres) < FAN_OUT:
-                k = int(nearest.argmax())
-                if nearest[k] == 0:
-                    break
-                to_new = np.sqrt(((x[own] - x[own[k]]) ** 2).sum(axis=1))
-                closer = to_new < nearest
-                which[closer] = len(centres)
-                nearest = np.where(closer, to_new, nearest)
-                centres.append(int(own[k]))
-            # Depth first, so that every node's points are one range of the order.
-            for c in range(len(centres) - 1, -1, -1):
-                stack.append((own[which == c], centres[c], me))
-        self.ids, self.points = ids[order], points[order]
-        self.centres = x[[n[0] for n in self.nodes]]
+            me, inner, done = stack.pop()
+            if done < len(inner):
+                stack.append((me, inner, done + 1))
+                child, below_it = open_node(*inner[done])
+                nodes[me][3].append(child)
+                stack.append((child, below_it, 0))
+            else:
+                nodes[me][2] = len(order)
+        self.ids, self.points, self.leaf = ids[order], points[order], leaf
+        self.centres = at[[n[0] for n in nodes]]
         self.norms = np.sqrt((self.centres**2).sum(axis=1))
-        self.radii = np.array([n[1] for n in self.nodes])
-        self.begins = [n[2] for n in self.nodes]
-        self.sizes = [n[3] for n in self.nodes]
-        self.children = [n[4] for n in self.nodes]
-        del self.nodes
+        self.begins = [n[1] for n in nodes]
+        self.sizes = [n[2] - n[1] for n in nodes]
+        self.children = [n[3] for n in nodes]
+        y = x[order]
+        self.radii = np.array([np.sqrt(((y[n[1] : n[2]] - at[n[0]]) ** 2).sum(axis=1).max()) * (1 + 1e-12) for n in nodes])
 
     def save(self) -> bytes:
         return pickle.dumps(self.__dict__, protocol=5)
@@ -102,14 +127,15 @@ class Best:
                 self.kth[q] = max(self.kth[q], s[order[-1]])
 
 
-def search(queries: CoverTree, data: CoverTree, k: int, floor: np.ndarray) -> tuple[Best, int]:
+def search(queries: CoverTree, data: CoverTree, k: int, floor: np.ndarray, exact: bool = False) -> tuple[Best, int]:
     """Dual-tree search; also the number of point pairs compared.
 
     A pair of nodes is left out when no point of one can reach, with any query of the other, the worst kth
     score of that group: <q, c> + rq |c| + rc |q| + rq rc bounds every inner product between them.
     """
     best, compared = Best(queries.ids, k, floor), 0
-    q_points, c_points = queries.points.astype(np.int64), data.points.astype(np.int64)
+    kind = np.float64 if exact else np.int64  # whole numbers either way
+    q_points, c_points = queries.points.astype(kind), data.points.astype(kind)
 
     def bounds(q: int, nodes: list[int]) -> np.ndarray:
         dots = data.centres[nodes] @ queries.centres[q]
@@ -122,10 +148,11 @@ def search(queries: CoverTree, data: CoverTree, k: int, floor: np.ndarray) -> tu
         q_at, q_end = queries.begins[q], queries.begins[q] + queries.sizes[q]
         if top < best.kth[q_at:q_end].min():
             continue
-        q_inner, c_inner = queries.children[q], data.children[c]
+        q_inner = queries.children[q] if queries.sizes[q] > queries.leaf else []
+        c_inner = data.children[c] if data.sizes[c] > data.leaf else []
         if not q_inner and not c_inner:
             c_at, c_end = data.begins[c], data.begins[c] + data.sizes[c]
-            best.offer(q_at, q_points[q_at:q_end] @ c_points[c_at:c_end].T, data.ids[c_at:c_end])
+            best.offer(q_at, (q_points[q_at:q_end] @ c_points[c_at:c_end].T).astype(np.int64), data.ids[c_at:c_end])
             compared += (q_end - q_at) * (c_end - c_at)
         elif c_inner and (not q_inner or data.radii[c] >= queries.radii[q]):
             tops = bounds(q, c_inner)
@@ -137,7 +164,7 @@ def search(queries: CoverTree, data: CoverTree, k: int, floor: np.ndarray) -> tu
 
 def _matrix(column: pa.Array) -> np.ndarray:
     flat = column.flatten().to_numpy(zero_copy_only=False)
-    return flat.reshape(len(column), -1).astype(np.int32)
+    return flat.reshape(len(column), -1)
 
 
 def _trees(rows: DataFrame, size: int, pivots: np.ndarray, seeds: tuple[np.ndarray, np.ndarray], k: int, leaf: int) -> DataFrame:
@@ -161,7 +188,7 @@ def _trees(rows: DataFrame, size: int, pivots: np.ndarray, seeds: tuple[np.ndarr
             best = Best(t.ids, k, floor)
             best.offer(0, t.points.astype(np.int64) @ seed_points.astype(np.int64).T, seed_ids)
             name = (TaskContext.get().partitionId() << 32) + made
-            return pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), pa.array([t.save()], pa.binary()), pa.array([best.kth.tobytes()], pa.binary()), pa.array([t.centres[0].tobytes()], pa.binary()), pa.array([t.radii[0]], pa.float64())], ["tree", "data", "kth", "centre", "radius"])
+            return pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), pa.array([t.points.shape[1]], pa.int32()), pa.array([t.save()], pa.binary()), pa.array([best.kth.tobytes()], pa.binary())], ["tree", "dim", "data", "kth"])
 
         for batch in batches:
             for at in range(0, batch.num_rows, size):
@@ -175,10 +202,11 @@ def _trees(rows: DataFrame, size: int, pivots: np.ndarray, seeds: tuple[np.ndarr
         if held:
             yield tree()
 
-    placed = rows.select("vec_id", "x").mapInArrow(place, "vec_id long, x array<int>, pivot int")
+    kinds = rows.select("vec_id", "x").schema
+    placed = rows.select("vec_id", "x").mapInArrow(place, StructType(kinds.fields + [StructField("pivot", IntegerType())]))
     parts = max(1, -(-rows.count() // size))
     ranged = placed.repartitionByRange(parts, "pivot", F.xxhash64("vec_id")).select("vec_id", "x")
-    return written(ranged.mapInArrow(build, "tree long, data binary, kth binary, centre binary, radius double"), "cover-trees")
+    return written(ranged.mapInArrow(build, "tree long, dim int, data binary, kth binary"), "cover-trees")
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 1024, part_points: int = PART_POINTS) -> DataFrame:
@@ -186,18 +214,23 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "ve
 
     Components become floor(scale * x); rows with the query's own id do not count; ties go to smaller ids. Of
     equal vectors only the k + 1 smallest ids can be among the best, so only they go into trees. Trees of
-    bounded size hold near vectors; pairs of a query tree and a data tree whose roots already fall short are
-    left out before any data is sent; the rest are searched together, and the best of each pair are merged.
+    bounded size hold near vectors. Each is sent once, held by a task, and searched together with every query tree of its
+    dimension, which stream past it; the best of each pair of trees are merged.
 
     Vectors that are null, empty, or hold null or non-finite components take no part, as query or candidate, nor
-    do rows without id. Repeated rows count once. Vectors of other dimension never meet. A component beyond
-    2**27 counts as 2**27. Fewer than k candidates give fewer rows; an empty table gives none.
+    do rows without id. Repeated rows count once. Vectors of other dimension never meet. Scores are exact: if one may not
+    fit 64 bits the job ends with an error before it compares anything. Fewer than k candidates give fewer rows; an empty
+    table gives none.
     """
-    data = written(integers(vectors, id_col, vector_col, scale).dropDuplicates(["vec_id", "x"]), "cover-data")
-    asked = written(integers(queries, id_col, vector_col, scale).dropDuplicates(["vec_id", "x"]), "cover-queries")
+    raw = [integers(t, id_col, vector_col, scale) for t in (vectors, queries)]
+    norms, peaks = zip(*(largest_score(t) for t in raw), strict=True)
+    if max(norms) >= 2.0**62:
+        raise ValueError("components are too large: a score may not fit 64 bits")
+    kind = "array<int>" if max(peaks) < 2**31 else "array<long>"
+    data, asked = (written(t.withColumn("x", F.col("x").cast(kind)).dropDuplicates(["vec_id", "x"]), name) for t, name in zip(raw, ("cover-data", "cover-queries"), strict=True))
     same = Window.partitionBy("x").orderBy("vec_id")
     slim = written(data.withColumn("copy", F.row_number().over(same)).where(F.col("copy") <= k + 1).drop("copy"), "cover-points")
-    found = None
+    found, built = None, []
     for (dim,) in asked.select("dim").distinct().collect():
         points, wanted = slim.where(F.col("dim") == dim), asked.where(F.col("dim") == dim)
         sample = points.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SEEDS).toArrow()
@@ -206,37 +239,35 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "ve
         ids, x = sample.column("vec_id").to_numpy(), _matrix(sample.column("x").combine_chunks())
         trees = _trees(points, part_points, x[:PIVOTS], (ids[:0], x[:0]), k, DATA_LEAF)
         blocks = _trees(wanted, BLOCK_QUERIES, x[:PIVOTS], (ids, x), k, QUERY_LEAF)
-        part = _pairs(blocks, trees, k)
+        built += [trees, blocks]
+        part = _searched(blocks, trees, k, max(norms) < EXACT)
         found = part if found is None else found.unionByName(part)
     if found is None:
-        found = vectors.sparkSession.createDataFrame([], "query_id long, vec_id long, score long")
+        found = vectors.sparkSession.createDataFrame([], "query_id long, vec_id long, score long, compared long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-
+    best = found.select("query_id", "vec_id", "score").distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    out = written(best.select("query_id", "rank", "vec_id", "score"), "cover-best")
+    for table in (data, asked, slim, *built):
+        release(table)
+    return out
 
-def _pairs(blocks: DataFrame, trees: DataFrame, k: int) -> DataFrame:
-    @F.pandas_udf("boolean")
-    def reaches(q: pd.Series, rq: pd.Series, kth: pd.Series, c: pd.Series, rc: pd.Series) -> pd.Series:
-        out = []
-        for a, ra, floor, b, rb in zip(q, rq, kth, c, rc, strict=True):
-            a, b = np.frombuffer(a), np.frombuffer(b)
-            na, nb = np.sqrt(a @ a), np.sqrt(b @ b)
-            top = a @ b + ra * nb + rb * na + ra * rb
-            out.append(bool(top + 1e-9 * abs(top) + 1e-6 * (1 + na * nb) >= np.frombuffer(floor, np.int64).min()))
-        return pd.Series(out)
 
-    # Two lists of roots, a row for thousands of vectors: the stated query set against all rows, in blocks.
-    roots = lambda df, p: df.select(F.lit(0).alias("all"), *[F.col(c).alias(p + c) for c in ("tree", "centre", "radius", "kth")])
-    pairs = roots(blocks, "q_").join(roots(trees, "c_").drop("c_kth"), "all").where(reaches("q_centre", "q_radius", "q_kth", "c_centre", "c_radius"))
-    pairs = written(pairs.select("q_tree", "c_tree"), "cover-pairs")
+def _searched(blocks: DataFrame, trees: DataFrame, k: int, exact: bool) -> DataFrame:
+    """The best of each query in each data tree. The stated query set meets all rows, tree by tree."""
+    numbers = trees.groupBy("dim").agg(F.collect_list("tree").alias("trees"))  # a number for thousands of vectors
+    copies = blocks.join(numbers, "dim").select(F.explode("trees").alias("tree"), F.lit(1).alias("kind"), "data", "kth")
+    both = trees.select("tree", F.lit(0).alias("kind"), "data", "kth").unionByName(copies)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        data = None
         for batch in batches:
             for i in range(batch.num_rows):
-                q, floor, c = (batch.column(j)[i].as_py() for j in range(3))
-                best, _ = search(CoverTree.load(q), CoverTree.load(c), k, np.frombuffer(floor, np.int64))
+                tree = CoverTree.load(batch.column(2)[i].as_py())
+                if batch.column(1)[i].as_py() == 0:
+                    data = tree
+                    continue
+                best, compared = search(tree, data, k, np.frombuffer(batch.column(3)[i].as_py(), np.int64), exact)
                 n = [len(s) for s in best.scores]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(best.queries, n), pa.int64()), pa.array(np.concatenate(best.ids), pa.int64()), pa.array(np.concatenate(best.scores), pa.int64())], ["query_id", "vec_id", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(best.queries, n), pa.int64()), pa.array(np.concatenate(best.ids), pa.int64()), pa.array(np.concatenate(best.scores), pa.int64()), pa.array(np.full(sum(n), compared), pa.int64())], ["query_id", "vec_id", "score", "compared"])
 
-    joined = pairs.join(blocks.select(F.col("tree").alias("q_tree"), F.col("data").alias("q"), "kth"), "q_tree").join(trees.select(F.col("tree").alias("c_tree"), F.col("data").alias("c")), "c_tree")
-    return joined.select("q", "kth", "c").mapInArrow(run, "query_id long, vec_id long, score long")
+    return both.repartition("tree").sortWithinPartitions("tree", "kind").mapInArrow(run, "query_id long, vec_id long, score long, compared long")
