@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from shardwise.llm.packing import encoder, vocabulary
 from shardwise.llm.pieces import Decoder, worker_store
-from shardwise.llm.store import sorted_groups, written
+from shardwise.llm.store import release, sorted_groups, written
 
 #: Strings that mark turns, here or in other common chat templates.
 CONTROL = ["<|im_start|>", "<|im_end|>", "<|endoftext|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>"]
@@ -42,37 +42,45 @@ def unescape_role(role: str) -> str:
     return _ESCAPED.sub(lambda m: "\n" if m[1] == "n" else m[1], role)
 
 
-def _turns(conversations: DataFrame, vocabulary_path: str, pattern: str) -> DataFrame:
-    """A row per turn: its node (hash of all turns up to it), tokens, loss span and place in the conversation."""
+def _turns(conversations: DataFrame) -> DataFrame:
+    """A row per turn: its node (hash of all turns up to it), the node before, role, text and the turns from it on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory = worker_store(f"pack:{vocabulary_path}:{pattern}", lambda: encoder(vocabulary_path, pattern))
         for batch in batches:
             for i in range(batch.num_rows):
                 conv, turns = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
-                texts = []
-                for t in turns:
-                    texts += [f"{START}{escape_role(t['role'])}\n", escape(t["text"]), END]
-                ids = memory.texts(texts)
-                node, position, rows = b"", 0, []
+                node, rows = None, []
                 for depth, t in enumerate(turns):
-                    head, body, foot = ids[3 * depth : 3 * depth + 3]
-                    parent = node
-                    role, text = t["role"].encode(), t["text"].encode()
-                    node = hashlib.blake2b(parent + len(role).to_bytes(8, "little") + role + text, digest_size=16).digest()
-                    learns = t["role"] == "assistant"
-                    tokens = head + body + foot
-                    n, a = len(tokens) // 4, len(head) // 4
-                    rows.append((conv, depth, node, parent or None, position, n, tokens, a if learns else 0, a + len(body) // 4 if learns else 0, len(turns) - depth))
-                    position += n
-                kinds = [batch.schema.field(0).type, pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
-                names = ["conv_id", "depth", "node", "parent", "position", "length", "tokens", "loss_start", "loss_end", "below"]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+                    parent, role = node, t["role"].encode()
+                    node = hashlib.blake2b((parent or b"") + len(role).to_bytes(8, "little") + role + t["text"].encode(), digest_size=16).digest()
+                    rows.append((conv, depth, node, parent, t["role"], t["text"], len(turns) - depth))
+                kinds = [batch.schema.field(0).type, pa.int32(), pa.binary(), pa.binary(), pa.string(), pa.string(), pa.int64()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["conv_id", "depth", "node", "parent", "role", "text", "below"])
 
     rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("row"))
     whole = rows.where("conv_id is not null").groupBy("conv_id").agg(F.sort_array(F.collect_list("row")).alias("turns"))
     alone = rows.where("conv_id is null").select("conv_id", F.array("row").alias("turns"))
-    return whole.unionByName(alone).mapInArrow(run, "conv_id long, depth int, node binary, parent binary, position long, length long, tokens binary, loss_start long, loss_end long, below long")
+    return whole.unionByName(alone).mapInArrow(run, "conv_id long, depth int, node binary, parent binary, role string, text string, below long")
+
+
+def _encoded(nodes: DataFrame, vocabulary_path: str, pattern: str) -> DataFrame:
+    """Nodes (node, parent, depth, role, text) with tokens, their number and the loss span: each node is encoded once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memory = worker_store(f"pack:{vocabulary_path}:{pattern}", lambda: encoder(vocabulary_path, pattern))
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            roles, texts = batch.column(3).to_pylist(), batch.column(4).to_pylist()
+            ids = memory.texts([part for r, t in zip(roles, texts, strict=True) for part in (f"{START}{escape_role(r)}\n", escape(t), END)])
+            tokens = [b"".join(ids[i : i + 3]) for i in range(0, len(ids), 3)]
+            learns = [r == "assistant" for r in roles]
+            a = [len(h) // 4 if own else 0 for h, own in zip(ids[::3], learns, strict=True)]
+            b = [x + len(t) // 4 if own else 0 for x, t, own in zip(a, ids[1::3], learns, strict=True)]
+            columns = [pa.array([len(t) // 4 for t in tokens], pa.int64()), pa.array(tokens, pa.binary()), pa.array(a, pa.int64()), pa.array(b, pa.int64())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *columns], ["node", "parent", "depth", "length", "tokens", "loss_start", "loss_end"])
+
+    return nodes.select("node", "parent", "depth", "role", "text").mapInArrow(run, "node binary, parent binary, depth int, length long, tokens binary, loss_start long, loss_end long")
 
 
 def _emit(key: tuple, table: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -112,22 +120,26 @@ def format_tree(conversations: DataFrame, vocabulary_path: str, pattern: str, st
     Rows are ordered by turn, then role and text. Null role or text counts as empty; each row without
     conv_id is a conversation of its own. A conversation is one sequence and must fit a task. Equal conversations share a last node.
     """
-    turns = written(_turns(conversations, vocabulary_path, pattern), "chat-turns")
-    narrow = turns.select("conv_id", "depth", "node", "length", "below")
-    split = narrow.groupBy("node").agg(F.sum("below").alias("turns")).where(F.col("turns") > stream_turns).select("node", F.lit(True).alias("split"))
-    steps = narrow.join(split, "node", "left").select("conv_id", F.struct("depth", "node", "length", F.coalesce("split", F.lit(False)).alias("split")).alias("step"))
+    turns = written(_turns(conversations), "chat-turns")
+    texts = turns.groupBy("node").agg(*[F.any_value(c).alias(c) for c in ("parent", "depth", "role", "text")])
+    nodes = written(_encoded(texts, vocabulary_path, pattern), "chat-nodes")
+    narrow = turns.select("conv_id", "depth", "node", "below")
+    split = narrow.groupBy("node").agg((F.sum("below") > stream_turns).alias("split"))
+    steps = narrow.join(nodes.select("node", "length").join(split, "node"), "node").select("conv_id", F.struct("depth", "node", "length", "split").alias("step"))
     # A turn without conversation is a path by itself; equal ones are one path, put together before the exchange.
     single = F.when(F.col("conv_id").isNull(), F.col("step.node")).alias("single")
     paths = steps.groupBy("conv_id", single).agg(F.sort_array(F.collect_set("step")).alias("path"))
     paths = paths.withColumn("cut", F.size(F.filter("path", lambda s: s["split"])))
     placed = paths.select("path", "cut", F.posexplode("path").alias("depth", "step"))
     inner = F.get(F.col("path"), F.col("cut"))["node"]
-    head = F.when(F.col("depth") <= F.col("cut"), F.transform(F.slice("path", 1, F.col("depth")), lambda s: F.struct(s["node"].alias("node"), s["length"].alias("length"))))
-    placed = placed.select(F.col("step.node").alias("node"), F.when(F.col("step.split"), F.col("step.node")).otherwise(inner).alias("stream"), head.alias("above"))
-    streams = placed.groupBy("node").agg(F.any_value("stream").alias("stream"), F.any_value("above").alias("above"))
-    nodes = turns.groupBy("node").agg(*[F.any_value(c).alias(c) for c in ("parent", "depth", "position", "length", "tokens", "loss_start", "loss_end")])
+    before = F.slice("path", 1, F.col("depth"))
+    head = F.when(F.col("depth") <= F.col("cut"), F.transform(before, lambda s: F.struct(s["node"].alias("node"), s["length"].alias("length"))))
+    position = F.aggregate(before, F.lit(0).cast("long"), lambda n, s: n + s["length"])
+    placed = placed.select(F.col("step.node").alias("node"), F.when(F.col("step.split"), F.col("step.node")).otherwise(inner).alias("stream"), head.alias("above"), position.alias("position"))
+    streams = placed.groupBy("node").agg(*[F.any_value(c).alias(c) for c in ("stream", "above", "position")])
     schema = "stream binary, node binary, parent binary, depth int, start long, end long, position long, tokens binary, loss_start long, loss_end long, attends array<struct<stream:binary,start:long,end:long>>"
     segments = written(sorted_groups(nodes.join(streams, "node"), ["stream"], _emit, schema), "chat-segments")
+    release(nodes)
     return segments, turns.select("conv_id", "depth", "node")
 
 
