@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shardwise.llm.store import utf8, written
+from shardwise.llm.store import release, utf8, written
 
 LOW, HIGH = -(2**63), 2**63 - 1
 PROBES = 16
@@ -54,14 +54,14 @@ def splitters(keyed: DataFrame, parts: int, tolerance: float) -> tuple[list[int]
             break
         sizes, rows = _below(keyed, probes)
         passes += 1
+        sums = np.array(sizes[:-1])
         for i, (lo, hi) in list(bracket.items()):
-            for probe, size, below in zip(probes, sizes, rows, strict=False):
-                best[i] = min(best[i], (abs(size - targets[i]), probe, below))
-                if size <= targets[i]:
-                    lo = max(lo, probe)
-                else:
-                    hi = min(hi, probe)
-                    break
+            # The last probe at or below the target and the first above it close the bracket.
+            above = int(np.searchsorted(sums, targets[i], side="right"))
+            for at in (above - 1, above):
+                if 0 <= at < len(probes):
+                    best[i] = min(best[i], (abs(sizes[at] - targets[i]), probes[at], rows[at]))
+            lo, hi = max(lo, probes[above - 1]) if above else lo, min(hi, probes[above]) if above < len(probes) else hi
             bracket[i] = (lo, hi)
             if best[i][0] <= tolerance * share or hi - lo <= 1:
                 del bracket[i]
@@ -79,25 +79,28 @@ def shard(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: s
     at most, or by one document or one run of identical rows where that is larger.
 
     Null text counts as no bytes. Null ids, repeated ids and repeated rows are rows like any other. A column
-    of `docs` with the name of a new one is replaced. Shards may be empty where rows are fewer than shards.
+    of `docs` with the name of a new one (shard, slot, shard_size) is replaced; all others stay. Shards may be empty where
+    rows are fewer than shards.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    keyed = docs.withColumns({"shard_size": F.octet_length(text).cast("long") + 1, "shard_key": F.xxhash64(F.col(id_col), text)})
-    narrow = written(keyed.select(F.col("shard_key").alias("key"), F.col("shard_size").alias("size")), "shard-keys")
+    keyed = docs.select(F.struct("*").alias("row"), (F.octet_length(text).cast("long") + 1).alias("size"), F.xxhash64(F.col(id_col), text).alias("key"), F.col(id_col).alias("id"))
+    narrow = written(keyed.select("key", "size"), "shard-keys")
     fine = max(1, -(-narrow.count() // (shards * rows_per_range)))
     cuts, below, _ = splitters(narrow, shards * fine, tolerance)
-    first = [0, *below]
-
-    @F.pandas_udf("int")
-    def range_of(key: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(np.array(cuts, np.int64), key.to_numpy(), side="right").astype(np.int32))
-
-    ranged = keyed.withColumn("shard_range", range_of("shard_key"))
-    shard_of = F.floor(F.col("shard_range") / fine).cast("int")
-    starts = F.array(*[F.lit(x).cast("long") for x in first])
-    inside = Window.partitionBy("shard_range").orderBy("shard_key", F.col(id_col), "shard_size")
-    out = ranged.withColumn("slot", F.row_number().over(inside) - 1 + F.get(starts, F.col("shard_range")) - F.get(starts, shard_of * fine))
-    return out.withColumn("shard", shard_of).drop("shard_key", "shard_range")
+    release(narrow)
+    first = np.array([0, *below], np.int64)
+
+    @F.pandas_udf("range int, before long")
+    def placed(key: pd.Series) -> pd.DataFrame:
+        """The range of a key, and the rows of its shard that lie in ranges before."""
+        own = np.searchsorted(np.array(cuts, np.int64), key.to_numpy(), side="right")
+        return pd.DataFrame({"range": own.astype(np.int32), "before": first[own] - first[own // fine * fine]})
+
+    ranged = keyed.withColumn("at", placed("key")).select("row", "size", "key", "id", F.col("at.range").alias("range"), F.col("at.before").alias("before"))
+    inside = Window.partitionBy("range").orderBy("key", "id", "size")
+    out = ranged.withColumn("slot", F.row_number().over(inside) - 1 + F.col("before"))
+    new = {"shard": F.floor(F.col("range") / fine).cast("int"), "slot": F.col("slot"), "shard_size": F.col("size")}
+    return out.select(*[F.col("row")[c].alias(c) for c in docs.columns if c not in new], *[c.alias(n) for n, c in new.items()])
 
 
 def crc32_of(text: str) -> Column:
