@@ -141,4 +141,5 @@ def score_quality(docs: DataFrame, model: QualityModel, id_col: str = "doc_id",
     if keep is None:
         out = docs.select(F.col(id_col).cast("long").alias("doc_id"), value.alias("score"))
         return out.withColumn("predicted", (F.col("score") >= accept).cast("int"))
-    return docs.select(*keep, value.alias("quality_score")).where(F.col("quality_score") >= accept).select(*keep)
+    rows = docs.select(F.struct(*keep).alias("row"), value.alias("score")).where(F.col("score") >= accept)
+    return rows.select("row.*")
