@@ -44,7 +44,7 @@ def messy(spark):
 
     rows = messy_documents()
     df = spark.createDataFrame(rows, DOC_SCHEMA).repartition(5)
-    return rows, df.withColumns({c: F.lit("clash") for c in ("size", "word", "kept", "component", "node", "bucket", "block", "payload", "rank", "piece", "label", "site", "gone", "key", "shard_key")})
+    return rows, df.withColumns({c: F.lit("clash") for c in ("size", "word", "kept", "component", "node", "bucket", "block", "payload", "rank", "piece", "label", "site", "gone", "key", "shard_key", "shard_range", "quality_score", "score", "row", "at", "before", "range")})
 
 
 @pytest.fixture(scope="session")

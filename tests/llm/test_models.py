@@ -207,6 +207,43 @@ def test_top_k(spark):
     assert top_k(df.limit(0), asked.limit(0)).count() == 0
 
 
+def test_top_k_of_large_components_is_exact_or_refused(spark):
+    schema = "vec_id long, embedding array<double>, x string, dim string, tree string, kind string, kth string, copy string"
+    clash = ("c",) * 6
+    rows = [(0, [2e5, 1.0], *clash), (1, [2e5, 1.0], *clash), (2, [131072.0, 5.0], *clash), (100, [2.0**18, -3.0], *clash), (3, [-(2.0**18), 2.0**18], *clash)]
+    df = spark.createDataFrame(rows, schema)
+    want = brute_top([r[:2] for r in rows], 10)
+    assert sorted(tuple(r) for r in top_k(df, df.where("vec_id % 100 = 0")).collect()) == want
+    assert (0, 2, 1, 41943040001048576) in want
+    huge = spark.createDataFrame([*rows, (4, [2.0**40, 0.0], *clash)], schema)
+    with pytest.raises(ValueError, match="64 bits"):
+        top_k(huge, huge.where("vec_id % 100 = 0"))
+
+
+def test_the_search_has_no_cartesian_product_and_sends_each_tree_once(spark):
+    from shardwise.llm import cover_search
+
+    blocks = spark.createDataFrame([(1, 2, b"", b"")], "tree long, dim int, data binary, kth binary")
+    plan = cover_search._searched(blocks, blocks, 3, True)._jdf.queryExecution().toString()
+    assert "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def test_nets_are_separated_across_the_whole_tree():
+    """At every level all centres, wherever they hang, are farther apart than the level's scale, and cover all points."""
+    points = np.random.default_rng(8).integers(-500, 500, (700, 5)).astype(np.int64)
+    points[100:200] = points[0]
+    tree = CoverTree(np.arange(700), points, leaf=10)
+    top = np.sqrt(((points - points[0]) ** 2).sum(axis=1)).max()
+    centres = np.unique(tree.centres, axis=0)
+    assert len(centres) == 140
+    apart = np.sqrt(((centres[:, None] - centres[None]) ** 2).sum(axis=2)) + np.eye(len(centres)) * 1e9
+    reach = np.sqrt(((points[:, None] - centres[None]) ** 2).sum(axis=2)).min(axis=1).max()
+    assert apart.min() >= reach and sorted(tree.ids.tolist()) == list(range(700)) and top > apart.min()
+    for node, kids in enumerate(tree.children):
+        if kids:
+            assert sum(tree.sizes[k] for k in kids) == tree.sizes[node] and len(kids) > 1
+
+
 def test_tree_prunes_clustered_data():
     rng = np.random.default_rng(4)
     centres = rng.normal(size=(40, 16)) * 1000
@@ -318,6 +355,64 @@ def test_quality_on_the_held_out_fold(spark, nothing):
     assert score_quality(nothing, unlabelled).count() == 0
 
 
+def test_scores_are_the_compressed_sizes_by_plain_recomputation(spark):
+    """Every text again with the two dictionaries in plain zstandard, and the curve by hand."""
+    import zstandard
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = fit_quality(docs, spark.read.parquet("/root/testdata/sf0.01/labels.parquet"))
+    books = [zstandard.ZstdCompressionDict(d) for d in (model.good, model.bad)]
+    makers = [zstandard.ZstdCompressor(level=3, dict_data=b, write_checksum=False, write_content_size=False, write_dict_id=False) for b in books]
+
+    def plain(text):
+        raw = text.encode()
+        sizes = [sum(len(m.compress(raw[i : i + 2048])) for i in range(0, len(raw), 2048)) for m in makers]
+        x = (sizes[1] - sizes[0]) / len(raw) if raw else 0.0
+        at, value = model.at, model.value
+        if x <= at[0] or x >= at[-1]:
+            return value[0] if x <= at[0] else value[-1]
+        i = max(k for k in range(len(at)) if at[k] <= x)
+        return value[i] + (value[i + 1] - value[i]) * (x - at[i]) / (at[i + 1] - at[i])
+
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    got = {r.doc_id: r for r in queries.op5_quality_classifier(spark, "/root/testdata/sf0.01").collect()}
+    assert set(got) == set(texts)
+    for i, text in texts.items():
+        assert got[i].score == pytest.approx(plain(text), abs=1e-12) and got[i].predicted == (got[i].score >= 0.3)
+
+
+def test_sharding_columns_by_plain_recomputation(spark, messy):
+    d = "/root/testdata/sf0.01"
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
+    out = queries.op9_histogram_sharding(spark, d).collect()
+    assert sorted(r.doc_id for r in out) == sorted(texts)
+    for r in out:
+        raw = (texts[r.doc_id] or "").encode()
+        assert (r["size"], r.text_crc32, r.law, r.grown_shard) == (len(raw) + 1, zlib.crc32(raw), "bytes", None)
+    own = [[r for r in out if r.shard == k] for k in range(16)]
+    assert all(sorted(r.slot for r in rows) == list(range(len(rows))) for rows in own)
+    rows, df = messy
+    kept = shard(df, 4)
+    assert set(df.columns) < set(kept.columns) and {tuple(r) for r in kept.select("shard_key", "shard_range", "key", "range").collect()} == {("clash",) * 4}
+    assert kept.count() == len(rows)
+
+
+def test_digests_of_ordinary_conversations(spark):
+    d = "/root/testdata/sf0.01"
+    turns = {}
+    for r in spark.read.parquet(f"{d}/conversations.parquet").collect():
+        turns.setdefault(r.conv_id, []).append((r.turn, r.role or "", r.text or ""))
+    out = {r.conv_id: r for r in queries.op6_chat_prefix_tree(spark, d).collect()}
+    assert set(out) == {*turns, -1}
+    for conv, own in turns.items():
+        own, r = sorted(own), out[conv]
+        loss = "".join(t for _, role, t in own if role == "assistant")
+        assert r.n_turns == len(own) and r.loss_chars == len(loss)
+        assert r.turns_sha256 == hashlib.sha256("".join(f"{role}\n{t}\n" for _, role, t in own).encode()).hexdigest()
+        assert r.loss_sha256 == hashlib.sha256(loss.encode()).hexdigest()
+        assert r.formatted_chars == sum(len(f"<|im_start|>{chat.escape_role(role)}\n{chat.escape(t)}<|im_end|>\n") for _, role, t in own)
+
+
 def test_quality_scores_odd_rows(messy, spark):
     rows, df = messy
     labels = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(None, 1), (3, None), (4, 7)], "doc_id long, quality int")

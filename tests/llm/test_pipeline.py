@@ -71,6 +71,18 @@ def test_stages_and_run(spark, sf_dir):
         assert bytes(r.ids) == part and r.ids_crc32 == zlib.crc32(part)
 
 
+def test_stages_keep_columns_of_any_name(spark, messy, sf_dir):
+    """The names that operators use inside come through every stage with their values; nulls, empty and very long texts too."""
+    docs = messy[1]
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf_dir)
+        assert out.columns == docs.columns, name
+        others = [c for c in docs.columns if dict(docs.dtypes)[c] == "string" and c not in ("text", "lang", "source")]
+        assert len(others) > 10 and {v for r in out.select(*others).distinct().collect() for v in r} == {"clash"}
+        docs = out
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).count() >= docs.count()
+
+
 def test_stages_take_an_empty_table(spark, nothing, sf_dir):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, nothing, sf_dir).count() == 0
