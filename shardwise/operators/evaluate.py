@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from shardwise.config import LOG_METRICS, METRICS
 from shardwise.operators.forest import forest_proba
@@ -22,6 +23,11 @@ from shardwise.sources.scratch import Settled, settle
 # Models read to the driver at once when they are few, and bytes of weights that travel with one pass.
 MODEL_ROWS = 10_000
 MODEL_BYTES = 16 << 20
+# Counts and losses of one (round, client), which larger groups add up.
+TALLY_SCHEMA = (
+    StructType().add("round", "integer").add("client_id", "integer").add("tn", "long").add("fp", "long").add("fn", "long")
+    .add("tp", "long").add("loss_sum", "double").add("loss_rows", "long")
+)
 # (round, group) sums a task holds before it passes them on.
 GROUPS = 500_000
 

@@ -11,15 +11,16 @@ from pyspark.storagelevel import StorageLevel
 from shardwise.config import LOG_METRICS, LinearConfig
 from shardwise.functions.schedules import epochs_in_round
 from shardwise.operators.aggregate import aggregate_metrics, fedavg
-from shardwise.operators.evaluate import central_names, client_tallies, merge_tallies, metrics_from
+from shardwise.operators.evaluate import TALLY_SCHEMA, central_names, client_tallies, merge_tallies, metrics_from
 from shardwise.operators.linear import CLIENT_ROWS, client_stats, fits_tasks, initial_params, learner, local_fit
 from shardwise.operators.sampling import balanced_split, iid_partition, partition_bounds, sample_clients
 from shardwise.operators.scaling import apply_scaler, fit_scaler
 from shardwise.operators.sgd import local_sgd
 from shardwise.sources.observations import incomplete_vectors, labelled_vectors, prepared, prepared_before
+from shardwise.sources.manifest import begin_run, commit_round, committed_round, read_rounds, run_key, write_round
 from shardwise.sources.rounds import write_round_log
 from shardwise.sources.scratch import Settled, scratch_dir, settle
-from shardwise.sources.state import PARAMS_SCHEMA, write_params
+from shardwise.sources.state import PARAMS_SCHEMA, read_params, write_params
 
 
 @dataclass(frozen=True)
@@ -74,11 +75,14 @@ def run_linear(
     start: DataFrame | None = None,
     step: float | None = None,
     dtype: str = "float",
+    resume: bool = False,
 ) -> LinearRun:
     """Run all rounds and return parameters, metrics per client and round, and central metrics.
 
-    The models of all rounds are evaluated together in one pass over the test rows; with `out_dir`
-    every round is checkpointed before the next begins.
+    The models of all rounds are evaluated together in one pass over the test rows. With `out_dir` each round is evaluated
+    after its training; its parameters, tallies and the log of all rounds so far are written before it is committed and the
+    next begins. With `resume` a run in `out_dir` goes on after its last committed round (see sources.manifest) and ends
+    with the same tables as one that was never cut off.
     """
     spark = df.sparkSession
     made = learner(cfg.loss, cfg.penalty, cfg.local_epochs, l1_ratio=cfg.l1_ratio, fit_intercept=cfg.fit_intercept, tol=cfg.tol)
@@ -106,8 +110,16 @@ def run_linear(
             if row["purpose"] == "fit":
                 fitting.setdefault(row["round"], []).append(row["client_id"])
         model = settle(start if start is not None else initial_params(spark, len(features), cfg.seed, cfg.fit_intercept))
+        identity, done = run_key(cfg, features=tuple(features), key=key, label=label, source=source, step=step, dtype=dtype), 0
+        if out_dir and resume:
+            done = committed_round(spark, out_dir, identity)
+        elif out_dir:
+            begin_run(spark, out_dir, identity)
         history = []
-        for round_no in range(1, cfg.rounds + 1):
+        if done:  # a row of weights per finished round
+            history = sorted((r.asDict() for r in read_params(spark, f"{out_dir}/params").where(F.col("round") <= done).collect()), key=lambda r: r["round"])
+            model = settle(spark.createDataFrame(history[-1:], PARAMS_SCHEMA))
+        for round_no in range(done + 1, cfg.rounds + 1):
             hook = cfg.on_round(round_no) if cfg.on_round else {}
             chosen = fitting.get(round_no, []) if plan.small else _fitting(plan.df, round_no)
             if chosen:
@@ -125,6 +137,11 @@ def run_linear(
             history.extend({**row, "round": round_no} for row in model.records())
             if out_dir:
                 write_params(model.df, f"{out_dir}/params", round_no)
+                write_round(client_tallies(test, settle(model.df.withColumn("round", F.lit(round_no))), cfg.loss), f"{out_dir}/tallies", round_no)
+                _, by_round, central = _metrics(read_rounds(spark, f"{out_dir}/tallies", TALLY_SCHEMA, round_no), plan.df, cfg)
+                write_round_log(by_round, f"{out_dir}/log")
+                write_round_log_central(central, out_dir)
+                commit_round(spark, out_dir, identity, round_no)
         run = _evaluated(history, test, plan.df, cfg, out_dir)
         return LinearRun(*run, _failures(stats.df, cfg), incomplete_vectors(df, features, key, label, dtype))
     finally:
@@ -153,18 +170,21 @@ def _keys(stored: DataFrame, key: str) -> list[str]:
 
 def _evaluated(history: list[dict], test: DataFrame, plan: DataFrame, cfg: LinearConfig, out_dir: str | None) -> tuple[DataFrame, ...]:
     # One global model per round: rounds x (features + 1) numbers.
-    models = test.sparkSession.createDataFrame(history, PARAMS_SCHEMA)
-    params = settle(models)
-    tallies = settle(client_tallies(test, params, cfg.loss), limit=1_000_000).df
+    spark = test.sparkSession
+    params = settle(spark.createDataFrame(history, PARAMS_SCHEMA))
+    if out_dir:
+        tallies = read_rounds(spark, f"{out_dir}/tallies", TALLY_SCHEMA, cfg.rounds)
+    else:
+        tallies = settle(client_tallies(test, params, cfg.loss), limit=1_000_000).df
+    return params.df, *_metrics(tallies, plan, cfg)
+
+
+def _metrics(tallies: DataFrame, plan: DataFrame, cfg: LinearConfig) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Metrics per client and round, per round, and of the central clients per round."""
     asked = plan.where(F.col("purpose") == "evaluate").drop("purpose")
     clients = metrics_from(tallies.join(asked, ["round", "client_id"], "left_semi"), ["round", "client_id"])
-    rounds = aggregate_metrics(clients, LOG_METRICS)
     central = metrics_from(merge_tallies(tallies.where(F.col("client_id").isin(*cfg.central_clients)), ["round"]), ["round"])
-    by_round, central = settle(rounds).df, central_names(central)
-    if out_dir:
-        write_round_log(by_round, f"{out_dir}/log")
-        write_round_log_central(central, out_dir)
-    return params.df, clients, by_round, central
+    return clients, settle(aggregate_metrics(clients, LOG_METRICS)).df, central_names(central)
 
 
 def _failures(stats: DataFrame, cfg: LinearConfig) -> DataFrame:

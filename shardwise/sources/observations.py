@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType, StructType
 
+from shardwise.sources.scratch import complete
+
 # The columns that are not features.
 LABEL = "label"
 INDEX = "Unnamed: 0"
@@ -104,21 +106,16 @@ def _prepared_path(cache_dir: str, parts: dict) -> str:
 def prepared_before(spark: SparkSession, cache_dir: str, **parts) -> DataFrame | None:
     """The prepared table of an earlier run with the same parts, if its write was finished."""
     path = _prepared_path(cache_dir, parts)
-    return spark.read.parquet(path) if _complete(spark, path) else None
+    return spark.read.parquet(path) if complete(spark, path) else None
 
 
 def prepared(df: DataFrame, cache_dir: str, **parts) -> DataFrame:
     """Write the prepared rows once, partitioned by client; later calls with the same parts read them."""
     spark = df.sparkSession
     path = _prepared_path(cache_dir, parts)
-    if not _complete(spark, path):
+    if not complete(spark, path):
         # Rebalancing by client gives each client few, even files and splits a very large client.
         even = df.hint("rebalance", F.col("client_id"))
         even.write.mode("overwrite").partitionBy("client_id").parquet(path)
     fields = [f for f in df.schema.fields if f.name != "client_id"] + [df.schema["client_id"]]
     return spark.read.schema(StructType(fields)).parquet(path)
-
-
-def _complete(spark: SparkSession, path: str) -> bool:
-    marker = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    return marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker)

@@ -22,6 +22,7 @@ def write_round_log(log: DataFrame, path: str) -> None:
 def read_round_log(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
     """Read a round log: any repeated round column dropped, all columns numeric, sorted by round.
 
+    Metrics that the log does not have (a forest's has loss and accuracy only) are null.
     JSON may be one record per round or the older single object keyed by round.
     """
     if fmt == "json":
@@ -29,7 +30,7 @@ def read_round_log(spark: SparkSession, path: str, fmt: str = "csv") -> DataFram
     else:
         raw = _read_csv(spark, path)
     extra = [c for c in raw.columns if c not in ROUND_COLUMNS]
-    numbers = [F.col(c).try_cast("double").alias(c) for c in (*LOG_METRICS, *extra)]
+    numbers = [(F.col(c).try_cast("double") if c in raw.columns else F.lit(None).cast("double")).alias(c) for c in (*LOG_METRICS, *extra)]
     return raw.select(F.col("round").try_cast("int").alias("round"), *numbers).orderBy("round")
 
 

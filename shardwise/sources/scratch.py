@@ -28,6 +28,12 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def complete(spark: SparkSession, path: str) -> bool:
+    """Whether a table was written there to its end."""
+    marker = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker)
+
+
 @dataclass(frozen=True)
 class Settled:
     """A table evaluated once: `df` never repeats the work behind it.

@@ -15,8 +15,8 @@ from shardwise.plans.linear_job import prepare_clients
 from shardwise.sources.observations import incomplete_vectors, labelled_vectors
 
 PYTHON = re.compile(r"ArrowEvalPython|BatchEvalPython|MapInArrow|MapInPandas|FlatMapGroups|PythonMapInArrow|FlatMapGroupsInArrow")
-# Training and tree walks are the only Python in any plan.
-TRAINED = {"whole_client_fit", "sequential_fit", "tree_scores", "forest_proba", "evaluate_forest", "forest_scorecard", "prune_forest", "merge_and_prune"}
+# Training, tree scoring and the block product of evaluation are the only Python in any plan.
+TRAINED = {"evaluate_clients", "evaluate_central", "whole_client_fit", "sequential_fit", "tree_scores", "forest_proba", "evaluate_forest", "forest_scorecard", "prune_forest", "merge_and_prune"}
 
 
 def plan(df) -> str:
