@@ -653,8 +653,68 @@ def job(loss: str, ratio: float, fit: int, evaluate: int) -> str:
 {rounded(LOG_METRICS, '', 'ma.')}, {rounded(LOG_METRICS, 'central_', 'mz.')} FROM models JOIN ma USING (round) JOIN mz USING (round)"""
 
 
+def whole_fit(rows: str, start: str, loss: str, epochs: int, tol: float, name: str, width: int = 3) -> tuple[tuple[str, str], ...]:
+    """Epochs as a recursion; a client stops once no weight moves by more than `tol` of the largest. {name}: its last weights."""
+    i = range(width)
+    size = "(" + " + ".join(f"x{k} * x{k}" for k in i) + " + 1)"
+    f = " + ".join(["b", *[f"x{k} * w{k}" for k in i]])
+    new = ", ".join(f"{stepped(f'w{k}', f'g{k} / n', 'eta', 'lam', 'l2')} AS v{k}" for k in i)
+    olds, news = ", ".join(f"w{k}" for k in i), ", ".join(f"v{k}" for k in i)
+    moved = ", ".join(f"abs(v{k} - w{k})" for k in i)
+    return (
+        (f"{name}_s", f"""SELECT *, {STRENGTH[loss]} AS lam, n / ({CURVATURE[loss]} * s) AS eta FROM (
+  SELECT client_id, count(*)::DOUBLE AS n, sum({size}) AS s FROM {rows} GROUP BY client_id)"""),
+        (f"{name}_e", f"""SELECT client_id, 0 AS e, false AS done, {olds}, b FROM {start}
+  UNION ALL
+  SELECT client_id, e + 1, greatest({moved}, abs(vb - b)) <= {tol}::DOUBLE * greatest({', '.join(f'abs(v{k})' for k in i)}, abs(vb)), {news}, vb FROM (
+    SELECT client_id, e, {olds}, b, {new}, b - eta * gb / n AS vb FROM (
+      SELECT client_id, any_value(e) AS e, {', '.join(f'any_value(w{k}) AS w{k}' for k in i)}, any_value(b) AS b, any_value(n) AS n, any_value(eta) AS eta,
+        any_value(lam) AS lam, {', '.join(f'sum(r * x{k}) AS g{k}' for k in i)}, sum(r) AS gb FROM (
+        SELECT *, {slope(loss, f)} AS r FROM {rows} JOIN {name}_e USING (client_id) JOIN {name}_s USING (client_id) WHERE NOT done AND e < {epochs})
+      GROUP BY client_id))"""),
+        (name, f"SELECT * FROM (SELECT *, max(e) OVER (PARTITION BY client_id) AS last FROM {name}_e) JOIN {name}_s USING (client_id) WHERE e = last"),
+    )
+
+
+def whole_job(loss: str, ratio: float, clients: int, fit: int, evaluate: int, epochs: list[int]) -> str:
+    """A linear job as configured: three features, its own epochs in each round, and the tolerance stop."""
+    columns = ["x0", "x1", "x2"]
+    tables = [
+        OBS, ("single", "SELECT event_id, label, value::FLOAT::DOUBLE AS x0, hour::FLOAT::DOUBLE AS x1, dow::FLOAT::DOUBLE AS x2 FROM obs"),
+        part(clients, "single"), ("scaled", zscores(columns, "part", "part WHERE client_id = 0")), undersampled("scaled", ratio), *stratified("balanced", "undersample"),
+        ("train", "SELECT client_id, label, x0, x1, x2 FROM strat WHERE split = 'train'"),
+        ("fits", sampled("fit", str(fit), "train", len(epochs))), ("asks", sampled("evaluate", str(evaluate), "train", len(epochs))),
+        ("g0", f"SELECT {draw('0')} AS w0, {draw('1')} AS w1, {draw('2')} AS w2, {draw('3')} AS b"),
+    ]
+    means = ", ".join(f"sum(n * {w}) / sum(n) AS {w}" for w in ("w0", "w1", "w2", "b"))
+    for r, n in enumerate(epochs, 1):
+        tables.append((f"start{r}", f"SELECT client_id, w0, w1, w2, b FROM fits, g{r - 1} WHERE round = {r}"))
+        tables.append((f"rows{r}", f"SELECT * FROM train WHERE client_id IN (SELECT client_id FROM start{r})"))
+        tables.extend(whole_fit(f"rows{r}", f"start{r}", loss, n, 1e-4, f"fit{r}"))
+        tables.append((f"g{r}", f"SELECT sum(n)::BIGINT AS n_examples, {means} FROM fit{r}"))
+    tables.append(("models", " UNION ALL ".join(f"SELECT {r} AS round, * FROM g{r}" for r in range(1, len(epochs) + 1))))
+    tables.append(("judged", """SELECT round, client_id, label, decision, 1 / (1 + exp(-decision)) AS proba, CASE WHEN decision > 0 THEN 1 ELSE 0 END AS pred
+  FROM (SELECT round, client_id, label, b + x0 * w0 + x1 * w1 + x2 * w2 AS decision FROM strat, models WHERE split = 'test')"""))
+    row_loss = HINGE if loss == "hinge" else log_loss_of()
+    tables.extend(metric_tables("judged", "round, client_id", row_loss, "mc"))
+    tables.append(("near", "SELECT * FROM judged WHERE client_id IN (0, 1, 2)"))
+    tables.extend(metric_tables("near", "round", row_loss, "mz"))
+    averages = ", ".join(f"sum(n_examples * {n}) / sum(n_examples) AS {n}" for n in LOG_METRICS)
+    tables.append(("ma", f"SELECT round, {averages} FROM mc JOIN asks USING (round, client_id) GROUP BY round"))
+    return with_(*tables) + f"""SELECT models.round, models.n_examples, {r6('w0')} AS w0, {r6('w1')} AS w1, {r6('w2')} AS w2, {r6('b')} AS intercept,
+{rounded(LOG_METRICS, '', 'ma.')}, {rounded(LOG_METRICS, 'central_', 'mz.')} FROM models JOIN ma USING (round) JOIN mz USING (round)"""
+
+
+SQL["logistic_job"] = whole_job("log_loss", 1.0, 25, 15, 20, [100] * 7)
+SQL["svm_job"] = whole_job("hinge", 2.0, 10, 5, 10, [15] * 5 + [30] * 2)
+THREE_FEATURES = ("three", "SELECT client_id, label, event_id, value / 100 AS x0, hour / 24 AS x1, dow / 7 AS x2 FROM part")
+START3 = ("start", f"SELECT client_id, {draw('0')} AS w0, {draw('1')} AS w1, {draw('2')} AS w2, {draw('3')} AS b FROM (SELECT DISTINCT client_id FROM part)")
+SQL["tolerance_stop"] = with_(OBS, part(), THREE_FEATURES, START3, *whole_fit("three", "start", "log_loss", 12, 0.12, "fit")) + f"""SELECT client_id, e AS epochs,
+{r6('w0')} AS w0, {r6('w1')} AS w1, {r6('w2')} AS w2, {r6('b')} AS intercept FROM fit"""
+
 SQL["fedavg_logistic"] = job("log_loss", 1.0, 6, 8)
 SQL["fedavg_hinge"] = job("hinge", 2.0, 5, 10)
+SQL["resumed_run"] = SQL["fedavg_logistic"]
 SQL["prepared_clients"] = with_(*prepared_rows(1.0)) + f"SELECT event_id, client_id, label, split, {r6('x0', 5)} AS x0, {r6('x1', 5)} AS x1 FROM strat"
 SQL["client_failures"] = with_(
     OBS, part(), ("positives", "SELECT client_id, sum(CASE WHEN client_id IN (1, 4) THEN 0 ELSE label END) AS n FROM part GROUP BY client_id")

@@ -26,7 +26,7 @@ from shardwise.operators.forest_fit import fit_trees, plan_table
 from shardwise.operators.linear import Learner, initial_params, learner, local_fit
 from shardwise.operators.sgd import local_sgd
 from shardwise.plans.forest_job import run_forest
-from shardwise.plans.linear_job import prepare_clients, run_linear
+from shardwise.plans.linear_job import LinearRun, prepare_clients, run_linear
 from shardwise.plans.preparation import prepare
 from shardwise.plans.reporting import report as report_job
 from shardwise.sources.observations import (
@@ -658,9 +658,13 @@ def report_files(spark, sf_dir):
 SHORT = dict(rounds=2, clients=CLIENTS, tol=None, seed=SEED)
 
 
-def _job(spark, sf_dir, cfg: LinearConfig) -> DataFrame:
-    run = run_linear(events(spark, sf_dir), ["value", "hour"], replace(cfg, on_round=lambda r: {"epochs": 2}), KEY)
-    model = run.params.select("round", "n_examples", F.round(F.col("coef")[0], 6).alias("w0"), F.round(F.col("coef")[1], 6).alias("w1"), F.round("intercept", 6).alias("intercept"))
+def _short_job(spark, sf_dir, cfg: LinearConfig, **options) -> DataFrame:
+    return _job_rows(run_linear(events(spark, sf_dir), ["value", "hour"], replace(cfg, on_round=lambda r: {"epochs": 2}), KEY, **options), 2)
+
+
+def _job_rows(run: LinearRun, width: int) -> DataFrame:
+    weights = [F.round(F.col("coef")[i], 6).alias(f"w{i}") for i in range(width)]
+    model = run.params.select("round", "n_examples", *weights, F.round("intercept", 6).alias("intercept"))
     metrics_ = run.round_metrics.join(run.central_metrics.drop("n_examples"), "round")
     return model.join(_rounded(metrics_, *LOG_METRICS, *[f"central_{m}" for m in LOG_METRICS]), "round")
 
@@ -668,13 +672,48 @@ def _job(spark, sf_dir, cfg: LinearConfig) -> DataFrame:
 @query
 def fedavg_logistic(spark, sf_dir):
     """Federated logistic regression: partition, scale, undersample, split, two rounds, evaluation."""
-    return _job(spark, sf_dir, LinearConfig(**SHORT))
+    return _short_job(spark, sf_dir, LinearConfig(**SHORT))
 
 
 @query
 def fedavg_hinge(spark, sf_dir):
     """The linear SVM job, same steps."""
-    return _job(spark, sf_dir, LinearConfig.svm(**SHORT))
+    return _short_job(spark, sf_dir, LinearConfig.svm(**SHORT))
+
+
+@query
+def resumed_run(spark, sf_dir):
+    """The short job, ended after its first round and gone on with from what that left on disk."""
+    path, cfg = scratch_dir(spark, "resumed"), LinearConfig(**SHORT)
+    _short_job(spark, sf_dir, replace(cfg, rounds=1), out_dir=path)
+    return _short_job(spark, sf_dir, cfg, out_dir=path, resume=True)
+
+
+@query
+def logistic_job(spark, sf_dir):
+    """The logistic job as configured: 25 clients, all features, its own epochs and tolerance; seven rounds."""
+    return _job_rows(run_linear(events(spark, sf_dir), FEATURES, LinearConfig(rounds=7, seed=SEED), KEY), 3)
+
+
+@query
+def svm_job(spark, sf_dir):
+    """The linear SVM job as configured, two rounds beyond the one after which epochs double."""
+    return _job_rows(run_linear(events(spark, sf_dir), FEATURES, LinearConfig.svm(rounds=7, seed=SEED), KEY), 3)
+
+
+@query
+def tolerance_stop(spark, sf_dir):
+    """The epoch after which each client stops because its weights hardly move, and the weights it stops with."""
+    x = F.array(F.col("value") / 100, F.col("hour") / 24, F.col("dow") / 7)
+    rows = parted(spark, sf_dir).select("client_id", "label", x.alias("x")).persist()
+    made = replace(learner("log_loss", "l2", 20), tol=0.12)
+    start, longest = initial_params(spark, 3, SEED), 12
+    fits = [settle(local_fit(rows, start, made, e, form="whole", round_no=e)).df for e in range(longest + 1)]
+    every = reduce(DataFrame.unionByName, fits)
+    last = every.where(F.col("round") == longest).select("client_id", "coef", "intercept")
+    # The first number of epochs that gives the final weights is the one that was stopped at.
+    same = every.join(last, ["client_id", "coef", "intercept"]).groupBy("client_id", "coef", "intercept").agg(F.min("round").alias("epochs"))
+    return same.select("client_id", "epochs", *[F.round(F.col("coef")[i], 6).alias(f"w{i}") for i in range(3)], F.round("intercept", 6).alias("intercept"))
 
 
 @query

@@ -24,6 +24,9 @@ from shardwise.sources.scratch import DRIVER_ROWS, Settled, local_table, scratch
 # Hex digits per counting pass. Two passes leave 1/65536 of a group to sort exactly.
 DIGITS = (2, 4)
 RANK_DIGITS = 3
+# Cutoffs that may be broadcast, and how many share a row of the lookup beyond that.
+CUT_BYTES = 8 << 20
+CUTS_EACH = 8
 # Rows with one prefix (key columns only) that one task may sort.
 SORT_ROWS = 2_000_000
 
@@ -106,36 +109,48 @@ def at_or_before(df: DataFrame, by: list[str], key: list[str], seed: int, purpos
 def segment(df: DataFrame, key: list[str], seed: int, purpose: str, cut: Settled, name: str) -> DataFrame:
     """Add how many of the table's cutoffs lie before the row: the 0-based segment it falls in.
 
-    A lookup table with one row per two-digit prefix holds the cutoffs inside that prefix and the
-    number before it, so each row compares itself with its own few cutoffs only.
+    A lookup table with one row per digest prefix holds the cutoffs inside that prefix and the number before it, so each row
+    compares itself with its own few cutoffs only. Up to CUT_BYTES of cutoffs the table has 256 rows and is broadcast. With
+    more, prefixes get longer, so that each still holds a few, and rows meet their prefix in a shuffled join.
     """
+    many = cut.rows is None or cut.rows.nbytes > CUT_BYTES
+    lookup, width = _long_lookup(df.sparkSession, cut) if many else (F.broadcast(_prefix_lookup(df.sparkSession, cut)), 2)
     mine = position_key(seed, purpose, key)
-    keyed = df.withColumn("segment_pos", mine).withColumn("prefix", F.substring(F.col("segment_pos.h"), 1, 2))
+    keyed = df.withColumn("segment_pos", mine).withColumn("prefix", F.substring(F.col("segment_pos.h"), 1, width))
     passed = F.size(F.filter("cuts", lambda c: c < F.col("segment_pos")))
     count = F.when(F.size("cuts") == 0, F.lit(0)).otherwise(passed)
-    return (
-        keyed.join(F.broadcast(_prefix_lookup(df.sparkSession, cut)), "prefix")
-        .withColumn(name, (F.col("before") + count).cast("int"))
-        .drop("prefix", "segment_pos", "before", "cuts")
-    )
+    return keyed.join(lookup, "prefix").withColumn(name, (F.col("before") + count).cast("int")).drop("prefix", "segment_pos", "before", "cuts")
 
 
 def _prefix_lookup(spark: SparkSession, cut: Settled) -> DataFrame:
     """256 rows (prefix, before, cuts)."""
     prefixes = [f"{i:02x}" for i in range(256)]
-    if cut.rows is not None:
-        inside: dict[str, list] = {p: [] for p in prefixes}
-        for value in cut.rows.column("cut").to_pylist():
-            inside[value["h"][:2]].append(value)
-        sizes = [len(inside[p]) for p in prefixes]
-        before = [sum(sizes[:i]) for i in range(256)]
-        cuts = pa.array([inside[p] for p in prefixes], pa.list_(cut.rows.schema.field("cut").type))
-        return local_table(spark, pa.table({"prefix": prefixes, "before": pa.array(before, pa.int32()), "cuts": cuts})).df
-    found = cut.df.groupBy(F.substring(F.col("cut.h"), 1, 2).alias("prefix")).agg(F.collect_list("cut").alias("cuts"))
-    every = spark.range(0, 256, 1, 1).select(F.lower(F.lpad(F.hex("id"), 2, "0")).alias("prefix")).join(found, "prefix", "left")
-    cuts = F.coalesce("cuts", F.array().cast(found.schema["cuts"].dataType))
-    order = Window.partitionBy(F.lit(0)).orderBy("prefix")
-    return settle(every.withColumn("cuts", cuts).withColumn("before", (F.sum(F.size("cuts")).over(order) - F.size("cuts")).cast("int"))).df
+    inside: dict[str, list] = {p: [] for p in prefixes}
+    for value in cut.rows.column("cut").to_pylist():
+        inside[value["h"][:2]].append(value)
+    sizes = [len(inside[p]) for p in prefixes]
+    before = [sum(sizes[:i]) for i in range(256)]
+    cuts = pa.array([inside[p] for p in prefixes], pa.list_(cut.rows.schema.field("cut").type))
+    return local_table(spark, pa.table({"prefix": prefixes, "before": pa.array(before, pa.int64()), "cuts": cuts})).df
+
+
+def _long_lookup(spark: SparkSession, cut: Settled) -> tuple[DataFrame, int]:
+    """The same for many cutoffs, as a written table, and the length of its prefixes: about CUTS_EACH cutoffs per row.
+
+    A mark for each prefix is numbered among the cutoffs; its place less the marks before it is the number of cutoffs before it.
+    """
+    total, width = cut.df.count(), 2
+    while 16**width * CUTS_EACH < total:
+        width += 1
+    cuts = cut.df.select(F.substring("cut.h", 1, width).alias("prefix"), F.col("cut.h").alias("h"), F.lit(None).cast("long").alias("mark"))
+    marks = spark.range(16**width).select(F.lower(F.lpad(F.hex("id"), width, "0")).alias("prefix"), F.lit("").alias("h"), F.col("id").alias("mark"))
+    placed = numbered(cuts.unionByName(marks), [], [("prefix", "ascending"), ("h", "ascending")], "place").df
+    before = placed.where("mark is not null").select("prefix", (F.col("place") - F.col("mark")).alias("before"))
+    inside = cut.df.groupBy(F.substring("cut.h", 1, width).alias("prefix")).agg(F.collect_list("cut").alias("cuts"))
+    every = before.join(inside, "prefix", "left").withColumn("cuts", F.coalesce("cuts", F.array().cast(inside.schema["cuts"].dataType)))
+    path = scratch_dir(spark, "cuts")
+    every.write.parquet(path)
+    return spark.read.schema(every.schema).parquet(path).hint("shuffle_hash"), width
 
 
 def distributed_rank(df: DataFrame, by: list[str], key: list[str], seed: int, purpose: str, name: str = "rank") -> DataFrame:

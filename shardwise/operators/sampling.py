@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shardwise.functions.hashing import hash_order
-from shardwise.operators.ranking import at_or_before, cutoffs, distributed_rank, position_key, segment
+from shardwise.operators.ranking import at_or_before, cutoffs, distributed_rank, numbered, position_key, segment
 from shardwise.sources.scratch import Settled, settle
 
 PARTITION = "partition"
@@ -212,17 +212,12 @@ def sample_clients(
     clients: DataFrame, fraction: float, minimum: int, rounds: Sequence[int], seed: int, min_available: int = 2, purpose: str = "fit"
 ) -> DataFrame:
     """Clients taking part in each round: max(int(fraction * N), minimum), none if too few exist."""
-    order = Window.partitionBy("round").orderBy("digest", "client_id")
-    size = F.greatest(F.floor(F.lit(fraction) * F.col("available")), F.lit(minimum))
-    return (
-        clients.select("client_id")
-        .withColumn("round", F.explode(F.array(*[F.lit(r) for r in rounds])))
-        .withColumn("digest", hash_order(seed, purpose, "round", "client_id"))
-        .withColumn("available", F.count("*").over(Window.partitionBy("round")))
-        .withColumn("place", F.row_number().over(order))
-        .where((F.col("available") >= min_available) & (F.col("place") <= size))
-        .select("round", "client_id")
-    )
+    available = clients.count()
+    size = max(int(fraction * available), minimum) if available >= min_available else 0
+    drawn = clients.select("client_id").withColumn("round", F.explode(F.array(*[F.lit(r) for r in rounds])))
+    drawn = drawn.withColumn("digest", hash_order(seed, purpose, "round", "client_id"))
+    placed = numbered(drawn, ["round"], [("digest", "ascending"), ("client_id", "ascending")], "place")
+    return placed.df.where(F.col("place") < size).select("round", "client_id")
 
 
 def _hash_int(seed: int, purpose: str, *key: str) -> Column:

@@ -116,3 +116,27 @@ def test_client_sampling(spark):
 def test_unknown_balance_method(skewed):
     with pytest.raises(ValueError):
         sampling.balance(skewed, "smote", ["client_id"], "label", ["key"], 1.0, 1)
+
+
+def test_as_many_clients_as_rows_without_a_broadcast(spark, skewed, monkeypatch):
+    """900 rows to 900 clients: the same clients by longer prefixes and a shuffled join, and no broadcast of the cutoffs."""
+    from shardwise.operators import ranking
+
+    rows = skewed.select("key", "label")
+    known = {r["key"]: r["client_id"] for r in sampling.iid_partition(rows, ["key"], 900, 42).collect()}
+    assert sorted(known.values()) == list(range(900))
+    monkeypatch.setattr(ranking, "CUT_BYTES", 0)
+    monkeypatch.setattr(ranking, "CUTS_EACH", 1)
+    parts = sampling.iid_partition(rows, ["key"], 900, 42)
+    assert {r["key"]: r["client_id"] for r in parts.collect()} == known
+    plan = parts._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "CartesianProduct" not in plan
+
+
+def test_clients_of_a_round_are_chosen_without_a_window(spark):
+    clients = spark.range(40).selectExpr("cast(id as int) client_id")
+    chosen = sampling.sample_clients(clients, 0.3, 2, [1, 2, 3], 42)
+    assert {r["count"] for r in chosen.groupBy("round").count().collect()} == {12}
+    assert "Window" not in chosen._jdf.queryExecution().toString()
+    assert sampling.sample_clients(clients.limit(1), 0.3, 2, [1, 2], 42).count() == 0
+    assert sampling.sample_clients(clients.limit(0), 0.3, 2, [1], 42, 0).count() == 0
