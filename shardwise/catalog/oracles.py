@@ -396,6 +396,7 @@ SQL["hinge_epoch"] = epochs_sql("hinge", "l2")
 SQL["huber_epoch"] = epochs_sql("modified_huber", "l2")
 SQL["elastic_epoch"] = epochs_sql("log_loss", "elasticnet")
 SQL["whole_client_fit"] = SQL["logistic_epoch"]
+SQL["block_fit"] = SQL["logistic_epoch"]
 # One step per row: every client reads its next row in hash order, decays its weights, then moves.
 SQL["sequential_fit"] = with_(
     OBS, part(), TWO_FEATURES, START,

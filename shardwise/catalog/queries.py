@@ -341,6 +341,12 @@ def elastic_epoch(spark, sf_dir):
     return _epochs(spark, sf_dir, "log_loss", "elasticnet")
 
 
+@query
+def block_fit(spark, sf_dir):
+    """The same two logistic epochs with the parameters of all clients as a table of blocks."""
+    return _epochs(spark, sf_dir, "log_loss", "l2", form="blocks")
+
+
 @query
 def whole_client_fit(spark, sf_dir):
     """The same two logistic epochs, trained whole inside the client's task."""

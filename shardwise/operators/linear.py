@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from shardwise.functions.hashing import hash_order, normal
 from shardwise.functions.linear import UNROLL, decision, penalty_parts, residual, stepped_weight
-from shardwise.sources.scratch import Settled, local_table, settle
+from shardwise.sources.scratch import Settled, local_table, scratch_dir, settle
 from shardwise.sources.state import PARAMS_SCHEMA
 
 # Values (rows x features) of the largest client that one task may hold.
@@ -25,8 +25,11 @@ TASK_VALUES = 10_000_000
 # Weights of all clients together that are sent to every task.
 MODEL_VALUES = 4_000_000
 
-# Clients whose parameters the driver holds between rounds.
+# Clients whose parameters the driver holds between rounds, and their weights together; beyond, parameters are a table of
+# blocks of BLOCK_WEIGHTS.
 CLIENT_ROWS = 50_000
+DRIVER_WEIGHTS = 16_000_000
+BLOCK_WEIGHTS = 4_096
 
 
 @dataclass(frozen=True)
@@ -154,11 +157,14 @@ def local_fit(
 ) -> DataFrame:
     """Fit every client of `train` (client_id, label, x) from the given weights; the result is a params table.
 
-    `form` is "whole" (one job per call), "epochs" (one job per epoch) or "auto" by client size.
-    Both give the same weights. `step` overrides the step 1/L.
+    `form` is "whole" (one job per call), "epochs" (one job per epoch), "blocks" (likewise, the weights of all clients in a
+    table of blocks that never reaches the driver) or "auto" by size. All give the same weights. `step` overrides the step 1/L.
     """
     epochs = made.epochs if epochs is None else epochs
-    begin = starting_state(stats or settle(client_stats(train, made), limit=CLIENT_ROWS), params)
+    stats = stats or settle(client_stats(train, made), limit=CLIENT_ROWS)
+    if form == "blocks" or (form == "auto" and _weights(stats, params) > DRIVER_WEIGHTS):
+        return _fit_by_block(train, stats.df, params.df if isinstance(params, Settled) else params, made, epochs, step, round_no)
+    begin = starting_state(stats, params)
     width = _width(begin)
     if form == "auto":
         form = "whole" if fits_tasks(begin, width) else "epochs"
@@ -167,6 +173,21 @@ def local_fit(
     return _fit_by_epoch(train, begin, made, epochs, width, step, round_no)
 
 
+def _weights(stats: Settled, params: DataFrame | Settled) -> int:
+    """Weights of all clients together."""
+    if isinstance(params, Settled) and params.rows is not None:
+        width = _width(params)
+    else:
+        first = (params.df if isinstance(params, Settled) else params).select(F.size("coef").alias("width")).first()
+        width = first["width"] if first else 0
+    return (stats.rows.num_rows if stats.rows is not None else stats.df.count()) * (width + 1)
+
+
+def client_limit(width: int) -> int:
+    """Clients whose parameters may come to the driver."""
+    return max(1, min(CLIENT_ROWS, DRIVER_WEIGHTS // (width + 1)))
+
+
 def fits_tasks(stats: Settled, width: int) -> bool:
     """Whether the largest client fits one task and all weights fit every task."""
     if stats.rows is None:
@@ -256,6 +277,90 @@ def _fit_by_epoch(
     )
 
 
+def _blocks_of(params: DataFrame, size: int) -> DataFrame:
+    """Parameter rows to (client_id, block, w); block -1 is the intercept."""
+    count = F.ceil(F.size("coef") / size).cast("int")
+    weights = F.transform(F.sequence(F.lit(0), count - 1), lambda b: F.struct(b.alias("block"), F.slice("coef", b * size + 1, F.lit(size)).alias("w")))
+    bias = F.array(F.struct(F.lit(-1).alias("block"), F.array(F.coalesce("intercept", F.lit(0.0))).alias("w")))
+    return params.select("client_id", F.explode(F.concat(weights, bias)).alias("p")).select("client_id", "p.block", "p.w")
+
+
+def _stored(df: DataFrame, name: str) -> DataFrame:
+    path = scratch_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _fit_by_block(train: DataFrame, stats: DataFrame, params: DataFrame, made: Learner, epochs: int, fixed_step: float | None, round_no: int | None) -> DataFrame:
+    """One job per epoch with parameters keyed by (client, block of features).
+
+    A client's rows are dealt to parts that fit a task, once. In each epoch a part meets its client's blocks, a whole model of
+    one client, and gives a gradient per block; gradients are added and weights moved block by block, all as tables.
+    """
+    if fixed_step is not None:
+        stats = stats.withColumn("step", F.lit(float(fixed_step)))
+    width = F.size("x") + 1
+    parts = F.ceil(F.col("n") * width / F.lit(float(TASK_VALUES))).cast("int")
+    dealt = train.select("client_id", "label", F.col("x").cast("array<double>").alias("x")).join(stats.select("client_id", "n"), "client_id")
+    rows = _stored(dealt.select("client_id", F.floor(F.rand(0) * parts).cast("int").alias("part"), parts.alias("parts"), "label", "x"), "block-rows")
+    sizes = _stored(rows.groupBy("client_id").agg(F.max("parts").alias("parts")), "block-parts")
+    shared = params.where("client_id is null").orderBy(F.desc("round")).limit(1).drop("client_id")
+    own = params.where("client_id is not null").select("client_id", F.struct("coef", "intercept").alias("own"))
+    known = stats.join(own, "client_id", "left").withColumn("all", F.lit(1))
+    begin = known.join(F.broadcast(shared.select(F.lit(1).alias("all"), F.struct("coef", "intercept").alias("shared"))), "all", "left")  # one row
+    begin = begin.select("client_id", F.coalesce("own", "shared").alias("p")).select("client_id", "p.*").where("coef is not null")
+    weights = _stored(_blocks_of(begin, BLOCK_WEIGHTS), "block-weights")
+    going = _stored(stats.where("status = 'ok'").select("client_id", F.lit(False).alias("done")), "block-going")
+    slope, fit_intercept = _slope(made.loss), made.fit_intercept
+
+    def gradient(key: tuple, part: pa.Table, blocks: pa.Table) -> pa.Table:
+        kinds = [pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.float64())]
+        names = ["client_id", "part", "block", "g"]
+        if not part.num_rows or not blocks.num_rows:
+            return pa.table([pa.array([], k) for k in kinds], names)
+        held = {b: np.array(w) for b, w in zip(blocks.column("block").to_pylist(), blocks.column("w").to_pylist(), strict=True)}
+        b, order = float(held.pop(-1)[0]), sorted(held)
+        w = np.concatenate([held[k] for k in order])
+        y = part.column("label").to_numpy().astype(float)
+        x = part.column("x").combine_chunks().flatten().to_numpy().reshape(len(y), -1)
+        c0, c1 = (blocks.column(c)[0].as_py() for c in ("c0", "c1"))
+        r = slope(y, x @ w + b) * np.where(y == 1, c1, c0)
+        g = np.split(r @ x, np.cumsum([len(held[k]) for k in order])[:-1])
+        out = [(k, v.tolist()) for k, v in zip(order, g, strict=True)] + [(-1, [float(r.sum()) if fit_intercept else 0.0])]
+        client, number = key[0].as_py(), key[1].as_py()
+        return pa.table([pa.array([client] * len(out), kinds[0]), pa.array([number] * len(out), kinds[1]), pa.array([k for k, _ in out], kinds[2]), pa.array([v for _, v in out], kinds[3])], names)
+
+    n, step, strength = F.col("n").cast("double"), F.col("step"), F.col("strength")
+    bias = F.col("block") == -1
+    moved_weight = lambda w, g: F.when(bias, w - step * g / n).otherwise(stepped_weight(w, g / n, step, strength, made.penalty, made.l1_ratio))
+    for _ in range(epochs):
+        active = going.where("not done").select("client_id")
+        if active.isEmpty():
+            break
+        models = weights.join(active, "client_id").join(stats.select("client_id", "c0", "c1"), "client_id").join(sizes, "client_id")
+        models = models.select("client_id", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "block", "w", "c0", "c1")
+        pieces = rows.groupBy("client_id", "part").cogroup(models.groupBy("client_id", "part")).applyInArrow(gradient, "client_id int, part int, block int, g array<double>")
+        # As many pieces as a client has parts, in their order.
+        listed = pieces.groupBy("client_id", "block").agg(F.transform(F.sort_array(F.collect_list(F.struct("part", "g"))), lambda p: p["g"]).alias("gs"))
+        added = F.aggregate(F.slice("gs", F.lit(2), F.size("gs")), F.get("gs", F.lit(0)), lambda a, g: F.zip_with(a, g, lambda u, v: u + v))
+        moved = weights.join(listed.select("client_id", "block", added.alias("g")), ["client_id", "block"]).join(stats, "client_id")
+        moved = moved.withColumn("new", F.zip_with("w", "g", moved_weight))
+        change, largest = F.array_max(F.zip_with("w", "new", lambda a, b: F.abs(b - a))), F.array_max(F.transform("new", F.abs))
+        taken = _stored(moved.select("client_id", "block", "new", change.alias("moved"), largest.alias("size")), "block-moved")
+        stop = F.max("moved") <= F.lit(made.tol) * F.max("size") if made.tol is not None else F.lit(False) & (F.max("moved") > 0)
+        ended = taken.groupBy("client_id").agg(stop.alias("stop"))
+        weights = _stored(weights.join(taken.select("client_id", "block", "new"), ["client_id", "block"], "left").select("client_id", "block", F.coalesce("new", "w").alias("w")), "block-weights")
+        going = _stored(going.join(ended, "client_id", "left").select("client_id", (F.col("done") | F.coalesce("stop", F.lit(False))).alias("done")), "block-going")
+    whole = weights.groupBy("client_id").agg(F.sort_array(F.collect_list(F.struct("block", "w"))).alias("b"))
+    whole = whole.select("client_id", F.flatten(F.transform(F.slice("b", F.lit(2), F.size("b")), lambda e: e["w"])).alias("coef"), F.get(F.col("b")[0]["w"], F.lit(0)).alias("intercept"))
+    finite = F.forall("coef", lambda w: ~F.isnan(w) & (F.abs(w) < float("inf"))) & ~F.isnan("intercept")
+    return whole.join(stats, "client_id").select(
+        F.lit(round_no).cast("int").alias("round"), "client_id", F.col("n").alias("n_examples"),
+        F.when((F.col("status") == "ok") & finite, "ok").otherwise("failed").alias("status"), "coef",
+        (F.col("intercept") if made.fit_intercept else F.lit(None).cast("double")).alias("intercept"),
+    )
+
+
 def _active(state: Settled) -> Settled | None:
     """Clients that still train; None when all are done."""
     going = state.df.where((F.col("status") == "ok") & ~F.col("done"))

@@ -12,7 +12,7 @@ from shardwise.config import LOG_METRICS, LinearConfig
 from shardwise.functions.schedules import epochs_in_round
 from shardwise.operators.aggregate import aggregate_metrics, fedavg
 from shardwise.operators.evaluate import TALLY_SCHEMA, central_names, client_tallies, merge_tallies, metrics_from
-from shardwise.operators.linear import CLIENT_ROWS, client_stats, fits_tasks, initial_params, learner, local_fit
+from shardwise.operators.linear import CLIENT_ROWS, client_limit, client_stats, fits_tasks, initial_params, learner, local_fit
 from shardwise.operators.sampling import balanced_split, iid_partition, partition_bounds, sample_clients
 from shardwise.operators.scaling import apply_scaler, fit_scaler
 from shardwise.operators.sgd import local_sgd
@@ -131,7 +131,7 @@ def run_linear(
                     local = local_sgd(part, model, made, _keys(stored, key), cfg.seed, epochs, mine, schedule, round_no)
                 else:
                     local = local_fit(part, model, made, epochs, mine, step=hook.get("step", step), round_no=round_no)
-                merged = settle(fedavg(settle(local, limit=CLIENT_ROWS).df, accept_failures=cfg.accept_failures))
+                merged = settle(fedavg(settle(local, limit=client_limit(len(features))).df, accept_failures=cfg.accept_failures))
                 # Without a usable client the previous model goes on.
                 model = merged if merged.records() else model
             history.extend({**row, "round": round_no} for row in model.records())
