@@ -412,6 +412,7 @@ SQL["sequential_fit"] = with_(
     JOIN queued q ON q.client_id = s.client_id AND q.place = s.done + 1)"""),
 ) + f"""SELECT client_id, n AS n_examples, 'ok' AS status, {r6('w0')} AS w0, {r6('w1')} AS w1, {r6('b')} AS intercept
 FROM sgd JOIN (SELECT client_id, count(*) AS n FROM two GROUP BY client_id) USING (client_id) WHERE done = 2 * n"""
+SQL["sequential_fit_chunked"] = SQL["sequential_fit"]
 SQL["initial_model"] = with_(LONG_VECTORS) + f"""SELECT vec_id, {r6(f"sum(v * {draw('i')}) + any_value({draw('64')})")} AS decision FROM long_v GROUP BY vec_id"""
 # From zero weights every probability is 1/2, so one epoch has a closed form.
 SQL["wide_epoch"] = with_(

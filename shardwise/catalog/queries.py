@@ -379,6 +379,14 @@ def sequential_fit(spark, sf_dir):
     return _flat_params(fitted, 2)
 
 
+@query
+def sequential_fit_chunked(spark, sf_dir):
+    """The same descent relayed through chunks of a quarter of a client and less."""
+    rows, made = _two_features(spark, sf_dir), learner("hinge", "l2", 2, tol=None)
+    quarter = max(2, rows.count() // (4 * CLIENTS))
+    return _flat_params(local_sgd(rows, initial_params(spark, 2, SEED), made, [KEY], SEED, chunk_values=3 * quarter), 2)
+
+
 def _rounds_of_events(spark, sf_dir) -> DataFrame:
     """Events counted per round, where the round is the hour of the event."""
     return events(spark, sf_dir).groupBy((F.col("hour").cast("int") + 1).alias("round")).agg(F.count("*").alias("rows"))

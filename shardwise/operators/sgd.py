@@ -19,7 +19,7 @@ from shardwise.functions.hashing import hash_order
 from shardwise.functions.linear import penalty_parts
 from shardwise.functions.schedules import ETA_DECAY, ETA_START
 from shardwise.operators.linear import CLIENT_ROWS, Learner, client_stats, starting_state
-from shardwise.operators.ranking import distributed_rank
+from shardwise.operators.ranking import cutoffs, position_key
 from shardwise.sources.scratch import Settled, scratch_dir, settle
 from shardwise.sources.state import PARAMS_SCHEMA
 
@@ -90,14 +90,30 @@ def _order_columns(key: list[str], seed: int) -> list[Column]:
     return [hash_order(seed, ORDER, *key).alias("order_0"), *[F.col(k).alias(f"order_{i}") for i, k in enumerate(key, 1)]]
 
 
+def chunk_numbers(train: DataFrame, key: list[str], seed: int, chunk_rows: int, most: int) -> DataFrame:
+    """Add `chunk`: how many of the client's cutoffs, one every `chunk_rows` ranks of its order, lie before the row.
+
+    Counting the cutoffs reads keys only, and a row finds its chunk where it is: no exchange of rows.
+    """
+
+    def ranks(sizes: DataFrame) -> DataFrame:
+        some = sizes.where(F.col("n") > chunk_rows)
+        return some.select("client_id", F.explode(F.sequence(F.lit(chunk_rows).cast("long"), F.col("n") - 1, F.lit(chunk_rows).cast("long"))).alias("r"))
+
+    found = cutoffs(train.select("client_id", *key), ["client_id"], key, seed, ORDER, ranks, most)
+    lists = found.df.groupBy("client_id").agg(F.collect_list("cut").alias("cuts"))
+    joined = train.join(F.broadcast(lists) if found.small else lists, "client_id", "left")
+    before = F.size(F.filter("cuts", lambda c: c < position_key(seed, ORDER, key)))
+    return joined.withColumn("chunk", F.when(F.col("cuts").isNull(), 0).otherwise(before).cast("int")).drop("cuts")
+
+
 def _chunked(train, state, made, step, epochs, key, seed, chunk_rows, largest) -> DataFrame:
-    ranked = distributed_rank(train.select("client_id", "label", "x", *key), ["client_id"], key, seed, ORDER)
-    chunk = F.floor((F.col("rank") - 1) / F.lit(chunk_rows)).cast("int")
+    last = -(-largest // chunk_rows)
+    numbered_rows = chunk_numbers(train.select("client_id", "label", "x", *key), key, seed, chunk_rows, last)
     path = scratch_dir(train.sparkSession, "sgd")
-    placed = ranked.select("client_id", "label", "x", *_order_columns(key, seed), chunk.alias("chunk"))
+    placed = numbered_rows.select("client_id", "label", "x", *_order_columns(key, seed), "chunk")
     placed.repartition("chunk", "client_id").write.partitionBy("chunk").parquet(path)
     chunks = train.sparkSession.read.schema(placed.schema).parquet(path)
-    last = -(-largest // chunk_rows)
     for _ in range(epochs):
         for c in range(last):
             # Only clients that reach this chunk take part; the others keep their state.
