@@ -141,5 +141,7 @@ def score_quality(docs: DataFrame, model: QualityModel, id_col: str = "doc_id",
     if keep is None:
         out = docs.select(F.col(id_col).cast("long").alias("doc_id"), value.alias("score"))
         return out.withColumn("predicted", (F.col("score") >= accept).cast("int"))
-    rows = docs.select(F.struct(*keep).alias("row"), value.alias("score")).where(F.col("score") >= accept)
-    return rows.select("row.*")
+    name = "quality_score"
+    while name in {c.lower() for c in docs.columns}:
+        name += "_"
+    return docs.select(*keep, value.alias(name)).where(F.col(name) >= accept).select(*keep)
