@@ -16,6 +16,8 @@ import numpy as np
 
 #: Entries a worker remembers before it forgets all: bounds its memory, never its results.
 REMEMBERED = 400_000
+#: Characters whose parts are held together; a longer text is held alone.
+AT_ONCE = 1 << 20
 
 # Both begin with the space itself, which is searched fast.
 _AWKWARD = re.compile(r" (?:\s|(?<=\s ))")
@@ -46,6 +48,16 @@ class Remembering:
         self.first: dict[str, bytes] = {}  # parts that open a text
 
     def texts(self, texts: list[str]) -> list[bytes]:
+        """Some characters' worth of texts at a time: their parts are far larger than the texts themselves."""
+        out, begin, size = [], 0, 0
+        for i, t in enumerate(texts):
+            size += len(t)
+            if size >= AT_ONCE:
+                out += self._some(texts[begin : i + 1])
+                begin, size = i + 1, 0
+        return out + self._some(texts[begin:])
+
+    def _some(self, texts: list[str]) -> list[bytes]:
         inner, first = self.inner, self.first
         parts = [cut(t) for t in texts]
         new = set().union(*parts) - inner.keys() if parts else set()
