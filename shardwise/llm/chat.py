@@ -120,9 +120,9 @@ def format_tree(conversations: DataFrame, vocabulary_path: str, pattern: str, st
     Rows are ordered by turn, then role and text. Null role or text counts as empty; each row without
     conv_id is a conversation of its own. A conversation is one sequence and must fit a task. Equal conversations share a last node.
     """
-    turns = written(_turns(conversations), "chat-turns")
+    turns = written(_turns(conversations), "chat-turns", "zstd")
     texts = turns.groupBy("node").agg(*[F.any_value(c).alias(c) for c in ("parent", "depth", "role", "text")])
-    nodes = written(_encoded(texts, vocabulary_path, pattern), "chat-nodes")
+    nodes = written(_encoded(texts, vocabulary_path, pattern), "chat-nodes", "zstd")
     narrow = turns.select("conv_id", "depth", "node", "below")
     split = narrow.groupBy("node").agg((F.sum("below") > stream_turns).alias("split"))
     steps = narrow.join(nodes.select("node", "length").join(split, "node"), "node").select("conv_id", F.struct("depth", "node", "length", "split").alias("step"))
@@ -138,7 +138,7 @@ def format_tree(conversations: DataFrame, vocabulary_path: str, pattern: str, st
     placed = placed.select(F.col("step.node").alias("node"), F.when(F.col("step.split"), F.col("step.node")).otherwise(inner).alias("stream"), head.alias("above"), position.alias("position"))
     streams = placed.groupBy("node").agg(*[F.any_value(c).alias(c) for c in ("stream", "above", "position")])
     schema = "stream binary, node binary, parent binary, depth int, start long, end long, position long, tokens binary, loss_start long, loss_end long, attends array<struct<stream:binary,start:long,end:long>>"
-    segments = written(sorted_groups(nodes.join(streams, "node"), ["stream"], _emit, schema), "chat-segments")
+    segments = written(sorted_groups(nodes.join(streams, "node"), ["stream"], _emit, schema), "chat-segments", "zstd")
     release(nodes)
     return segments, turns.select("conv_id", "depth", "node")
 
