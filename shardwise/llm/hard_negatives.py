@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from shardwise.llm.cover_search import EXACT, largest_score
 from shardwise.llm.store import release, written
 
 #: Vectors in one columnar block: between these, with about PARTS blocks between the two.
@@ -18,13 +19,10 @@ FEWEST, MOST, PARTS = 2_048, 262_144, 256
 ANCHORS = 128
 #: Shares of the dimensions after which candidates are ruled out.
 STOPS = (0.125, 0.25, 0.5, 0.75)
-#: Doubles add up whole numbers exactly below this.
-EXACT = 2.0**52
-_KEYS = "vec_id long, label long, mark long, dim int, x array<long>, anchor boolean"
 
 
 def integers(vectors: DataFrame, anchor, id_col: str, vector_col: str, label_col: str, scale: int) -> DataFrame:
-    """Rows of _KEYS, x = floor(scale * component), for labelled vectors of finite components only; repeated rows once."""
+    """Rows (vec_id, label, mark, dim, x, anchor), x = floor(scale * component), for labelled vectors of finite components only; repeated rows once."""
     v = F.col(vector_col).cast("array<double>")
     sound = F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
     large = float(2**62)
@@ -183,19 +181,18 @@ def hard_negatives(
     and negatives each for themselves. Vectors of other dimension never meet. Anchors without positive give no row, as does an empty table.
     """
     rows = written(integers(vectors, F.lit(True) if anchor is None else anchor, id_col, vector_col, label_col, scale), "negatives-rows")
-    peak = rows.select("dim", F.posexplode("x").alias("i", "c")).groupBy("dim", "i").agg(F.max(F.abs(F.col("c").cast("double"))).alias("c"))
-    total, most = peak.groupBy("dim").agg(F.sum(F.col("c") * F.col("c")).alias("s")).agg(F.max("s"), F.count("*")).first()
-    if (total or 0.0) >= 2.0**62:
+    total, _ = largest_score(rows)  # also bounds every sum of some of a score's terms
+    if total >= 2.0**62:
         raise ValueError("components are too large: a score may not fit 64 bits")
-    exact = (total or 0.0) < EXACT
+    exact, dims = total < EXACT, rows.select("dim").distinct().count()
     size = block_rows or int(min(MOST, max(FEWEST, rows.count() // PARTS)))
-    parts = max(1, -(-rows.count() // size)) + (most or 0)
+    parts = max(1, -(-rows.count() // size)) + dims
     sorted_rows = rows.repartitionByRange(parts, "dim", "label", "mark").sortWithinPartitions("dim", "label")
     pack = lambda t: pickle.dumps({"vec_id": np.array(t["vec_id"], np.int64), "label": np.array(t["label"], np.int64), "x": _matrix(t["x"])}, protocol=5)
     blocks = written(_packed(sorted_rows, size, ["vec_id", "label"], pack).withColumn("number", F.monotonically_increasing_id()), "negatives-blocks")
     asking = rows.where("anchor").drop("anchor")
     keyed = lambda t: pickle.dumps({k: t[k] for k in t if k != "x"} | {"x": _matrix(t["x"])}, protocol=5)
-    first = _packed(asking.repartition("dim").sortWithinPartitions("dim") if (most or 0) > 1 else asking, ANCHORS, ["vec_id", "label", "mark"], keyed)
+    first = _packed(asking.repartition("dim").sortWithinPartitions("dim") if dims > 1 else asking, ANCHORS, ["vec_id", "label", "mark"], keyed)
 
     def friends(block: Columns, t: dict) -> Iterator[tuple]:
         held = set(np.unique(block.labels).tolist())
@@ -209,7 +206,7 @@ def hard_negatives(
     ranked = found.withColumn("positive_rank", F.row_number().over(order)).where(F.col("positive_rank") <= positives)
     near = written(ranked.groupBy("vec_id", "mark").agg(F.sort_array(F.collect_list(F.struct("positive_rank", "positive_id", "positive_score"))).alias("near")), "negatives-positives")
     again = asking.join(near.select("vec_id", "mark", F.col("near.positive_score").alias("scores")), ["vec_id", "mark"])
-    second = _packed(again.repartition("dim").sortWithinPartitions("dim") if (most or 0) > 1 else again, ANCHORS, ["vec_id", "label", "mark", "scores"], keyed)
+    second = _packed(again.repartition("dim").sortWithinPartitions("dim") if dims > 1 else again, ANCHORS, ["vec_id", "label", "mark", "scores"], keyed)
 
     def foes(block: Columns, t: dict) -> Iterator[tuple]:
         for i, (vec_id, label, mark, scores) in enumerate(zip(t["vec_id"], t["label"], t["mark"], t["scores"], strict=True)):
