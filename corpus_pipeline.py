@@ -35,7 +35,10 @@ def _rewritten(docs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score at least 0.3; a table without usable labels scores all 0.5."""
+    """Documents that score at least 0.3; a table without usable labels scores all 0.5.
+
+    Null, empty and very long texts, null ids, ties and repeated rows are scored and kept or dropped like any other row.
+    """
     model = quality.fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality.score_quality(docs, model, keep=docs.columns)
 
@@ -63,7 +66,11 @@ def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of token ids with the training sequence and offset each goes to."""
+    """Pieces of token ids with the training sequence and offset each goes to.
+
+    A null or empty text is one piece of the end id; very long ones give several; rows that share or lack an id, and repeated
+    rows, are packed each for themselves.
+    """
     pieces = packing.tokenized_pieces(docs, VOCABULARY, public_tokenizers.PATTERN)
     return packing.best_fit_packing(pieces.withColumn("ids_crc32", F.crc32("ids")))
 
@@ -81,7 +88,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents table; each stage's rows are written and read again by the next."""
+    """All stages over the documents table; each stage's rows are written and read again by the next.
+
+    Every column comes through up to the last stage, whatever its name. Nulls, empty and very long texts, ties and repeated
+    rows are as each stage says; an empty table gives no row.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")

@@ -88,7 +88,12 @@ def document_encoder(vocabulary_path: str, pattern: str) -> Callable[[list[str]]
 
 
 def tokenized_pieces(docs: DataFrame, vocabulary_path: str, pattern: str, tokens: int = SEQUENCE_TOKENS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (doc_id, piece, start, length, ids): each document's ids and the end id, cut only if longer than a sequence."""
+    """Rows (doc_id, piece, start, length, ids): each document's ids and the end id, cut only if longer than a sequence.
+
+    Null and empty texts are the end id alone. Very long texts are encoded whole and give as many pieces as they need, the
+    first of them shorter. Null ids, rows that share an id and repeated rows each have pieces of their own. An empty table
+    gives none; other columns are left out.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = worker_store(f"pack-documents:{vocabulary_path}:{pattern}", lambda: document_encoder(vocabulary_path, pattern))
@@ -215,7 +220,3 @@ def best_fit_packing(pieces: DataFrame, tokens: int = SEQUENCE_TOKENS) -> DataFr
 
     placed = ranked.withColumn("place", place("length", F.col("rank_base") + F.col("rank_in_group")))
     return placed.select(*[c for c in pieces.columns if c != "rank_group"], "place.sequence_id", "place.offset")
-
-
-def crc32_of_ids(pieces: DataFrame) -> DataFrame:
-    return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")

@@ -100,6 +100,9 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     driver (4 * SAMPLE_ROWS at most, should ids repeat).
     Half of them become the two dictionaries, the other half calibrates the score (a rising curve), both
     classes weighing alike: the junk to be found is the rarer one. Rows without id or label take no part. Without any label the score is 0.5.
+    Empty and null texts and those beyond SAMPLE_BYTES are never in the sample, though all are scored. Of equal hashes the
+    smaller id is picked; a label that is repeated counts once, an id with both labels is in both classes; texts that share
+    an id are all taken. Where too little text is left for a dictionary of its own, the text itself is the dictionary.
     """
     known = labels.select(F.col(id_col).cast("long").alias("label_id"), F.col(label_col).cast("int").alias("label")).where("label in (0, 1) and label_id is not null")
     known = known.where(~held_out("label_id")).distinct()
