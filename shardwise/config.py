@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+from pyspark.sql import DataFrame
+
 # Metric names and their order in every log and report.
 METRICS = ("accuracy", "precision", "recall", "f1_score", "false_positive_rate", "false_negative_rate")
 LOG_METRICS = ("loss", *METRICS)
@@ -43,6 +45,10 @@ class LinearConfig:
     accept_failures: bool = True
     on_incomplete: str = "fail"
     on_round: Callable[[int], dict] | None = field(default=None, compare=False)
+    #: (test rows of the central clients, global models with the starting one as round 0) to a table with a round column.
+    central_fn: Callable[[DataFrame, DataFrame], DataFrame] | None = field(default=None, compare=False)
+    #: (metrics per client and round) to a table with a round column.
+    aggregate_fn: Callable[[DataFrame], DataFrame] | None = field(default=None, compare=False)
 
     @classmethod
     def svm(cls, **changes) -> "LinearConfig":

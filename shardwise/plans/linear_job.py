@@ -25,7 +25,7 @@ from shardwise.sources.state import PARAMS_SCHEMA, read_params, write_params
 
 @dataclass(frozen=True)
 class LinearRun:
-    """What a run leaves behind, all as tables.
+    """What a run leaves behind, all as tables. The central metrics begin with the starting model, as round 0.
 
     failures: client_id, reason of every client that has not trained. incomplete: rows, incomplete; counted when read.
     """
@@ -115,7 +115,9 @@ def run_linear(
             done = committed_round(spark, out_dir, identity)
         elif out_dir:
             begin_run(spark, out_dir, identity)
-        history = []
+        history, begin = [], settle(model.df.withColumn("round", F.lit(0)).select(*PARAMS_SCHEMA.names))
+        if out_dir and not done:
+            write_round(client_tallies(test, begin, cfg.loss), f"{out_dir}/tallies", 0)
         if done:  # a row of weights per finished round
             history = sorted((r.asDict() for r in read_params(spark, f"{out_dir}/params").where(F.col("round") <= done).collect()), key=lambda r: r["round"])
             model = settle(spark.createDataFrame(history[-1:], PARAMS_SCHEMA))
@@ -138,11 +140,12 @@ def run_linear(
             if out_dir:
                 write_params(model.df, f"{out_dir}/params", round_no)
                 write_round(client_tallies(test, settle(model.df.withColumn("round", F.lit(round_no))), cfg.loss), f"{out_dir}/tallies", round_no)
-                _, by_round, central = _metrics(read_rounds(spark, f"{out_dir}/tallies", TALLY_SCHEMA, round_no), plan.df, cfg)
+                models = begin.df.unionByName(spark.createDataFrame(history, PARAMS_SCHEMA))
+                _, by_round, central = _metrics(read_rounds(spark, f"{out_dir}/tallies", TALLY_SCHEMA, round_no), test, models, plan.df, cfg)
                 write_round_log(by_round, f"{out_dir}/log")
                 write_round_log_central(central, out_dir)
                 commit_round(spark, out_dir, identity, round_no)
-        run = _evaluated(history, test, plan.df, cfg, out_dir)
+        run = _evaluated(history, begin.df, test, plan.df, cfg, out_dir)
         return LinearRun(*run, _failures(stats.df, cfg), incomplete_vectors(df, features, key, label, dtype))
     finally:
         train.unpersist()
@@ -168,23 +171,29 @@ def _keys(stored: DataFrame, key: str) -> list[str]:
     return [c for c in (key, "copy") if c in stored.columns]
 
 
-def _evaluated(history: list[dict], test: DataFrame, plan: DataFrame, cfg: LinearConfig, out_dir: str | None) -> tuple[DataFrame, ...]:
+def _evaluated(history: list[dict], begin: DataFrame, test: DataFrame, plan: DataFrame, cfg: LinearConfig, out_dir: str | None) -> tuple[DataFrame, ...]:
     # One global model per round: rounds x (features + 1) numbers.
     spark = test.sparkSession
-    params = settle(spark.createDataFrame(history, PARAMS_SCHEMA))
+    params = settle(spark.createDataFrame(history, PARAMS_SCHEMA)).df
+    models = settle(begin.unionByName(params))
     if out_dir:
         tallies = read_rounds(spark, f"{out_dir}/tallies", TALLY_SCHEMA, cfg.rounds)
     else:
-        tallies = settle(client_tallies(test, params, cfg.loss), limit=1_000_000).df
-    return params.df, *_metrics(tallies, plan, cfg)
+        tallies = settle(client_tallies(test, models, cfg.loss), limit=1_000_000).df
+    return params, *_metrics(tallies, test, models.df, plan, cfg)
 
 
-def _metrics(tallies: DataFrame, plan: DataFrame, cfg: LinearConfig) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Metrics per client and round, per round, and of the central clients per round."""
+def _metrics(tallies: DataFrame, test: DataFrame, models: DataFrame, plan: DataFrame, cfg: LinearConfig) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Metrics per client and round, per round, and of the central clients per round, there with the starting model as round 0."""
     asked = plan.where(F.col("purpose") == "evaluate").drop("purpose")
     clients = metrics_from(tallies.join(asked, ["round", "client_id"], "left_semi"), ["round", "client_id"])
-    central = metrics_from(merge_tallies(tallies.where(F.col("client_id").isin(*cfg.central_clients)), ["round"]), ["round"])
-    return clients, settle(aggregate_metrics(clients, LOG_METRICS)).df, central_names(central)
+    by_round = cfg.aggregate_fn(clients) if cfg.aggregate_fn else aggregate_metrics(clients, LOG_METRICS)
+    near = F.col("client_id").isin(*cfg.central_clients)
+    if cfg.central_fn:
+        central = cfg.central_fn(test.where(near), models)
+    else:
+        central = central_names(metrics_from(merge_tallies(tallies.where(near), ["round"]), ["round"]))
+    return clients, settle(by_round).df, central
 
 
 def _failures(stats: DataFrame, cfg: LinearConfig) -> DataFrame:

@@ -18,8 +18,8 @@ _SCHEMA = StructType().add("run_key", "string").add("round", "integer")
 
 
 def run_key(cfg: object, **parts) -> str:
-    """Everything that shapes a round's result; how many rounds there are and the hook are left out."""
-    named = {f.name: getattr(cfg, f.name) for f in fields(cfg) if f.name not in ("rounds", "on_round")} | parts
+    """Everything that shapes a round's result; how many rounds there are and the hooks are left out."""
+    named = {f.name: getattr(cfg, f.name) for f in fields(cfg) if f.compare and f.name != "rounds"} | parts
     return "|".join(f"{k}={named[k]}" for k in sorted(named))
 
 
@@ -53,5 +53,5 @@ def write_round(df: DataFrame, path: str, round_no: int) -> None:
 
 
 def read_rounds(spark: SparkSession, path: str, schema: StructType, last: int) -> DataFrame:
-    """The rows of rounds 1 to `last`."""
-    return spark.read.schema(schema).parquet(path).where(F.col("round").between(1, last)).select(*schema.names)
+    """The rows of the rounds up to `last`."""
+    return spark.read.schema(schema).parquet(path).where(F.col("round") <= last).select(*schema.names)

