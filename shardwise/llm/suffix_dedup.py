@@ -168,7 +168,7 @@ def refine(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, depth: int) -
     gram = np.zeros(len(live), np.uint64)
     for i in range(have):
         gram = gram << np.uint64(8) | data[live + i].astype(np.uint64)
-    order = np.argsort(gram, kind="stable")
+    order = np.argsort(gram)
     new = np.ones(len(order), bool)
     new[1:] = gram[order][1:] != gram[order][:-1]
     pointer[live[order]] = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
@@ -178,7 +178,8 @@ def refine(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, depth: int) -
         members = np.bincount(pointer[live], minlength=len(data) + 1)
         active = live[members[pointer[live]] > 1]
         own, later = pointer[active], pointer[active + on]
-        order = np.lexsort((later, own))
+        # Pointers are places in `data`, far below 2**31: both fit one number, which is sorted faster than two.
+        order = np.argsort(own << np.int64(32) | later)
         own, later = own[order], later[order]
         bucket = np.ones(len(order), bool)
         bucket[1:] = own[1:] != own[:-1]
@@ -204,6 +205,15 @@ def _slices(keys: np.ndarray, sizes: np.ndarray) -> Iterator[slice]:
         yield slice(begin, len(keys))
 
 
+def distinct_texts(data: bytes, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the strings between neighbouring bounds: the first of each distinct one, and for every string its place among these."""
+    seen: dict[bytes, int] = {}
+    at = bounds.tolist()
+    place = np.fromiter((seen.setdefault(data[a:b], len(seen)) for a, b in zip(at, at[1:], strict=False)), np.int64, len(at) - 1)
+    _, first = np.unique(place, return_index=True)
+    return first, place
+
+
 def _holders(length: int):
     def answer(asked: list[bytes]) -> list[bytes]:
         """For each fragment the smallest id that holds each of its windows, as runs (windows, id)."""
@@ -217,9 +227,13 @@ def _holders(length: int):
             windows.append(np.frombuffer(raw, np.uint8, n, 8 + 16 * n).astype(np.int64))
             texts.append(np.frombuffer(raw, np.uint8, -1, 8 + 17 * n))
         key, low, count, data = map(np.concatenate, (keys, least, windows, texts))
+        # Blocks that hold copies send equal fragments: one of each is sorted, for the smallest of their ids.
+        head, same = distinct_texts(data.tobytes(), np.concatenate([[0], np.cumsum(count + length - 1)]))
+        all_count, all_starts = count, np.cumsum(count + length - 1) - (count + length - 1)
+        least_of = np.full(len(head), np.iinfo(np.int64).max)
+        np.minimum.at(least_of, same, low)
+        key, low, count, starts = key[head], least_of, count[head], all_starts[head]
         spans = count + length - 1
-        ends = np.cumsum(spans)
-        starts = ends - spans
         holder = np.repeat(low, count)  # of each window, so far
         first = np.cumsum(count) - count
         # A key that one fragment only has needs no sorting: nobody else holds its windows.
@@ -236,12 +250,14 @@ def _holders(length: int):
             best = np.full(int(bucket.max()) + 1, np.iinfo(np.int64).max)
             np.minimum.at(best, bucket, low[own][fragment])
             holder[first[own][fragment] + where - own_starts[fragment]] = best[bucket]
-        fragment = np.repeat(np.arange(len(key)), count)
+        step = np.arange(all_count.sum()) - np.repeat(np.cumsum(all_count) - all_count, all_count)
+        holder = holder[np.repeat(first[same], all_count) + step]
+        fragment = np.repeat(np.arange(len(same)), all_count)
         new = np.ones(len(holder), bool)
         new[1:] = (holder[1:] != holder[:-1]) | (fragment[1:] != fragment[:-1])
         begin = np.flatnonzero(new)
         length_of = np.diff(np.append(begin, len(holder)))
-        per = np.bincount(fragment[begin], minlength=len(key))
+        per = np.bincount(fragment[begin], minlength=len(same))
         cuts = np.cumsum(per)
         out, a, at = [], 0, 0
         for n in sizes:

@@ -4,17 +4,19 @@ from __future__ import annotations
 
 import hashlib
 import re
+import struct
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 
-from shardwise.llm.blocks import Block
+from shardwise.llm import suffix_dedup as suffix_module
+from shardwise.llm.blocks import Block, pack, unpack
 from shardwise.llm.components import components
 from shardwise.llm.exact_dedup import exact_dedup
 from shardwise.llm.jaccard_join import jaccard_components, shingles
 from shardwise.llm.line_dedup import line_dedup
-from shardwise.llm.suffix_dedup import refine, suffix_dedup
+from shardwise.llm.suffix_dedup import _holders, refine, suffix_dedup
 
 SPACE = re.compile(r"[\x20\x09-\x0D]+")
 
@@ -120,6 +122,26 @@ def test_refinement_sorts_suffixes():
     assert len(set(pointers)) == len(set(windows))
 
 
+def test_copied_fragments_are_sorted_once(monkeypatch):
+    """Forty blocks ask about the same two fragments of one key: their bytes are sorted once, for the smallest id of each."""
+    texts, sorted_bytes = [b"a" * 50 + b"b" * 9, b"c" * 7 + b"a" * 50], []
+    monkeypatch.setattr(suffix_module, "refine", lambda data, *rest: sorted_bytes.append(len(data)) or refine(data, *rest))
+
+    def asked(least):
+        raw = struct.pack("<q", 2) + np.array([5, 5], np.uint64).tobytes() + np.array(least, np.int64).tobytes()
+        return pack(raw + bytes(len(t) - 49 for t in texts) + b"".join(texts))
+
+    replies = _holders(50)([asked([100 - i, 30 + i]) for i in range(40)])
+    assert sum(sorted_bytes) == sum(map(len, texts))
+    want = [30] + [61] * 9, [30] * 8  # the window of fifty times "a" is in both
+    for reply in replies:
+        raw = unpack(reply)
+        n, m = struct.unpack_from("<qq", raw)
+        per, span, ids = np.frombuffer(raw, np.uint8, n, 16), np.frombuffer(raw, np.uint8, m, 16 + n), np.frombuffer(raw, np.int64, m, 16 + n + m)
+        holders = np.repeat(ids, span).tolist()
+        assert per.sum() == m and holders == want[0] + want[1]
+
+
 def brute_shingles(text, words):
     low = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
     w = [x for x in SPACE.split(low) if x]
