@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shardwise.llm.store import written
+from shardwise.sources.scratch import settle
 
 MIN_SITES = 10
 LG_K = 10
@@ -23,7 +24,7 @@ def line_spread(lines: DataFrame, min_sites: int, lg_k: int = LG_K) -> DataFrame
     keys = ["h1", "h2"]
     sketches = lines.groupBy(*keys).agg(F.hll_sketch_agg("site", F.lit(lg_k)).alias("sketch"), F.min("doc_id").alias("first_doc"))
     sketches = sketches.select(*keys, "first_doc", F.hll_sketch_estimate("sketch").alias("sites")).where(F.col("sites") >= min_sites - margin)
-    sketches = written(sketches, "line-sketches")
+    sketches = settle(sketches).df
     near = sketches.where(F.col("sites") <= min_sites + margin)
     counted = lines.join(near.select(*keys), keys, "left_semi").groupBy(*keys).agg(F.count_distinct("site").alias("exact"))
     exact = near.join(counted.where(F.col("exact") >= min_sites), keys).select(*keys, "first_doc")
@@ -45,7 +46,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = rows.withColumn("text_hash", F.xxhash64("text"))
     lines = rows.select("doc_id", "text_hash", "site", F.posexplode(F.split("text", "\n")).alias("pos", "line")).withColumn("line", F.trim("line")).where("line <> ''")
     lines = written(lines.select("doc_id", "text_hash", "site", "pos", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2")), "line-hashes")
-    spread = written(line_spread(lines, min_sites), "line-boilerplate")
+    spread = settle(line_spread(lines, min_sites)).df
     gone = lines.join(spread, ["h1", "h2"]).where(~F.col("doc_id").eqNullSafe(F.col("first_doc")))
     gone = gone.groupBy(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash")).agg(F.collect_set("pos").alias("gone"))
     joined = rows.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.col("text_hash") == F.col("gone_hash")), "left")

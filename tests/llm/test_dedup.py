@@ -75,6 +75,16 @@ def test_line_dedup(messy, sites):
     assert sum(w[3] for w in want) > 0
 
 
+def test_line_dedup_writes_no_small_tables(messy, monkeypatch):
+    """Only the hashes of all lines are written: few boilerplate lines are not spread over a file for each partition."""
+    from shardwise.llm import store
+
+    names = []
+    monkeypatch.setattr(store, "scratch_dir", lambda spark, name, made=store.scratch_dir: names.append(name) or made(spark, name))
+    line_dedup(messy[1]).count()
+    assert names == ["line-hashes"]
+
+
 def brute_suffix(rows, length=50):
     holder = {}
     top = 2**62
