@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shardwise.llm.store import documents, written
+from shardwise.llm.store import documents, give_back, giving_back, written
 
 BLOCK_BYTES = 1 << 20
 BUCKET_BYTES = 8 << 20
@@ -98,7 +98,7 @@ def blocks(docs: DataFrame, name: str, id_col: str = "doc_id", text_col: str = "
     if carry:
         own = F.struct(*[F.col(c) for c in carry]).alias("row")
         rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), own)
-    out = written(rows.mapInArrow(run, "block long, n_bytes long, payload binary" + ", carried binary" * bool(carry)), name)
+    out = written(rows.mapInArrow(giving_back(run), "block long, n_bytes long, payload binary" + ", carried binary" * bool(carry)), name)
     return out, out.agg(F.sum("n_bytes")).first()[0] or 0
 
 
@@ -139,9 +139,10 @@ def ask(asking: DataFrame, question: Callable[..., Iterable[tuple[int, bytes]]],
 
     def reply(table: pa.Table) -> pa.Table:
         replies = answer(table.column("keys").to_pylist())
+        give_back()
         return pa.table({"bucket": table.column("bucket"), "block": table.column("block"), "reply": pa.array(replies, pa.binary())})
 
-    asked = asking.select("block", "payload", *further).mapInArrow(put, "bucket long, block long, keys binary")
+    asked = asking.select("block", "payload", *further).mapInArrow(giving_back(put), "bucket long, block long, keys binary")
     answered = asked.groupBy("bucket").applyInArrow(reply, "bucket long, block long, reply binary")
     return answered.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("bucket", "reply"))).alias("replies"))
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from shardwise.llm.blocks import BUCKET_BYTES, Block, ask, blocks, bucket_slices, mix, pack, reply_list, unpack
 from shardwise.llm.components import components
-from shardwise.llm.store import release, sorted_groups, written
+from shardwise.llm.store import giving_back, release, sorted_groups, written
 
 ORDERS = 3
 #: Documents of one candidate component that a task compares with each other, or with as many others.
@@ -267,14 +267,14 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_co
     base, total = blocks(docs, "jaccard-blocks", id_col, text_col)
     buckets = int(total // bucket_bytes) + 1
     counted = base.join(ask(base, _ask_counts(words, buckets), _frequency_classes), "block", "left").select("payload", "replies")
-    table = written(counted.mapInArrow(_documents(words, percent, buckets), "doc_id long, n long, signature binary, tokens binary, classes binary"), "jaccard-sets")
+    table = written(counted.mapInArrow(giving_back(_documents(words, percent, buckets)), "doc_id long, n long, signature binary, tokens binary, classes binary"), "jaccard-sets")
     release(base)
     known = table.where("signature is not null and doc_id is not null").groupBy("signature").agg(F.min("doc_id").alias("rep"))
     # Rows that share an id are one node: their different sets are joined under it.
     reps = written(known, "jaccard-signatures")
     active = table.where("tokens is not null").join(reps.select("signature", "rep"), "signature").where("doc_id = rep").select("doc_id", "n", "tokens", "classes", "signature")
     active = written(active.dropDuplicates(["signature"]).select("doc_id", "n", "tokens", "classes"), "jaccard-active")
-    rows = active.mapInArrow(_prefix_rows(percent), "doc_id long, token long")
+    rows = active.mapInArrow(giving_back(_prefix_rows(percent)), "doc_id long, token long")
     hubs = rows.groupBy("token").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("far")).where("hub <> far").select("token", "hub")
     near = components(rows.join(hubs, "token").select(F.col("doc_id").alias("a"), F.col("hub").alias("b")), "jaccard-near")
     chunks = near.groupBy("component").agg(F.count("*").alias("docs")).withColumn("chunks", F.ceil(F.col("docs") / chunk_docs).cast("int"))

@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shardwise.llm.bpe import by_bytes
-from shardwise.llm.pieces import Remembering, worker_store
-from shardwise.llm.store import documents, written
+from shardwise.llm.pieces import Remembering, forget_parts, worker_store
+from shardwise.llm.store import documents, give_back, written
 
 SEQUENCE_TOKENS = 2048
 END_ID = 0
@@ -109,6 +109,8 @@ def tokenized_pieces(docs: DataFrame, vocabulary_path: str, pattern: str, tokens
                     rows += [(doc, i, a, b - a, ids[4 * a : 4 * b]) for i, (a, b) in enumerate(zip(at, at[1:], strict=False))]
                 kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids"])
+        forget_parts()
+        give_back()
 
     return documents(docs, id_col, text_col).mapInArrow(run, "doc_id long, piece int, start long, length long, ids binary")
 

@@ -75,6 +75,14 @@ class Remembering:
         return out
 
 
+def forget_parts() -> None:
+    """Drop what this worker's encoders remember, at the end of a task: few parts serve a later one, and the worker stays."""
+    for kept in vars(sys.modules.get("llm_worker_store", types)).values():
+        if isinstance(kept, Remembering):
+            kept.inner.clear()
+            kept.first.clear()
+
+
 class Decoder:
     """Ids, as bytes of little-endian unsigned 32-bit integers, to the bytes of their tokens."""
 

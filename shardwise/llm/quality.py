@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -11,7 +11,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shardwise.llm.store import documents
+from shardwise.llm.store import documents, give_back
 
 #: Bounds of the labelled sample: rows of each class, and the largest text that may be one of them.
 SAMPLE_ROWS = 3000
@@ -36,8 +36,8 @@ class QualityModel:
         """A function from texts (bytes) to scores; made inside a task."""
         compressors = _compressors(self.good, self.bad)
 
-        def score(texts: list[bytes]) -> np.ndarray:
-            x = np.array([difference(t, *compressors) for t in texts], np.float64)
+        def score(texts: Iterable[bytes]) -> np.ndarray:
+            x = np.fromiter((difference(t, *compressors) for t in texts), np.float64)
             return np.interp(x, self.at, self.value)
 
         return score
@@ -138,7 +138,8 @@ def score_quality(docs: DataFrame, model: QualityModel, id_col: str = "doc_id",
     def scored(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         score = model.scorer()
         for texts in parts:
-            yield pd.Series(score([t.encode() for t in texts]))
+            yield pd.Series(score(t.encode() for t in texts))
+        give_back()
 
     value = scored(F.coalesce(F.col(text_col), F.lit("")))
     if keep is None:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 from weakref import WeakKeyDictionary
 
@@ -39,6 +40,25 @@ def utf8(text: str | Column) -> Column:
     return F.encode(text, "UTF-8")
 
 
+def give_back() -> None:
+    """Return freed memory to the system at the end of a task: Python workers stay, idle, while other stages run."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        pass
+
+
+def giving_back(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """`run` for mapInArrow, with give_back() when a task is through."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return task
+
+
 def sorted_groups(df: DataFrame, keys: list[str], task: Callable[[tuple, pa.Table], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """Apply `task` to the rows of each key, one group in memory at a time.
 
@@ -65,4 +85,4 @@ def sorted_groups(df: DataFrame, keys: list[str], task: Callable[[tuple, pa.Tabl
         if held:
             yield from task(key, pa.Table.from_batches(held))
 
-    return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+    return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(giving_back(run), schema)

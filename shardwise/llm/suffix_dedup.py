@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
 from shardwise.llm.blocks import BUCKET_BYTES, Block, ask, blocks, bucket_slices, carried_rows, mix, pack, reply_list, unpack
-from shardwise.llm.store import written
+from shardwise.llm.store import giving_back, written
 
 LENGTH = 50
 #: Bytes of the strings whose smallest hash names a window: every window of LENGTH bytes holds LENGTH - ANCHOR + 1.
@@ -354,4 +354,4 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     kinds = StructType.fromDDL(f"doc_id long, n_bytes long, n_removed long, n_spans long, kept {'string' if as_text else 'binary'}")
     if carry:
         kinds = kinds.add("row", StructType([docs.schema[c] for c in carry]), False)
-    return final.mapInArrow(run, kinds)
+    return final.mapInArrow(giving_back(run), kinds)

@@ -86,3 +86,23 @@ def test_stages_keep_columns_of_any_name(spark, messy, sf_dir):
 def test_stages_take_an_empty_table(spark, nothing, sf_dir):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, nothing, sf_dir).count() == 0
+
+
+def test_workers_remember_nothing_after_packing(spark, sf_dir):
+    """Python workers stay when a stage is over; what packing has encoded does not stay in them."""
+    import sys
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").repartition(8)
+    assert corpus_pipeline.pack_sequences(spark, docs, sf_dir).count() >= docs.count()
+
+    def held(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            kept = vars(sys.modules["llm_worker_store"]).values() if "llm_worker_store" in sys.modules else []
+            n = sum(len(k.inner) + len(k.first) for k in kept if hasattr(k, "inner"))
+            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([len(list(kept))], pa.int64())], ["n", "stores"])
+
+    rows = spark.range(0, 16, 1, 16).mapInArrow(held, "n long, stores long").collect()
+    assert max(r.stores for r in rows) > 0  # some of the same workers answer
+    assert max(r.n for r in rows) == 0
