@@ -42,8 +42,8 @@ def worker_store(name: str, make: Callable[[], object]) -> object:
 class Remembering:
     """Encodes texts through `encode`, which takes a list of distinct parts and returns bytes for each."""
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], limit: int = REMEMBERED):
-        self.encode, self.limit = encode, limit
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], limit: int = REMEMBERED, at_once: int = AT_ONCE):
+        self.encode, self.limit, self.at_once = encode, limit, at_once
         self.inner: dict[str, bytes] = {}  # parts that follow a space
         self.first: dict[str, bytes] = {}  # parts that open a text
 
@@ -52,7 +52,7 @@ class Remembering:
         out, begin, size = [], 0, 0
         for i, t in enumerate(texts):
             size += len(t)
-            if size >= AT_ONCE:
+            if size >= self.at_once:
                 out += self._some(texts[begin : i + 1])
                 begin, size = i + 1, 0
         return out + self._some(texts[begin:])

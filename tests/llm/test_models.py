@@ -14,7 +14,7 @@ import pytest
 import tiktoken
 from tokenizers import Tokenizer
 
-from shardwise.llm import chat, queries
+from shardwise.llm import bpe, chat, queries
 from shardwise.llm.bpe import Codec, encode_documents, read_ranks
 from shardwise.llm.cover_search import CoverTree, search, top_k
 from shardwise.llm.packing import best_fit_packing, document_encoder, encoder, plan, tokenized_pieces
@@ -49,6 +49,40 @@ def test_rank_queue_equals_tiktoken():
     assert [own.decode(i) for i in ids] == [t.encode() for t in texts]
 
 
+@pytest.mark.parametrize("many", [1, 4, 10**9])
+def test_merging_by_arrays_equals_tiktoken(monkeypatch, many):
+    """Ranks made up so that longer tokens often have lower ones, texts of three letters, runs that overlap themselves."""
+    monkeypatch.setattr(bpe, "MANY", many)
+    for seed in range(12):
+        rng = random.Random(seed)
+        pool = [b"a", b"b", b"c"]
+        for _ in range(60):
+            pool.append(rng.choice(pool) + rng.choice(pool))
+        longer = list(dict.fromkeys(t for t in pool if 1 < len(t) < 12))
+        rng.shuffle(longer)
+        ranks = {bytes([i]): i for i in range(256)} | {t: 256 + i for i, t in enumerate(longer)}
+        texts = ["".join(rng.choice("abc") for _ in range(rng.randint(1, 60))) for _ in range(60)] + ["a" * 100, "ab" * 40]
+        theirs = tiktoken.Encoding("t", pat_str=queries.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        assert [np.frombuffer(i, "<u4").tolist() for i in Codec(ranks, queries.PATTERN).encode(texts)] == [theirs.encode_ordinary(t) for t in texts]
+
+
+def test_most_merges_are_done_by_arrays():
+    """Many different words: few of their pairs are looked up one by one."""
+
+    class Counted(dict):
+        looked = 0
+
+        def get(self, *key):
+            Counted.looked += 1
+            return super().get(*key)
+
+    codec, rng = Codec(read_ranks(queries.RANKS), queries.PATTERN), random.Random(2)
+    codec.merger.pairs.rank = Counted(codec.merger.pairs.rank)
+    texts = [" ".join("".join(rng.choice(["er", "tion", "keit", "ou", "en", "ß", "th"]) for _ in range(5)) for _ in range(200)) for _ in range(50)]
+    codec.encode(texts)
+    assert 0 < Counted.looked < 0.2 * sum(len(t) for t in texts)
+
+
 def test_forgetting_changes_nothing():
     codec = Codec(read_ranks(queries.RANKS), queries.PATTERN)
     texts = odd_texts(300)
