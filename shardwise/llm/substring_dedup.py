@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import compress
@@ -14,7 +13,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shardwise.llm.blocks import Block, blocks, mix
-from shardwise.llm.pieces import REMEMBERED, worker_store
 from shardwise.llm.store import release, written
 
 LENGTH = 20
@@ -24,29 +22,41 @@ SEED = 8
 HOT = 2_000
 #: Fragments that are extended at a time.
 TOGETHER = 40_000
-_SPLIT_BYTES = 1 << 22
+#: Bytes of a word from which on its id is a digest.
+LONG = 64
 #: An odd multiplier and its inverse modulo 2**64.
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_SPACE = re.compile(rb"[\x20\x09-\x0D]")
-
-
-def _words(data: bytes) -> Iterator[list[bytes]]:
-    """The words of a text, some megabytes at a time. Bytes are split at exactly these six characters."""
-    at = 0
-    while at < len(data):
-        there = _SPACE.search(data, at + _SPLIT_BYTES)
-        end = there.start() if there else len(data)
-        yield data[at:end].split()
-        at = end
-
-
-class _Ids(dict):
-    """Words to 64-bit ids, remembered as they come."""
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = number = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-        return number
+_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+#: The first k of eight bytes.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def word_bounds(block: Block) -> tuple[np.ndarray, np.ndarray]:
+    """First and last byte of each word; a document's end ends its last word. bytes.split() finds the same words."""
+    word = ~_SPACE[block.data]
+    begins, ends = word.copy(), word.copy()
+    begins[1:] &= ~word[:-1]
+    ends[:-1] &= ~word[1:]
+    some = block.ends > block.starts
+    first, last = block.starts[some], block.ends[some] - 1
+    begins[first], ends[last] = word[first], word[last]
+    return np.flatnonzero(begins), np.flatnonzero(ends) + 1
+
+
+def word_ids(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit ids that name the words: mixed from the length and eight bytes at a time, of long words a digest."""
+    size = end - begin
+    padded = np.append(data, np.zeros(8, np.uint8))
+    eight = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+    ids = mix(size.astype(np.uint64))
+    at = np.flatnonzero(size <= LONG)
+    for step in range(0, LONG, 8):
+        at = at[size[at] > step]
+        ids[at] = mix(ids[at] ^ (eight[begin[at] + step] & _FIRST[np.minimum(size[at] - step, 8)]))
+    for i in np.flatnonzero(size > LONG).tolist():
+        ids[i] = int.from_bytes(hashlib.blake2b(data[begin[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
+    return ids
 
 
 class Windows:
@@ -58,23 +68,10 @@ class Windows:
 
     def __init__(self, payload: bytes, length: int, seed: int):
         self.block, self.length, self.seed = Block.load(payload), length, seed
-        known: _Ids = worker_store("substring-words", _Ids)
-        self.words: list[bytes] = []
-        counts, ids = [], []
-        raw = self.block.data.tobytes()
-        for a, b in zip(self.block.starts.tolist(), self.block.ends.tolist(), strict=True):
-            before = len(self.words)
-            for part in _words(raw[a:b]):
-                self.words += part
-            counts.append(len(self.words) - before)
-        for at in range(0, len(self.words), REMEMBERED):
-            part = self.words[at : at + REMEMBERED]
-            ids.append(np.fromiter(map(known.__getitem__, part), np.uint64, len(part)))
-            if len(known) > REMEMBERED:
-                known.clear()
-        self.counts = np.array(counts, np.int64)
-        self.first = np.cumsum(self.counts) - self.counts
-        self.ids = np.concatenate(ids) if ids else np.empty(0, np.uint64)
+        self.start, self.stop = word_bounds(self.block)
+        self.first = np.searchsorted(self.start, self.block.starts)
+        self.counts = np.searchsorted(self.start, self.block.ends) - self.first
+        self.ids = word_ids(self.block.data, self.start, self.stop)
         self._runs(self.ids)
 
     def _runs(self, ids: np.ndarray) -> None:
@@ -154,10 +151,11 @@ class Fragments:
     def rows(self, number: int, step: int = 10_000) -> Iterator[pa.RecordBatch]:
         """Each distinct fragment once, with the place of its earliest occurrence."""
         w = self.windows
+        data = w.block.data.tobytes()
         for at in range(0, len(self.head), step):
             h = self.head[at : at + step]
             doc = self.doc[h]
-            texts = [b" ".join(w.words[a:b]) for a, b in zip(self.begin[h].tolist(), self.end[h].tolist(), strict=True)]
+            texts = [b" ".join(data[a:b].split()) for a, b in zip(w.start[self.begin[h]].tolist(), w.stop[self.end[h] - 1].tolist(), strict=True)]
             columns = [(self.key[h], pa.int64()), (self.hot[h], pa.bool_()), (np.full(len(h), number), pa.int64()), (np.arange(at, at + len(h), dtype=np.int32), pa.int32()), (w.block.null[doc], pa.bool_())]
             columns += [(w.block.ids[doc], pa.int64()), (self.place[h] - w.first[doc], pa.int64()), (self.left[h].astype(np.int32), pa.int32()), (texts, pa.binary())]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in columns], ["key", "hot", "block", "slot", "none", "doc", "pos", "left", "text"])
@@ -168,7 +166,7 @@ class Fragments:
         earlier[slots] = bits
         every = (np.int64(1) << self.many) - 1
         own = np.where(self.rank == self.rank[self.head][self.slot], earlier[self.slot], every) if len(self.slot) else every
-        marks = np.zeros(len(self.windows.words) + 1, np.int32)
+        marks = np.zeros(len(self.windows.ids) + 1, np.int32)
         for i in range(int(self.many.max()) if len(self.many) else 0):
             at = self.begin[(own >> i) & 1 == 1] + i
             np.add.at(marks, at, 1)
@@ -349,17 +347,18 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 shared, often, slots, bits = (np.array([] if (v := batch.column(c)[i].values) is None else v.to_numpy(), np.int64) for c in range(1, 5))
                 gone = w.fragments(shared, often).covered(slots, bits)
                 removed, spans, kept = [], [], []
-                total = np.append(0, np.cumsum(gone))
-                for a, n in zip(w.first.tolist(), w.counts.tolist(), strict=True):
+                total, data = np.append(0, np.cumsum(gone)), w.block.data.tobytes()
+                for a, n, begin, end in zip(w.first.tolist(), w.counts.tolist(), w.block.starts.tolist(), w.block.ends.tolist(), strict=True):
+                    words = data[begin:end].split()
                     removed.append(int(total[a + n] - total[a]))
                     if not removed[-1]:
                         spans.append([])
-                        kept.append(b" ".join(w.words[a : a + n]).decode())
+                        kept.append(b" ".join(words).decode())
                         continue
                     own = gone[a : a + n]
                     edges = np.flatnonzero(np.diff(np.concatenate([[0], own.astype(np.int8), [0]]))).tolist()
                     spans.append([{"start": s, "end": e} for s, e in zip(edges[::2], edges[1::2], strict=True)])
-                    kept.append(b" ".join(compress(w.words[a : a + n], (~own).tolist())).decode())
+                    kept.append(b" ".join(compress(words, (~own).tolist())).decode())
                 block = w.block
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(block.ids, pa.int64(), mask=block.null), pa.array(w.counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.string())],

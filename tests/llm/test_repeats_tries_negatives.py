@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shardwise.llm import conversation_trie, hard_negatives, queries, substring_dedup
+from shardwise.llm.blocks import Block
 
 
 def plain_substring(rows: list[tuple], length: int) -> list[tuple]:
@@ -55,6 +56,25 @@ def test_substring_dedup_of_few_words(spark):
         assert spark_substring(df, **options) == plain_substring(rows, options["length"])
 
 
+def test_word_bounds_and_ids():
+    """Against bytes.split(), document by document: empty texts, no space between documents, white space of Unicode, long words."""
+    rng = random.Random(4)
+    letters = ["a", "b", "\0", "é", "\x85", "\xa0", "\x1c", "日", " ", " ", "\t", "\n", "\x0b", "\x0c", "\r", "abcdefgh", "x" * 60, "y" * 70]
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 40))).encode() for _ in range(300)]
+    texts += [b"", b"a", b"a", b"", b" ", b"z" * 64, b"z" * 65, b"z" * 64 + b"\0", b"z" * 5000, b"a\0", b"abcdefgh", b"abcdefgh\0", b""]
+    ends = np.cumsum([len(t) for t in texts])
+    starts = ends - [len(t) for t in texts]
+    block = Block(np.arange(len(texts)), np.zeros(len(texts), bool), starts, ends, np.frombuffer(b"".join(texts), np.uint8))
+    begin, end = substring_dedup.word_bounds(block)
+    words = [w for t in texts for w in t.split()]
+    assert [block.data[a:b].tobytes() for a, b in zip(begin, end, strict=True)] == words
+    ids = dict(zip(words, substring_dedup.word_ids(block.data, begin, end).tolist(), strict=True))
+    assert [ids[w] for w in words] == substring_dedup.word_ids(block.data, begin, end).tolist()
+    assert len(set(ids.values())) == len(ids)
+    none = substring_dedup.word_bounds(Block(*(np.empty(0, t) for t in (np.int64, bool, np.int64, np.int64, np.uint8))))
+    assert [len(x) for x in none] == [0, 0]
+
+
 def test_substring_dedup_of_nothing(nothing):
     assert spark_substring(nothing) == []
 
